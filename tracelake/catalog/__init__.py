@@ -2,6 +2,9 @@
 
 from tracelake.catalog import (  # noqa: F401
     analytics,
+    enrich,
     filters,
+    joins,
     listing,
+    store,
 )
