@@ -2,9 +2,13 @@
 
 from tracelake.catalog import (  # noqa: F401
     analytics,
+    audit,
     enrich,
     filters,
     joins,
+    limits,
+    lineage,
     listing,
+    privacy,
     store,
 )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.functions.text import squeeze
 
@@ -22,7 +27,7 @@ SHORTEST_CREDENTIAL = 8
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?1[-. ])?\(?\b[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
-TOKEN_LIKE = "(?:" + TOKEN_PREFIX + ")|(?:" + JWT + ")|(?:" + SECRET_ASSIGNMENT + ")"
+TOKEN_LIKE = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in (TOKEN_PREFIX, JWT, SECRET_ASSIGNMENT))
 
 # Detector name and pattern, applied in this order.
 DETECTORS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "token_like": TOKEN_LIKE}
@@ -90,3 +95,110 @@ def field_label(key: Column) -> Column:
     """Placeholder label of a denied key: its own name for mail, phone and SSN, else FIELD."""
     lowered = F.lower(key)
     return F.when(lowered.isin("email", "phone", "ssn"), F.upper(lowered)).otherwise(F.lit("FIELD"))
+
+
+def _label(key: str) -> str:
+    lowered = key.lower()
+    return lowered.upper() if lowered in ("email", "phone", "ssn") else "FIELD"
+
+
+def _mark(label: str, salt: str, value: str) -> str:
+    return f"[{label}_REDACTED:{hashlib.sha256((salt + value).encode()).hexdigest()}]"
+
+
+def json_redactor(denied: Sequence[str] = DENIED_KEYS, detectors: Sequence[str] = tuple(DETECTORS)):
+    """Arrow UDF (body, salt) -> struct(body, hits): denied keys at any depth and matches in any string.
+
+    NULL body and hits -1 mean the text is no JSON; the caller must then drop it or treat it as text.
+    """
+    names = frozenset(n.lower() for n in denied)
+    patterns = [(n.upper(), re.compile(DETECTORS[n])) for n in detectors]
+
+    def clean(node, salt: str, hits: list[int]):
+        if isinstance(node, dict):
+            out = {}
+            for key, value in node.items():
+                if key.lower() in names:
+                    hits[0] += 1
+                    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+                    out[key] = _mark(_label(key), salt, text)
+                else:
+                    out[key] = clean(value, salt, hits)
+            return out
+        if isinstance(node, list):
+            return [clean(v, salt, hits) for v in node]
+        if isinstance(node, str):
+            for label, pattern in patterns:
+                node, count = pattern.subn(lambda m, label=label: _mark(label, salt, m.group(0)), node)
+                hits[0] += count
+        return node
+
+    @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("hits", T.LongType())]))
+    def redact(bodies: pd.Series, salts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for body, salt in zip(bodies, salts):
+            hits = [0]
+            try:
+                cleaned = json.dumps(clean(json.loads(body), salt or "", hits), ensure_ascii=False, separators=(",", ":"))
+                rows.append((cleaned, hits[0]))
+            except (TypeError, ValueError):
+                rows.append((None, -1))
+        return pd.DataFrame(rows, columns=["body", "hits"])
+
+    return redact
+
+
+def redact_flat_fields(fields: Column, salt: Column) -> Column:
+    """Denied keys of a flat map of texts, without leaving the JVM."""
+    return F.transform_values(
+        fields, lambda k, v: F.when(F.lower(k).isin(*DENIED_KEYS), placeholder(field_label(k), salt, v)).otherwise(v)
+    )
+
+
+def redaction_metadata(mode: Column, policy_id: Column, counts: dict[str, Column], cut: Column, failed: Column) -> Column:
+    """What is recorded about a redaction; never the values themselves."""
+    total = sum(counts.values(), F.lit(0))
+    return F.struct(
+        mode.alias("mode"),
+        (~failed & (total > 0)).alias("redaction_applied"),
+        F.struct(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]).alias("redaction_counts"),
+        policy_id.alias("redaction_policy_id"),
+        cut.alias("redaction_truncated"),
+        failed.alias("redaction_storage_drop"),
+    )
+
+
+def stored_body(redacted: Column, failed: Column) -> Column:
+    """A body that could not be redacted is never stored."""
+    return F.when(~failed, redacted)
+
+
+GUARDED_MODES = ("redact_upstream", "block")
+
+
+def inspectable_type(content_type: Column) -> Column:
+    """JSON and text bodies can be inspected; a missing type counts as text."""
+    media = F.lower(squeeze(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
+    good = (media == "application/json") | (media.endswith("+json") & media.contains("/")) | media.startswith("text/")
+    return (squeeze(F.coalesce(content_type, F.lit(""))) == "") | good
+
+
+def guardrail_decision(mode: Column, inspects: Column, websocket: Column, size: Column, limit: int, content_type: Column, hits: Column) -> Column:
+    """struct(action, status, reason) for a request under a policy mode."""
+
+    def answer(action: str, status: int, reason: str = "") -> Column:
+        return F.struct(F.lit(action).alias("action"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+
+    allow = answer("allow", 200)
+    unsure = answer("deny", 503, "policy_evaluation_failed")
+    return (
+        F.when(~mode.isin(*GUARDED_MODES), allow)
+        .when(~inspects, allow)
+        .when(websocket, answer("deny", 503, "websocket_body_guardrail_unsupported"))
+        .when(size == 0, allow)
+        .when(size > limit, unsure)
+        .when(~inspectable_type(content_type), unsure)
+        .when((hits > 0) & (mode == "block"), answer("deny", 403, "pii_detected"))
+        .when(hits > 0, answer("redact", 200))
+        .otherwise(allow)
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,12 +30,17 @@ def tenant_or_default(col: Column) -> Column:
     return F.coalesce(blank_to_null(col), F.lit("default"))
 
 
+def _slashed(col: Column, blank: str) -> Column:
+    """Trimmed, one leading slash added if missing, trailing slashes cut; ``blank`` for blank text."""
+    value = squeeze(F.coalesce(col, F.lit("")))
+    # A single slash stays; several and nothing else leave no text at all.
+    cut = F.regexp_replace(F.regexp_replace(value, "^(?!/)(?=.)", "/"), "^//+$|(?<=.)/+$", "")
+    return F.when(value == "", F.lit(blank)).otherwise(cut)
+
+
 def normalize_prefix(col: Column) -> Column:
     """Leading slash, no trailing slash; blank means the root."""
-    value = squeeze(F.coalesce(col, F.lit("")))
-    rooted = F.when(value.startswith("/"), value).otherwise(F.concat(F.lit("/"), value))
-    cut = F.when(F.length(rooted) > 1, F.regexp_replace(rooted, "/+$", "")).otherwise(rooted)
-    return F.when(value == "", F.lit("/")).otherwise(cut)
+    return _slashed(col, "/")
 
 
 def clean_prefix(prefix: str) -> str:
@@ -68,31 +74,26 @@ def under_prefix(path: Column, prefix: str | Column) -> Column:
 
 def endpoint_path(col: Column) -> Column:
     """A request path with a leading slash and no trailing ones; blank stays blank."""
-    value = squeeze(F.coalesce(col, F.lit("")))
-    rooted = F.when(value.startswith("/"), value).otherwise(F.concat(F.lit("/"), value))
-    cut = F.when(F.length(rooted) > 1, F.regexp_replace(rooted, "/+$", "")).otherwise(rooted)
-    return F.when(value == "", F.lit("")).otherwise(cut)
+    return _slashed(col, "")
 
 
 def matched_prefix(path: Column, prefixes: Sequence[str]) -> Column:
     """First configured prefix the path lies under, '' if none."""
-    clean = endpoint_path(path)
-    out = F.lit("")
-    for prefix in reversed(clean_prefixes(prefixes)):
-        out = F.when(under_prefix(clean, prefix), F.lit(prefix)).otherwise(out)
-    return out
+    # The alternation tries prefixes in their order; the look-ahead keeps it to whole segments.
+    fixed = clean_prefixes(prefixes)
+    if not fixed:
+        return F.lit("")
+    choice = "^(" + "|".join(re.escape(p) for p in fixed) + ")(?=/|$)"
+    return F.regexp_extract(endpoint_path(path), choice, 1)
 
 
 def endpoint_of(path: Column, prefixes: Sequence[str]) -> Column:
     """Path without its configured prefix; '/' when nothing is left."""
+    fixed = clean_prefixes(prefixes)
     clean = endpoint_path(path)
-    out = F.when(clean == "", F.lit("/")).otherwise(clean)
-    for prefix in reversed(clean_prefixes(prefixes)):
-        rest = F.substring(clean, F.lit(len(prefix) + 1), F.length(clean))
-        out = F.when(
-            under_prefix(clean, prefix), F.when(rest == "", F.lit("/")).otherwise(rest)
-        ).otherwise(out)
-    return out
+    if fixed:
+        clean = F.regexp_replace(clean, "^(?:" + "|".join(re.escape(p) for p in fixed) + ")(?=/|$)", "")
+    return F.coalesce(F.nullif(clean, F.lit("")), F.lit("/"))
 
 
 def endpoint_candidates(endpoint: str, prefixes: Sequence[str]) -> list[str]:

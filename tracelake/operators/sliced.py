@@ -65,6 +65,19 @@ def running_sums(
     return out.select(*df.columns, *names)
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], time_col: str, order: Sequence[str], name: str, value: Column, *, slice_seconds: int = 600
+) -> DataFrame:
+    """Add the largest value so far, current row included; NULLs are skipped."""
+    keys = list(keys)
+    rows = df.withColumns({SLICE: time_slice(F.col(time_col), slice_seconds), "_v": value})
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, SLICE).agg(F.max("_v").alias("_t")).select(*keys, SLICE, F.max("_t").over(before).alias("_c"))
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(carried, [*keys, SLICE]).withColumn(name, F.greatest("_c", F.max("_v").over(inside)))
+    return out.select(*df.columns, name)
+
+
 def trailing_count(
     df: DataFrame, keys: Sequence[str], time_col: str, seconds: int, name: str
 ) -> DataFrame:
