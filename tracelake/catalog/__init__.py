@@ -11,4 +11,5 @@ from tracelake.catalog import (  # noqa: F401
     listing,
     privacy,
     store,
+    streams,
 )

@@ -244,7 +244,7 @@ _SUM = {c: f"sum({c})" for c in ("input_tokens", "output_tokens", "total_tokens"
                     {
                         "model": "model",
                         "request_count": "count(*)",
-                        "avg_latency_ms": f"regexp_replace({_num('avg(latency_ms)')}, '^(\\d+)(\\d{{3}})\\.', '\\1,\\2.')",
+                        "avg_latency_ms": _num("avg(latency_ms)"),
                         "avg_ttft_ms": _num("avg(time_to_first_token_ms)"),
                         "total_tokens": "sum(total_tokens)",
                         "total_cost_usd": _num("sum(estimated_cost_usd)"),
@@ -263,8 +263,7 @@ _SUM = {c: f"sum({c})" for c in ("input_tokens", "output_tokens", "total_tokens"
                     },
                     "WHERE api_key_hash <> '' GROUP BY api_key_hash",
                 ),
-                "SELECT * FROM ("
-                + _long(
+                _long(
                     "recent",
                     "id",
                     {
@@ -278,9 +277,8 @@ _SUM = {c: f"sum({c})" for c in ("input_tokens", "output_tokens", "total_tokens"
                         "latency_ms": "latency_ms",
                         "request_path": "request_path",
                     },
-                    "QUALIFY row_number() OVER (ORDER BY timestamp DESC, id DESC) <= 10",
-                ).replace("unnest([", "[").replace("]) AS r FROM traces", "] AS rs, * FROM traces").replace("name, r.metric, r.value FROM", "name, r.metric, r.value FROM (SELECT name, unnest(rs) AS r FROM")
-                + "))",
+                    "WHERE id IN (SELECT id FROM traces ORDER BY timestamp DESC, id DESC LIMIT 10)",
+                ),
             ]
         )
     ),

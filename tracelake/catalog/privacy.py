@@ -76,7 +76,7 @@ def redact_json_flat(spark, sf):
 @query(
     "p3_redact_json_deep",
     f"""SELECT doc_id, '[FIELD_REDACTED:' || sha256('{SALT}' || source) || ']' AS secret, '[PHONE_REDACTED:' || sha256('{SALT}' || CAST(n_chars AS VARCHAR)) || ']' AS phone,
-        sha256({_redact_sql('text')}) AS text_sha, 2 + {_count(ops.EMAIL)} + {_count(ops.TOKEN_LIKE, _redact_sql('text').replace('token_like', 'token_like')) if False else _count(ops.TOKEN_LIKE)} + {_count(ops.PHONE)} + {_count(ops.SSN)} AS hits FROM documents""",
+        sha256({_redact_sql('text')}) AS text_sha, 2 + {' + '.join(_count(p) for p in ops.DETECTORS.values())} AS hits FROM documents""",
 )
 def redact_json_deep(spark, sf):
     inner = F.struct(F.col("source").alias("Secret"), F.array(F.struct(F.col("n_chars").alias("phone"))).alias("list"), F.col("text").alias("text"))

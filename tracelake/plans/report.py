@@ -31,7 +31,7 @@ def report_rows(traces: DataFrame, f: TraceFilter = TraceFilter(), recent: int =
     def text(df: DataFrame, c: str) -> Column:
         kind = df.schema[c].dataType.simpleString()
         if kind == "double":
-            return F.format_number(F.round(c, decimals), decimals)
+            return F.format_string(f"%.{decimals}f", F.round(c, decimals))
         if kind.startswith("timestamp"):
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         return F.col(c).cast("string")

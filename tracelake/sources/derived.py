@@ -91,8 +91,12 @@ def gateway_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan_once
 def ws_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ws_messages_from(table(spark, sf_dir, "events"))
+
+
+def ws_messages_from(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("conn-"), F.col("user_id").cast("string")).alias("connection_id"),
         F.col("event_id").alias("msg_id"),
         "ts",

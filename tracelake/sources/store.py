@@ -217,7 +217,8 @@ def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
 
     Only the day of the cutoff is rewritten; earlier days are dropped as whole folders.
     """
-    stored = spark.read.schema(TRACE_SCHEMA.add("day", "date")).parquet(path)
+    schema = T.StructType([*TRACE_SCHEMA.fields, T.StructField("day", T.DateType())])
+    stored = spark.read.schema(schema).parquet(path)
     deleted = stored.filter((F.col("day") <= F.lit(cutoff.date())) & (F.col("timestamp") < F.lit(cutoff))).count()
     edge = stored.filter((F.col("day") == F.lit(cutoff.date())) & (F.col("timestamp") >= F.lit(cutoff)))
     saved = persist_table(edge, "retention-edge")
