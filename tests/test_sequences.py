@@ -61,7 +61,7 @@ def test_trailing_count_includes_both_ends(spark, rows):
 
 def test_top_rows_of_a_hot_key(spark, rows):
     df = spark.createDataFrame(rows, "k string, id string, ts timestamp, v int")
-    got = top_rows(df, ["k"], [F.col("ts").desc(), F.col("id").desc()], 20, spread_by="id", salts=4, rank="n")
+    got = top_rows(df, ["k"], [F.col("ts").desc(), F.col("id").desc()], 20, salts=4, rank="n")
     hot = [r["id"] for r in got.filter("k = 'hot'").orderBy("n").collect()]
     assert hot == [r[1] for r in sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[1]), reverse=True)][:20]
 

@@ -36,18 +36,43 @@ DETECTORS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "token_like": TOKEN_LIK
 DENIED_KEYS = ("email", "phone", "password", "token", "secret", "ssn", "api_key", "authorization")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _worth(pattern: str, text: Column) -> Column:
+    """Cheap test that must hold wherever the pattern matches; most texts end here."""
+    tests = {
+        TOKEN_PREFIX: lambda: text.contains("_"),
+        JWT: lambda: F.lower(text).contains("eyj"),
+        BEARER: lambda: F.lower(text).contains("bearer"),
+        SECRET_ASSIGNMENT: lambda: text.contains("="),
+        EMAIL: lambda: text.contains("@"),
+        TOKEN_LIKE: lambda: text.contains("_") | text.contains("=") | F.lower(text).contains("eyj"),
+    }
+    return tests.get(pattern, lambda: F.lit(True))()
+
+
 def scrub_credentials(text: Column) -> Column:
     """Replace credentials; the result is trimmed only if something was replaced."""
-    cleaned = text
-    for pattern in CREDENTIALS:
-        cleaned = F.regexp_replace(cleaned, pattern, CREDENTIAL_MARK.replace("$", r"\$"))
-    return F.when(F.octet_length(text) < SHORTEST_CREDENTIAL, text).when(cleaned == text, text).otherwise(squeeze(cleaned))
+
+    def replace(value: Column, pattern: str) -> Column:
+        return _let(value, lambda t: F.when(_worth(pattern, t), F.regexp_replace(t, pattern, CREDENTIAL_MARK)).otherwise(t))
+
+    def scrubbed(whole: Column) -> Column:
+        cleaned = whole
+        for pattern in CREDENTIALS:
+            cleaned = replace(cleaned, pattern)
+        return _let(cleaned, lambda c: F.when(c == whole, whole).otherwise(squeeze(c)))
+
+    return F.when(F.octet_length(text) < SHORTEST_CREDENTIAL, text).otherwise(scrubbed(text))
 
 
 def contains_credential(text: Column) -> Column:
     found = F.lit(False)
     for pattern in CREDENTIALS:
-        found = found | text.rlike(pattern)
+        found = found | (_worth(pattern, text) & text.rlike(pattern))
     return (F.octet_length(text) >= SHORTEST_CREDENTIAL) & found
 
 
@@ -57,7 +82,10 @@ def telemetry_label(text: Column) -> Column:
 
 
 def detector_counts(text: Column, detectors: Sequence[str] = tuple(DETECTORS)) -> dict[str, Column]:
-    return {name: F.regexp_count(text, F.lit(DETECTORS[name])) for name in detectors}
+    return {
+        name: F.when(text.isNotNull(), F.when(_worth(DETECTORS[name], text), F.regexp_count(text, F.lit(DETECTORS[name]))).otherwise(F.lit(0)))
+        for name in detectors
+    }
 
 
 def value_hash(salt: Column, value: Column) -> Column:
@@ -76,12 +104,17 @@ def redact_matches(text: Column, name: str, salt: Column) -> Column:
     without leaving the JVM.
     """
     pattern = DETECTORS[name]
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.zip_with(
-        between, found, lambda gap, hit: F.concat(gap, F.coalesce(placeholder(name, salt, hit), F.lit("")))
-    )
-    return F.when(text.rlike(pattern), F.array_join(joined, "")).otherwise(text)
+
+    def stitched(t: Column) -> Column:
+        def joined(found: Column) -> Column:
+            pieces = F.zip_with(
+                F.split(t, pattern, -1), found, lambda gap, hit: F.concat(gap, F.coalesce(placeholder(name, salt, hit), F.lit("")))
+            )
+            return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(t)
+
+        return F.when(_worth(pattern, t), _let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), joined)).otherwise(t)
+
+    return _let(text, stitched)
 
 
 def redact_text(text: Column, salt: Column, detectors: Sequence[str] = tuple(DETECTORS)) -> Column:

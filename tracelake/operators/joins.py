@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.metadata import meta_string
 from tracelake.functions.text import blank_to_null, clean_prefix, normalize_prefix, under_prefix
+from tracelake.session import broadcast_if_small
 
 
 def export_with_bodies(page: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def route_join(paths: DataFrame, routes: DataFrame) -> DataFrame:
     distinct = paths.select("request_path").distinct()
     fits = under_prefix(F.col("request_path"), normalize_prefix(F.col("prefix")))
     named = distinct.join(routes, fits).groupBy("request_path").agg(F.min("name").alias("route_provider"))
-    return paths.join(named, "request_path", "left").withColumn("route_provider", F.coalesce("route_provider", F.lit("unknown")))
+    return paths.join(broadcast_if_small(named, "routes"), "request_path", "left").withColumn("route_provider", F.coalesce("route_provider", F.lit("unknown")))
 
 
 def parent_links(rows: DataFrame, chain: Sequence[str]) -> DataFrame:
@@ -57,7 +58,8 @@ def parent_links(rows: DataFrame, chain: Sequence[str]) -> DataFrame:
 def key_identity(requests: DataFrame, keys: DataFrame, token_hash: str = "token_hash") -> DataFrame:
     """Key, tenant, role and permissions behind a request's token; NULL for revoked or unknown keys.
 
-    A plain equi join: AQE broadcasts the key table if it is small and splits a hot token if not.
+    The key table is broadcast if its counted size allows it. Beyond that it is a shuffled equi join,
+    in which AQE splits a hot token.
     """
     active = keys.filter(F.col("revoked_at").isNull()).select(
         F.col("token_hash").alias(token_hash),
@@ -67,7 +69,7 @@ def key_identity(requests: DataFrame, keys: DataFrame, token_hash: str = "token_
         F.col("role").alias("key_role"),
         *[F.col(c).alias("key_permissions") for c in keys.columns if c == "permissions"],
     )
-    return requests.join(active, token_hash, "left")
+    return requests.join(broadcast_if_small(active, "keys"), token_hash, "left")
 
 
 @dataclass(frozen=True)

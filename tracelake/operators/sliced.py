@@ -99,16 +99,16 @@ def trailing_count(
     )
 
 
-def top_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, *, spread_by: str, salts: int = 32, rank: str = "_rank"
-) -> DataFrame:
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, *, salts: int = 256, rank: str = "_rank") -> DataFrame:
     """The first ``limit`` rows of each key with their rank.
 
-    Two rounds: the key is split into ``salts`` parts first, each part keeps its own best rows
-    (Spark cuts them before the shuffle), and only ``salts * limit`` rows of a key meet.
+    Two rounds. Every task first cuts each key to its own best rows (Spark does so for a rank filter
+    before the shuffle); these are brought together by key and task group, so no task sees more than
+    its share of a hot key, and only ``salts * limit`` rows of a key meet in the end. Which task
+    group a row falls into does not change the result.
     """
     keys = list(keys)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= limit).drop(rank, "_salt")
     final = Window.partitionBy(*keys).orderBy(*order)

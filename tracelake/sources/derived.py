@@ -16,9 +16,26 @@ from tracelake.session import pin_utc
 plan_once = lru_cache(maxsize=64)
 
 
+# Spreading pays off from about this many bytes.
+WORTH_SPREADING = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that lies in fewer splits than there are cores.
+
+    A table of many files already has a task per split and is returned as it is, so nothing large
+    is ever shuffled for this. Filters and column choices pass through to the scan.
+    """
+    execution = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if execution.toRdd().getNumPartitions() >= cores or int(str(execution.optimizedPlan().stats().sizeInBytes())) < WORTH_SPREADING:
+        return df
+    return df.repartition(cores)
+
+
 @plan_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _pick(value: Column, names: list[str]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tracelake.functions.metadata import meta_string
 from tracelake.functions.text import blank_to_null, squeeze, tenant_or_default
 from tracelake.schema import BODY_COLUMNS, TRACE_SCHEMA, conform, scan_defaults
-from tracelake.session import persist_table
+from tracelake.session import broadcast_if_small, persist_table
 
 
 def scan_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -240,7 +240,9 @@ def count_traces(df: DataFrame) -> DataFrame:
 def integrity_report(traces: DataFrame, bodies: DataFrame, orgs: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Traces without workspace, workspaces without organization, bodies without trace."""
     pair = ["org_id", "workspace_id"]
-    lost = traces.join(workspaces.select(*pair), pair, "left_anti").select(F.lit("trace_without_workspace").alias("problem"), "id")
+    # Tenants are checked once each; traces are only joined with the (normally empty) list of unknown ones.
+    unknown = traces.select(*pair).distinct().join(workspaces.select(*pair), pair, "left_anti")
+    lost = traces.join(broadcast_if_small(unknown, "tenants"), pair, "left_semi").select(F.lit("trace_without_workspace").alias("problem"), "id")
     stray = workspaces.join(orgs.select("org_id"), "org_id", "left_anti").select(
         F.lit("workspace_without_org").alias("problem"), F.concat_ws("/", "org_id", "workspace_id").alias("id")
     )
