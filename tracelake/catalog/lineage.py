@@ -162,7 +162,7 @@ _LAGGED = f"""SELECT *, lag(id) OVER c AS p_id, lag(provider) OVER c AS p_provid
 )
 def checkpoint_diff(spark, sf):
     t = derived.traces(spark, sf).withColumn("request_body", F.col("metadata"))
-    d = diffs.checkpoint_diffs(ops.ordered_chains(t, 20), ops.CHAIN_KEYS)
+    d = diffs.checkpoint_diffs(ops.ordered_chains(diffs.digested(t), 20), ops.CHAIN_KEYS)
     return d.select(
         "from_checkpoint_id", "to_checkpoint_id", "step", "provider_changed", "model_changed", "request_path_changed", "response_status_changed",
         "total_tokens_delta", "latency_ms_delta", F.round("estimated_cost_usd_delta", 8).alias("estimated_cost_usd_delta"),

@@ -43,7 +43,16 @@ def key_sets(before: Column, after: Column) -> dict[str, Column]:
     }
 
 
+def digested(traces: DataFrame) -> DataFrame:
+    """Replace headers and bodies by hash and size, so chains are ordered and compared without texts."""
+    present = [c for c in TEXTS if c in traces.columns]
+    slim = traces.withColumns({f"{c}_digest": _digest(traces, c) for c in TEXTS})
+    return slim.drop(*present, "llm_request_prompt", "llm_response_content")
+
+
 def _digest(df: DataFrame, name: str) -> Column:
+    if f"{name}_digest" in df.columns:
+        return F.col(f"{name}_digest")
     text = F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
     return F.struct(F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("size"))
 
@@ -51,7 +60,7 @@ def _digest(df: DataFrame, name: str) -> Column:
 def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per step after the first of each bounded, ordered chain.
 
-    Texts are replaced by hash and size before the window, so bodies are never moved.
+    Apply :func:`digested` to the traces before their chains are built, so bodies are never moved.
     """
     keys = list(keys)
     fields = [squeeze(F.col("id")).alias("id")]

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.diffs import checkpoint_diffs
+from tracelake.operators.diffs import checkpoint_diffs, digested
 from tracelake.operators.lineage import CHAIN_KEYS, chain_identifier, ordered_chains
 from tracelake.sources.store import hydrate
 
@@ -19,12 +19,14 @@ def debug_chain(traces: DataFrame, bodies: DataFrame | None = None, limit: int =
 
     Bodies, if given, are joined after the chains are cut.
     """
-    ordered = ordered_chains(traces, limit)
-    if bodies is not None:
-        ordered = hydrate(ordered, bodies)
+    ordered = ordered_chains(digested(traces), limit)
     keys = list(CHAIN_KEYS)
     diffs = checkpoint_diffs(ordered, keys)
-    return ordered.join(diffs, [*keys, "step"], "left").withColumn(
+    chain = ordered.join(diffs, [*keys, "step"], "left")
+    if bodies is not None:
+        empty = F.lit(None).cast("string")
+        chain = hydrate(chain.withColumns({"request_body": empty, "response_body": empty}), bodies)
+    return chain.withColumn(
         "lineage_identifier", chain_identifier(F.col("group_id"), F.col("thread_id"), F.col("run_id"))
     )
 
