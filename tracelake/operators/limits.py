@@ -47,7 +47,9 @@ def quota_codes(traces: DataFrame, per_key: Policy, per_workspace: Policy, slice
     before cost.
     """
     day = traces.withColumn("_day", F.to_date("timestamp"))
-    used = _used_before(_used_before(day, KEY_SCOPE, "key", slice_seconds), WORKSPACE_SCOPE, "workspace", slice_seconds)
+    # A running sum reads its input twice, so the first result is written once.
+    by_key = persist_table(_used_before(day, KEY_SCOPE, "key", slice_seconds), "quota-keys")
+    used = _used_before(by_key, WORKSPACE_SCOPE, "workspace", slice_seconds)
     keyless = F.col("gateway_key_id") == ""
     used = used.withColumns(
         {f"key_{m}": F.when(keyless, F.col(f"workspace_{m}")).otherwise(F.col(f"key_{m}")) for m in ("tokens", "cost")}
@@ -177,7 +179,7 @@ def rate_limit_audit(requests: DataFrame, per_key: Policy, per_workspace: Policy
     key_code = workspace_code = F.lit("")
     if per_key.requests_per_minute > 0:
         rows = admit(rows, KEY_SCOPE, per_key.requests_per_minute, seconds=seconds, chunk_rows=chunk_rows)
-        rows = rows.withColumnsRenamed({"admitted": "_key_ok", "retry_after": "_key_wait"})
+        rows = persist_table(rows.withColumnsRenamed({"admitted": "_key_ok", "retry_after": "_key_wait"}), "rate-keys")
     else:
         rows = rows.withColumns({"_key_ok": F.lit(True), "_key_wait": F.lit(0).cast("bigint")})
     if per_workspace.requests_per_minute > 0:

@@ -34,6 +34,7 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums over ``order`` within ``keys``; the current row is optional.
 
+    The input is read twice: for the slice totals and for the rows. Write an expensive input first.
     ``order`` must start with ``time_col``. All sum expressions must be non-NULL.
     """
     if order[0] != time_col:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import sqltext as q
 from tracelake.operators.sliced import running_max, running_sums
+from tracelake.session import persist_table
 
 # Message types that open and end turns.
 ITEM, RESPONSE, START, STEER = "conversation.item.create", "response.create", "turn/start", "turn/steer"
@@ -52,20 +53,23 @@ def assign_turns(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
     m = running_sums(
         m, ["connection_id"], "ts", ["ts", "msg_id"], {"_segment": (F.col("_begins") | F.col("_ends")).cast("int")}, slice_seconds=slice_seconds
     )
+    # Every step below reads its input more than once, so each is written once.
+    m = persist_table(m, "turn-segments")
     segments = m.groupBy("connection_id", "_segment").agg(
         F.max("_begins").alias("_from_start"),
         F.min(F.when(F.col("_opens"), F.struct("ts", "msg_id", "msg_type"))).alias("_first"),
     )
+    # A segment is the stretch between two forcing messages, so these tables have a row per turn or so.
+    segments = persist_table(segments, "turn-openers")
     opened = F.col("_from_start") | F.col("_first").isNotNull()
     before = segments.select("connection_id", (F.col("_segment") + 1).alias("_segment"), opened.alias("_open_before"))
-    # A segment is the stretch between two forcing messages, so these tables have a row per turn or so.
     m = m.join(segments, ["connection_id", "_segment"]).join(before, ["connection_id", "_segment"], "left")
     first_place = F.struct(F.col("_first.ts"), F.col("_first.msg_id"))
     is_first = F.col("_opens") & F.col("_first").isNotNull() & (place == first_place)
     loose = F.col("_from_start") | (F.col("_first.msg_type") != ITEM)
     again = client & text & (F.col("msg_type") == RESPONSE) & loose
     starts = F.col("_begins") | F.when(F.col("_from_start"), again).otherwise(is_first | again)
-    m = m.withColumn("starts_turn", F.coalesce(starts, F.lit(False)))
+    m = persist_table(m.withColumn("starts_turn", F.coalesce(starts, F.lit(False))), "turn-starts")
     m = running_sums(m, ["connection_id"], "ts", ["ts", "msg_id"], {"turn_index": F.col("starts_turn").cast("int")}, slice_seconds=slice_seconds)
     running = F.col("_from_start") | (F.col("_first").isNotNull() & (place >= first_place))
     open_before = F.coalesce("_open_before", F.lit(False))
@@ -79,7 +83,7 @@ def assign_turns(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
 
 def turn_table(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
     """One row per turn: start, end, why it ended, message and byte counts, first response."""
-    m = assign_turns(messages, slice_seconds)
+    m = persist_table(assign_turns(messages, slice_seconds), "turn-messages")
     seen_close = F.when(F.col("opcode") == "close", F.struct("ts", "msg_id", "close_code"))
     m = running_max(m, ["connection_id"], "ts", ["ts", "msg_id"], "_close", seen_close, slice_seconds=slice_seconds)
     code = F.coalesce(F.col("_close.close_code"), F.lit(0))
@@ -98,8 +102,9 @@ def turn_table(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
             F.min(F.when(response, F.col("ts"))).alias("_answered"),
         )
     )
+    turns = persist_table(turns, "turns")
     following = turns.select("connection_id", (F.col("turn_index") - 1).alias("turn_index"), F.col("_start").alias("_next"))
-    last = messages.groupBy("connection_id").agg(
+    last = m.groupBy("connection_id").agg(
         F.max("ts").alias("_last_ts"), F.coalesce(F.max(F.when(F.col("opcode") == "close", F.struct("ts", "msg_id", "close_code"))).getField("close_code"), F.lit(0)).alias("_last_code")
     )
     turns = turns.join(following, ["connection_id", "turn_index"], "left").join(last, "connection_id")

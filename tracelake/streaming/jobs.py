@@ -72,7 +72,7 @@ def ingest_stream(exchanges: DataFrame, build: Callable[[DataFrame], DataFrame],
             stored = _stored(spark, traces_path, rows.schema)
             target = rows.select("id", "day").limit(0) if stored is None else stored.filter(F.col("day").isin(days))
             result = append_batch(rows, target)
-            result.accepted.write.mode("append").partitionBy("day").parquet(traces_path)
+            result.accepted.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(traces_path)
             result.rejected.withColumn("epoch", F.lit(epoch)).coalesce(1).write.mode("append").parquet(rejects_path)
         finally:
             rows.unpersist()
