@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import packing, token_counts
+from tracelake.llm import exact_dedup, mixing, packing, token_counts, token_file
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -13,6 +13,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_mixing")
+def mixing_query(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query("op5_token_counts")
 def token_counts_query(spark, sf):
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf, "documents"), tokenizer_path()))
@@ -21,3 +26,13 @@ def token_counts_query(spark, sf):
 @query("op6_packing")
 def packing_query(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query("op9_exact_dedup")
+def exact_dedup_query(spark, sf):
+    return exact_dedup.dedup(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_token_file")
+def token_file_query(spark, sf):
+    return token_file.round_trip(table(spark, sf, "documents"), tokenizer_path())
