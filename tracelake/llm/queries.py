@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.llm import exact_dedup, mixing, packing, token_counts, token_file
+from pyspark.sql import functions as F
+
+from tracelake.llm import exact_dedup, mixing, packing, secret_scan, token_counts, token_file, toxicity
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -18,6 +20,18 @@ def mixing_query(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op2_secrets")
+def secrets_query(spark, sf):
+    """A source's documents in one language count as a repository, the source as its owner."""
+    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.scan_secrets(table(spark, sf, "documents"), repo, F.col("source"))
+
+
+@query("op4_toxicity")
+def toxicity_query(spark, sf):
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op5_token_counts")
 def token_counts_query(spark, sf):
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf, "documents"), tokenizer_path()))
