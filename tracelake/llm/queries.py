@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, packing, secret_scan, token_counts, token_file, toxicity
+from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, token_counts, token_file, toxicity
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -27,6 +27,11 @@ def secrets_query(spark, sf):
     return secret_scan.scan_secrets(table(spark, sf, "documents"), repo, F.col("source"))
 
 
+@query("op3_near_dedup")
+def near_dedup_query(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), size=3, threshold=85)
+
+
 @query("op4_toxicity")
 def toxicity_query(spark, sf):
     return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -42,6 +47,11 @@ def packing_query(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query("op8_nearest")
+def nearest_query(spark, sf):
+    return nearest.top_neighbours(table(spark, sf, "embeddings"))
+
+
 @query("op9_exact_dedup")
 def exact_dedup_query(spark, sf):
     return exact_dedup.dedup(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
