@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.encoding import encoder, slices
+from tracelake.session import persist_table
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -34,6 +35,7 @@ def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
     Documents are counted before the shuffle. Sums run inside blocks of lengths; only one row per block meets the others.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / block))
+    counts = persist_table(counts, "token-lengths")
     tokens = F.col("n_tokens") * F.col("n_docs")
     later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
