@@ -9,11 +9,12 @@ the ends, the special token's string, extremely long words) go to the library wh
 from __future__ import annotations
 
 import string
+from itertools import filterfalse
 
 from tracelake.llm.common import worker_cache
 
 #: Words kept by one Python worker; beyond that the tables start anew. It bounds memory, not results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_200_000
 LONGEST_WORD = 200
 _LAST_LATIN = "ɏ"
 
@@ -35,7 +36,7 @@ class WordEncoder:
         self.line_bytes = np.array(line, dtype="<u4").tobytes()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
-        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -49,8 +50,8 @@ class WordEncoder:
             return [self.whole(t) for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        if len(self.cores) > KEPT_WORDS:
-            self.cores.clear()
+        if len(self.tails) > KEPT_WORDS // 10:
+            self.tails.clear()
         self._learn(parts)
         known, out = self.words.__getitem__, []
         for text, words in zip(texts, parts):
@@ -66,11 +67,9 @@ class WordEncoder:
         return out
 
     def _learn(self, parts: list[list[str]]) -> None:
-        seen = set()
+        known, fresh = self.words, set()
         for words in parts:
-            seen.update(words)
-        known = self.words
-        fresh = [w for w in seen if w not in known]
+            fresh.update(filterfalse(known.__contains__, words))
         cut, wanted = [], set()
         for word in fresh:
             body = word[1:] if word[:1] == "\n" else word
@@ -82,33 +81,33 @@ class WordEncoder:
                 core, tail = body, ""
             else:  # letters end before punctuation in every case
                 tail = body[len(core) :]
-                wanted.add(tail)
-            core = core if word[:1] == "\n" else " " + core
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole(tail)
+            core = word[:1] + core if word[:1] == "\n" else core
             wanted.add(core)
             cut.append((word, core, tail))
-        cores = self.cores
-        self._encode_cores([c for c in wanted if c not in cores])
+        self._encode_cores([c for c in wanted if c not in known])
         for word, core, tail in cut:
-            ids = cores[core] + cores[tail] if tail else cores[core]
-            known[word] = self.line_bytes + ids if word[:1] == "\n" else ids
+            if tail:
+                known[word] = known[core] + self.tails[tail]
 
     def _encode_cores(self, cores: list[str], step: int = 2000) -> None:
-        """Many cores in one call, a line end between them: its id marks where each one ends."""
-        np = self.np
-        plain = [c for c in cores if not any(s in c for s in self.special)]
-        for core in set(cores) - set(plain):
-            self.cores[core] = self.whole(core)
-        for i in range(0, len(plain), step):
-            some = plain[i : i + step]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.line).tolist()
-            if len(ends) != len(some) - 1:
-                self.cores.update((c, self.whole(c)) for c in some)
+        """Many cores in one call, each behind a line end, whose id marks where the one before ends.
+
+        A core that starts a line has no blank in front; every other one has.
+        """
+        np, known = self.np, self.words
+        for i in range(0, len(cores), step):
+            some = cores[i : i + step]
+            joined = "".join(c if c[0] == "\n" else "\n " + c for c in some)
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(ids == self.line).tolist()
+            if len(starts) != len(some):  # the special token's string is part of a word
+                known.update((c, self.whole(c if c[0] == "\n" else " " + c)) for c in some)
                 continue
-            raw, start = ids.tobytes(), 0
-            for core, end in zip(some, [*ends, len(ids)]):
-                self.cores[core] = raw[4 * start : 4 * end]
-                start = end + 1
+            raw = ids.tobytes()
+            for core, start, end in zip(some, starts, [*starts[1:], len(ids)]):
+                known[core] = raw[4 * (start if core[0] == "\n" else start + 1) : 4 * end]
 
 
 def encoder(path: str) -> WordEncoder:
