@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.session import pin_utc
 
@@ -13,6 +15,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def place(docs: DataFrame) -> Column:
+    """Where a row's content lies: ``file, row``. Reading again, on fewer machines too, gives the same places.
+
+    Only rows that come straight from Parquet files have one. Others are numbered by task, which holds within one run of a plan.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def worker_cache(name: str, make):
     """One object per Python worker: it outlives a task, so the next one on the same worker finds it filled."""
     kept = vars(sys).setdefault("_tracelake_llm", {})

@@ -6,7 +6,9 @@ import contextlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tracelake.llm.common import place
 from tracelake.session import new_folder, persist_table
 
 _STORE = "spark.sql.streaming.stateStore."
@@ -40,12 +42,9 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
 
 
 def arrivals(docs: DataFrame, path: str, digest=sha256, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Appends the documents' ``doc_id, digest, sha, place`` to ``path``: what the stream reads. Texts stay where they are.
-
-    ``place`` locates the content: the number of the row in the folder ``docs`` was read from, as Spark counts it.
-    """
+    """Appends the documents' ``doc_id, digest, sha, place`` to ``path``: what the stream reads. Texts stay where ``place`` says."""
     whole = normalised(F.col(text))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("_whole"), F.monotonically_increasing_id().alias("place"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("_whole"), place(docs).alias("place"))
     slim.select("doc_id", digest(F.col("_whole")).alias("digest"), sha256(F.col("_whole")).alias("sha"), "place").write.mode("append").parquet(path)
 
 
@@ -70,7 +69,7 @@ def first_copies(spark: SparkSession, path: str, state: str, batch_bytes: int =
     with _settings(spark, _SETTINGS):
         job = held.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{state}/progress").trigger(availableNow=True).start()
         job.awaitTermination()
-    latest = spark.read.schema(f"digest binary, first struct<unnamed:boolean,doc_id:{schema['doc_id'].dataType.simpleString()},place:bigint>, group_size bigint, epoch bigint").parquet(changes)
+    latest = spark.read.schema(StructType([*held.schema.fields, StructField("epoch", LongType())])).parquet(changes)
     return latest.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "epoch").alias("_s")).select("digest", "_s.first", "_s.group_size")
 
 
@@ -93,10 +92,10 @@ def dedup(docs: DataFrame, digest=sha256, text: str = "text", doc_id: str = "doc
     # Hits: full texts of all digests with several documents. The join splits hot digests; then each digest's rows are
     # dealt over several tasks, which reduce equal texts to one row before these meet.
     hits = held.filter("group_size > 1").select("digest")
-    whole = docs.select(normalised(F.col(text)).alias("_whole"), F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("place"))
+    whole = docs.select(normalised(F.col(text)).alias("_whole"), F.col(doc_id).alias("doc_id"), place(docs).alias("place"))
     whole = whole.withColumn("digest", digest(F.col("_whole")))
     seen = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("place"))
-    dealt = whole.join(hits, "digest", "left_semi").withColumn("_deal", F.pmod(F.col("place"), F.lit(64))).repartition("digest", "_deal")
+    dealt = whole.join(hits, "digest", "left_semi").withColumn("_deal", F.pmod(F.col("place.row"), F.lit(64))).repartition("digest", "_deal")
     one = dealt.groupBy("digest", "_whole").agg(F.count(F.lit(1)).alias("_n"))
     mixed = persist_table(one.groupBy("digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("digest"), "exact-dedup-mixed")
     named = rows.join(held, "digest")
@@ -111,3 +110,13 @@ def dedup(docs: DataFrame, digest=sha256, text: str = "text", doc_id: str = "doc
     return result.select(
         "doc_id", "place", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("place") == F.col("first.place")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
+
+
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns."""
+    rows = docs.withColumn("_place", place(docs))
+    if "_metadata" not in str(rows._jdf.queryExecution().analyzed()):  # not from files: the places must come from one run
+        rows = persist_table(docs, "exact-dedup-rows")
+        docs, rows = rows, rows.withColumn("_place", place(rows))
+    stay = dedup(docs, text=text, doc_id=doc_id).filter("kept").select("place")
+    return rows.join(stay, F.col("_place") == F.col("place"), "left_semi").drop("_place")

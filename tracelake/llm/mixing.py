@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import place
 from tracelake.session import persist_table
 
 #: Ranking values are cut into this many classes; only the class at a source's limit is ordered row by row.
@@ -64,8 +65,8 @@ def length_class(size: Column) -> Column:
     return F.length(F.bin(size)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix", size: Column | None = None, importance=length_class, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Which documents the mix takes, and how often: ``doc_id, source, size, source_size, target, copies, taken``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix", size: Column | None = None, importance=length_class, doc_id: str = "doc_id", source: str = "source", row: Column | None = None) -> DataFrame:
+    """Which documents the mix takes, and how often: ``doc_id, source, size, source_size, target, copies, taken, row``.
 
     A source's target is met in two steps. Its documents expect ``least(limit, f * importance)`` copies, with ``f`` such that
     the expected words are the target; the whole copies are certain. What is left is the inclusion chance ``p`` of one more
@@ -81,7 +82,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     limit is ordered.
     """
     size = word_count(F.col("text")) if size is None else size
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    # ``row`` comes back with each row, for a caller that wants to find it again.
+    row = F.lit(None) if row is None else row
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), row.cast("struct<file: string, row: bigint>").alias("row"))
     base = persist_table(base.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
     plan = persist_table(targets(numbered_sources(base), weights, limit), "mix-targets")
 
@@ -105,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rank = (u / (1 - u)) * F.try_divide(1 - F.col("_p"), F.col("_p"))
     drawn = rows.join(classes, rows["source"].eqNullSafe(classes["source"]) & (rows["_class"] == classes["_class"])).select(
-        "_row", "doc_id", rows["source"], "size", "number", "source_size", "target", "_whole", "_left", F.when((F.col("_p") > 0) & (F.col("size") > 0), rank).alias("_rank")
+        "_row", "row", "doc_id", rows["source"], "size", "number", "source_size", "target", "_whole", "_left", F.when((F.col("_p") > 0) & (F.col("size") > 0), rank).alias("_rank")
     )
     drawn = persist_table(drawn.withColumn("_slot", F.floor(F.col("_rank") / (1 + F.col("_rank")) * CLASSES)), "mix-ranks")
 
@@ -143,4 +146,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     result = marked.join(extra, "_row", "left")
     chosen = F.coalesce(F.col("_slot") < F.coalesce(F.col("_cut"), F.lit(CLASSES + 1)), F.lit(False)) | F.coalesce("_extra", F.lit(False))
     copies = (F.col("_whole") + chosen.cast("long")).cast("long")
-    return result.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return result.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
+
+
+def apply_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns; ``docs`` must come from Parquet files."""
+    chosen = mix(docs, row=place(docs), **settings).filter("copies > 0").select(F.col("row").alias("_chosen"), F.col("copies").alias("_copies"))
+    rows = docs.withColumn("_place", place(docs)).join(chosen, F.col("_place") == F.col("_chosen"))
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_place", "_chosen", "_copies", "_again")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, token_counts, token_file, toxicity
+from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, substrings, token_counts, token_file, toxicity
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -47,6 +47,12 @@ def packing_query(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query("op7_substrings")
+def substrings_query(spark, sf):
+    found = substrings.without_repeats(table(spark, sf, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op8_nearest")
 def nearest_query(spark, sf):
     return nearest.top_neighbours(table(spark, sf, "embeddings"))
