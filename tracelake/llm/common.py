@@ -15,16 +15,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def has_place(docs: DataFrame) -> bool:
+    """Whether rows come straight from Parquet files, which say where each one lies."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def place(docs: DataFrame) -> Column:
     """Where a row's content lies: ``file, row``. Reading again, on fewer machines too, gives the same places.
 
-    Only rows that come straight from Parquet files have one. Others are numbered by task, which holds within one run of a plan.
+    Rows that come from elsewhere are numbered by task, which holds within one run of a plan.
     """
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if has_place(docs):
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names that ``rows`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def worker_cache(name: str, make):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracelake.llm.common import place
+from tracelake.llm.common import fresh, has_place, place
 from tracelake.session import new_folder, persist_table
 
 _STORE = "spark.sql.streaming.stateStore."
@@ -114,9 +114,8 @@ def dedup(docs: DataFrame, digest=sha256, text: str = "text", doc_id: str = "doc
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    rows = docs.withColumn("_place", place(docs))
-    if "_metadata" not in str(rows._jdf.queryExecution().analyzed()):  # not from files: the places must come from one run
-        rows = persist_table(docs, "exact-dedup-rows")
-        docs, rows = rows, rows.withColumn("_place", place(rows))
-    stay = dedup(docs, text=text, doc_id=doc_id).filter("kept").select("place")
-    return rows.join(stay, F.col("_place") == F.col("place"), "left_semi").drop("_place")
+    here, there = fresh(docs, "_here", "_there")
+    if not has_place(docs):  # rows get one by being written
+        docs = persist_table(docs, "exact-dedup-rows")
+    stay = dedup(docs, text=text, doc_id=doc_id).filter("kept").select(F.col("place").alias(there))
+    return docs.withColumn(here, place(docs)).join(stay, F.col(here) == F.col(there), "left_semi").drop(here)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import place
+from tracelake.llm.common import fresh, has_place, place
 from tracelake.session import persist_table
 
 #: Ranking values are cut into this many classes; only the class at a source's limit is ordered row by row.
@@ -150,7 +150,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns; ``docs`` must come from Parquet files."""
-    chosen = mix(docs, row=place(docs), **settings).filter("copies > 0").select(F.col("row").alias("_chosen"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_place", place(docs)).join(chosen, F.col("_place") == F.col("_chosen"))
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_place", "_chosen", "_copies", "_again")
+    """The rows of ``docs`` as often as the mix takes them, with their own columns."""
+    if not has_place(docs):  # rows get one by being written
+        docs = persist_table(docs, "mix-rows")
+    here, chosen, copies, again = fresh(docs, "_here", "_chosen", "_copies", "_again")
+    taken = mix(docs, row=place(docs), **settings).filter("copies > 0").select(F.col("row").alias(chosen), F.col("copies").alias(copies))
+    rows = docs.withColumn(here, place(docs)).join(taken, F.col(here) == F.col(chosen))
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(here, chosen, copies, again)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import by_group, worker_cache
+from tracelake.llm.common import by_group, fresh, worker_cache
 from tracelake.llm.encoding import slices
 from tracelake.llm.shingles import Shingler, mix
 from tracelake.session import persist_table
@@ -297,5 +297,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: int = 80, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each component. Repeated rows of a document that stays all stay."""
-    gone = near_duplicates(docs, size, threshold, doc_id=doc_id).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, size, threshold, doc_id=doc_id).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -66,7 +66,7 @@ def search(vectors, queries, bounds, k: int = 5, bits: int = BITS):
 
     ids = np.array([i for i, _ in vectors], dtype=np.int64)
     order = np.argsort(ids)
-    ids, exact = ids[order], np.array([v for _, v in vectors], dtype=np.int64).reshape(len(vectors), -1)[order]
+    ids, exact = ids[order], np.array([v for _, v in vectors], dtype=np.int64).reshape(len(vectors), len(bounds[0]))[order]
     low, high = (np.array(b, dtype=np.int64) for b in bounds)
     width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
     cells = ((exact - low) // width).astype(np.uint8 if bits <= 8 else np.uint16)
@@ -78,7 +78,7 @@ def search(vectors, queries, bounds, k: int = 5, bits: int = BITS):
     step = max(1, (1 << 22) // max(1, len(ids)))
     for a in range(0, len(queries), step):
         some = queries[a : a + step]
-        q = np.array([v for _, v in some], dtype=np.int64).reshape(len(some), -1)
+        q = np.array([v for _, v in some], dtype=np.int64).reshape(len(some), len(bounds[0]))
         up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
         slack = 1e-9 * (np.abs(q).astype(np.float64) @ largest) + 1e-6  # rounding must not make a bound too tight
         above = up @ top.T + down @ bottom.T + slack[:, None]
@@ -130,7 +130,7 @@ def top_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, scale: int =
         flags, ids, vs = (table.column(c).to_pylist() for c in ("query", "vec_id", "v"))
         queries = sorted((i, v) for f, i, v in zip(flags, ids, vs) if f)
         others = [(i, v) for f, i, v in zip(flags, ids, vs) if not f]
-        got = search(others, queries, bounds[len(vs[0])], k, bits) if queries and others else []
+        got = search(others, queries, bounds.get(len(vs[0]), ([], [])), k, bits) if queries and others else []
         columns = list(zip(*got)) if got else [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, substrings, token_counts, token_file, toxicity
+from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, sql, substrings, token_counts, token_file, toxicity
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -15,7 +15,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_mixing")
+@query("op1_mixing", sql.MIXING)
 def mixing_query(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -27,7 +27,7 @@ def secrets_query(spark, sf):
     return secret_scan.scan_secrets(table(spark, sf, "documents"), repo, F.col("source"))
 
 
-@query("op3_near_dedup")
+@query("op3_near_dedup", sql.NEAR_DEDUP)
 def near_dedup_query(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents"), size=3, threshold=85)
 
@@ -53,12 +53,12 @@ def substrings_query(spark, sf):
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-@query("op8_nearest")
+@query("op8_nearest", sql.NEAREST)
 def nearest_query(spark, sf):
     return nearest.top_neighbours(table(spark, sf, "embeddings"))
 
 
-@query("op9_exact_dedup")
+@query("op9_exact_dedup", sql.EXACT_DEDUP)
 def exact_dedup_query(spark, sf):
     return exact_dedup.dedup(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

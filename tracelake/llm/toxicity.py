@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import worker_cache
+from tracelake.llm.common import fresh, worker_cache
 
 #: A term must be in so many toxic training documents, and so large a share of its documents must be toxic.
 MIN_TOXIC, MIN_SHARE = 3, 0.75
@@ -215,8 +215,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, weights)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1, higher: toxic likelier) to all rows; a missing or empty text is scored as one without terms."""
+def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
+    """Adds ``name`` (0 to 1, higher: toxic likelier) to all rows; a missing or empty text is scored as one without terms."""
     terms, weights = model.terms, model.weights
     key = f"toxic:{hash(tuple(terms))}"
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         x = np.array([features(t or "", lexicon, kinds) for t in texts]).reshape(len(texts), len(FEATURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30))))
 
-    return docs.withColumn("score", scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs.withColumn(name, scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -242,7 +242,5 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFra
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score is below ``threshold``, with their own columns."""
-    kept = docs.columns
-    marked = docs.withColumnRenamed("score", "_own_score") if "score" in kept else docs
-    out = score(marked, train(docs, labels)).filter(F.col("score") < threshold).drop("score")
-    return (out.withColumnRenamed("_own_score", "score") if "score" in kept else out).select(*[F.col(f"`{c}`") for c in kept])
+    (name,) = fresh(docs, "_score")
+    return score(docs, train(docs, labels), name).filter(F.col(name) < threshold).drop(name)
