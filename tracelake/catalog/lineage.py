@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.catalog.sql import on_traces, with_tables
@@ -18,7 +19,8 @@ _CHAINED = """SELECT *, json_extract_string(metadata, '$.lineage_run_id') AS run
 _KEPT = f"""SELECT *, count(*) OVER chain AS chain_size FROM ({_CHAINED})
   WINDOW chain AS (PARTITION BY org_id, workspace_id, trace_group_id, thread_id, run_id)
   QUALIFY row_number() OVER (PARTITION BY org_id, workspace_id, trace_group_id, thread_id, run_id ORDER BY created_at DESC, id DESC) <= 20"""
-_STEPS = f"""SELECT *, row_number() OVER (PARTITION BY trace_group_id, thread_id, run_id ORDER BY seq = 0, seq, created_at, id) AS step FROM ({_KEPT})"""
+_WHOLE = f"""SELECT *, count(*) OVER (PARTITION BY org_id, workspace_id, trace_group_id, thread_id, run_id) AS chain_size FROM ({_CHAINED})"""
+_STEPS = f"""SELECT *, row_number() OVER (PARTITION BY trace_group_id, thread_id, run_id ORDER BY seq = 0, seq, created_at, id) AS step FROM ({_WHOLE})"""
 
 
 @query(
@@ -34,7 +36,7 @@ def chain_items(spark, sf):
 
 @query("w1_checkpoint_steps", on_traces(f"SELECT trace_group_id AS group_id, run_id, id, step FROM ({_STEPS})"))
 def checkpoint_steps(spark, sf):
-    return ops.ordered_chains(derived.traces(spark, sf), 20).select("group_id", "run_id", "id", "step")
+    return ops.ordered_chains(derived.traces(spark, sf)).select("group_id", "run_id", "id", "step")
 
 
 _PATH_SEQ = """WITH a AS (SELECT *, CASE WHEN seq > 0 THEN seq ELSE 0 END AS s FROM checkpoints),
@@ -162,7 +164,7 @@ _LAGGED = f"""SELECT *, lag(id) OVER c AS p_id, lag(provider) OVER c AS p_provid
 )
 def checkpoint_diff(spark, sf):
     t = derived.traces(spark, sf).withColumn("request_body", F.col("metadata"))
-    d = diffs.checkpoint_diffs(ops.ordered_chains(diffs.digested(t), 20), ops.CHAIN_KEYS)
+    d = diffs.checkpoint_diffs(ops.ordered_chains(diffs.digested(t)), ops.CHAIN_KEYS)
     return d.select(
         "from_checkpoint_id", "to_checkpoint_id", "step", "provider_changed", "model_changed", "request_path_changed", "response_status_changed",
         "total_tokens_delta", "latency_ms_delta", F.round("estimated_cost_usd_delta", 8).alias("estimated_cost_usd_delta"),
@@ -184,7 +186,7 @@ _HAD = "CAST(regexp_extract(p_id, '[0-9]+$') AS BIGINT) % 3 = 0"
     ),
 )
 def metadata_key_diff(spark, sf):
-    d = diffs.checkpoint_diffs(ops.ordered_chains(derived.traces(spark, sf), 20), ops.CHAIN_KEYS)
+    d = diffs.checkpoint_diffs(ops.ordered_chains(derived.traces(spark, sf)), ops.CHAIN_KEYS)
     joined = {n: F.array_join(f"metadata_keys_{n}", ",").alias(n) for n in ("added", "removed", "changed")}
     return d.select("from_checkpoint_id", "to_checkpoint_id", *joined.values())
 
@@ -214,7 +216,7 @@ def add_if_missing(spark, sf):
 @query(
     "l8_debug_chain",
     on_traces(
-        f"""SELECT trace_group_id AS group_id, run_id, step, id, p_id AS from_checkpoint_id, total_tokens - p_tokens AS total_tokens_delta, chain_size > 20 AS truncated, sha256(metadata) AS request_sha,
+        f"""SELECT trace_group_id AS group_id, run_id, step, id, p_id AS from_checkpoint_id, total_tokens - p_tokens AS total_tokens_delta, false AS truncated, sha256(metadata) AS request_sha,
         'trace_group_id' AS lineage_identifier FROM ({_LAGGED})"""
     ),
 )
@@ -223,15 +225,15 @@ def debug_chain(spark, sf):
 
     t = derived.traces(spark, sf)
     bodies = t.select(F.col("id").alias("trace_id"), gzip_text("metadata").alias("request_body_gzip"), F.lit(None).cast("binary").alias("response_body_gzip"))
-    d = debug.debug_chain(t, bodies, 20)
+    d = debug.debug_chain(t, bodies)
     return d.select(
         "group_id", "run_id", "step", "id", "from_checkpoint_id", "total_tokens_delta", "truncated", F.sha2("request_body", 256).alias("request_sha"), "lineage_identifier"
     )
 
 
-@query("s21_debug_bundle_export")
+@query("s21_debug_bundle_export", on_traces(f"SELECT sha256(concat_ws('|', org_id, workspace_id, trace_group_id, thread_id, run_id, '')) AS name, count(*) AS checkpoints FROM ({_WHOLE}) GROUP BY org_id, workspace_id, trace_group_id, thread_id, run_id"))
 def debug_bundle_export(spark, sf):
-    return debug.export_bundles(debug.debug_chain(derived.traces(spark, sf), limit=20), new_folder(spark, "bundles"))
+    return debug.export_bundles(debug.debug_chain(derived.traces(spark, sf)), new_folder(spark, "bundles")).select("name", "checkpoints")
 
 
 @query(
@@ -252,5 +254,38 @@ def forest(spark, sf):
     with_tables("SELECT id, parent_id FROM checkpoints WHERE parent_id IS NOT NULL", "checkpoints"),
 )
 def parent_link(spark, sf):
-    items = ops.chain_items(derived.checkpoints(spark, sf))
-    return joins.parent_links(items, ops.CHAIN_KEYS).select("id", "parent_id")
+    return joins.parent_links(ops.chained(derived.checkpoints(spark, sf)), ops.CHAIN_KEYS).select("id", "parent_id")
+
+
+# Five long chains: all traces whose user leaves the same rest; the parent is the user's own event before.
+_LONG = """SELECT id, 'long-' || CAST(user_id % 5 AS VARCHAR) AS chain, lag(id) OVER (PARTITION BY user_id ORDER BY created_at, id) AS parent_id, created_at
+  FROM (SELECT *, CAST(regexp_extract(trace_group_id, '[0-9]+') AS BIGINT) AS user_id FROM traces)"""
+
+
+def _long_chains(spark, sf, linked: bool):
+    t = derived.traces(spark, sf)
+    user = F.regexp_extract("trace_group_id", "[0-9]+", 0).cast("long")
+    before = F.lag("id").over(Window.partitionBy("trace_group_id").orderBy("created_at", "id"))
+    meta = F.to_json(F.struct(before.alias("lineage_parent_checkpoint_id"))) if linked else F.lit("{}")
+    return t.withColumns({"metadata": meta, "trace_group_id": F.concat(F.lit("long-"), (user % 5).cast("string")), "org_id": F.lit("o"), "workspace_id": F.lit("w")})
+
+
+@query("j6_parent_link_long", on_traces(f"SELECT id, parent_id FROM ({_LONG}) WHERE parent_id IS NOT NULL"))
+def parent_link_long(spark, sf):
+    return joins.parent_links(ops.chained(_long_chains(spark, sf, True)), ops.CHAIN_KEYS).select("id", "parent_id")
+
+
+@query("l9_forest_long", on_traces(f"SELECT id, coalesce(parent_id, '') AS parent_id, parent_id IS NULL AS is_root FROM ({_LONG})"))
+def forest_long(spark, sf):
+    return ops.forest(_long_chains(spark, sf, True)).select("id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "is_root")
+
+
+@query("w1_checkpoint_steps_long", on_traces(f"SELECT id, row_number() OVER (PARTITION BY chain ORDER BY created_at, id) AS step, count(*) OVER (PARTITION BY chain) AS chain_size FROM ({_LONG})"))
+def checkpoint_steps_long(spark, sf):
+    return ops.ordered_chains(_long_chains(spark, sf, False)).select("id", "step", "chain_size")
+
+
+@query("l3_lineage_order_long", on_traces(f"SELECT id, row_number() OVER (PARTITION BY chain ORDER BY created_at, id) AS step FROM ({_LONG})"))
+def lineage_order_long(spark, sf):
+    """Each user's events hang below one another; among those ready the oldest is next, which is the order of time."""
+    return ops.ordered_chains(_long_chains(spark, sf, True)).select("id", "step")

@@ -174,7 +174,7 @@ def json_redactor(denied: Sequence[str] = DENIED_KEYS, detectors: Sequence[str]
             try:
                 cleaned = json.dumps(clean(json.loads(body), salt or "", hits), ensure_ascii=False, separators=(",", ":"))
                 rows.append((cleaned, hits[0]))
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):  # no JSON, or nested deeper than it can be walked
                 rows.append((None, -1))
         return pd.DataFrame(rows, columns=["body", "hits"])
 

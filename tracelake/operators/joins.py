@@ -35,24 +35,20 @@ def route_join(paths: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def parent_links(rows: DataFrame, chain: Sequence[str]) -> DataFrame:
-    """Edges child -> parent within a chain.
+    """Edges child -> parent within a chain, over all its rows.
 
-    ``rows`` has the chain columns, id, position, checkpoint_id and parent_checkpoint_id. Of several
-    rows with one checkpoint id the first (lowest position) is the parent; a row is never its own.
+    ``rows`` has the chain columns, id, created_at, checkpoint_id and parent_checkpoint_id. Of several
+    rows with one checkpoint id the newest is the parent; a row is never its own.
     """
     chain = list(chain)
     owners = (
         rows.filter(F.col("checkpoint_id") != "")
         .groupBy(*chain, "checkpoint_id")
-        .agg(F.min(F.struct("position", "id")).alias("o"))
-        .select(*chain, F.col("checkpoint_id").alias("parent_checkpoint_id"), F.col("o.id").alias("parent_id"), F.col("o.position").alias("parent_position"))
+        .agg(F.max(F.struct("created_at", "id")).alias("o"))
+        .select(*chain, F.col("checkpoint_id").alias("parent_checkpoint_id"), F.col("o.id").alias("parent_id"))
     )
     children = rows.filter(F.col("parent_checkpoint_id") != "")
-    return (
-        children.join(owners, [*chain, "parent_checkpoint_id"])
-        .filter(F.col("parent_position") != F.col("position"))
-        .select(*chain, "id", "parent_id")
-    )
+    return children.join(owners, [*chain, "parent_checkpoint_id"]).filter(F.col("parent_id") != F.col("id")).select(*chain, "id", "parent_id")
 
 
 def key_identity(requests: DataFrame, keys: DataFrame, token_hash: str = "token_hash") -> DataFrame:

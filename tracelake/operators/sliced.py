@@ -21,6 +21,15 @@ def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def _join_null_safe(rows: DataFrame, totals: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key or a NULL time (its own slice) finds its totals."""
+    named = totals.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return rows.join(named, same).drop(*[f"_on_{c}" for c in on])
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,7 +68,7 @@ def running_sums(
     inside = (
         Window.partitionBy(*keys, SLICE).orderBy(*[towards(c) for c in order]).rowsBetween(Window.unboundedPreceding, last)
     )
-    joined = rows.join(carried, [*keys, SLICE])
+    joined = _join_null_safe(rows, carried, [*keys, SLICE])
     out = joined.withColumns(
         {n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names}
     )
@@ -75,14 +84,14 @@ def running_max(
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*keys, SLICE).agg(F.max("_v").alias("_t")).select(*keys, SLICE, F.max("_t").over(before).alias("_c"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(carried, [*keys, SLICE]).withColumn(name, F.greatest("_c", F.max("_v").over(inside)))
+    out = _join_null_safe(rows, carried, [*keys, SLICE]).withColumn(name, F.greatest("_c", F.max("_v").over(inside)))
     return out.select(*df.columns, name)
 
 
 def trailing_count(
     df: DataFrame, keys: Sequence[str], time_col: str, seconds: int, name: str
 ) -> DataFrame:
-    """Rows of the same key within the last ``seconds``, both ends included, ties included.
+    """Rows of the same key within the last ``seconds``, both ends included, ties included; rows without a time count each other.
 
     Each row is also shown to the next slice; a window then spans at most two slices of one key.
     """
@@ -90,12 +99,12 @@ def trailing_count(
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     span = seconds * 1_000_000
     shown = df.withColumns({"_us": micros, "_home": F.floor(micros / F.lit(span)).cast("bigint")}).withColumn(
-        SLICE, F.explode(F.array(F.col("_home"), F.col("_home") + 1))
+        SLICE, F.explode(F.when(F.col("_home").isNull(), F.array(F.col("_home"))).otherwise(F.array(F.col("_home"), F.col("_home") + 1)))
     )
     within = Window.partitionBy(*keys, SLICE).orderBy("_us").rangeBetween(-span, 0)
     return (
         shown.withColumn(name, F.count(F.lit(1)).over(within))
-        .filter(F.col(SLICE) == F.col("_home"))
+        .filter(F.col(SLICE).eqNullSafe(F.col("_home")))
         .select(*df.columns, name)
     )
 

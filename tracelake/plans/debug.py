@@ -14,10 +14,10 @@ from tracelake.sources.store import hydrate
 DOCUMENT_VERSION = "debug-chain.v1"
 
 
-def debug_chain(traces: DataFrame, bodies: DataFrame | None = None, limit: int = 0) -> DataFrame:
+def debug_chain(traces: DataFrame, bodies: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Ordered checkpoints of every chain with the differences to the step before.
 
-    Bodies, if given, are joined after the chains are cut.
+    All checkpoints, or the newest ``limit``; ``truncated`` says so. Bodies, if given, are joined by id at the end.
     """
     ordered = ordered_chains(digested(traces), limit)
     keys = list(CHAIN_KEYS)
@@ -32,24 +32,21 @@ def debug_chain(traces: DataFrame, bodies: DataFrame | None = None, limit: int =
 
 
 def export_bundles(chain: DataFrame, path: str) -> DataFrame:
-    """Write one JSON document per chain (500 checkpoints at most) and return the manifest.
+    """Write one JSON line per checkpoint, by chain and step, and return the manifest of the chains.
 
-    Documents are lines of compressed files below ``path``; the manifest names each with its size
-    and hash and is written last.
+    No row holds more than one checkpoint's bodies, however long its chain. The manifest names each chain with its
+    checkpoints, its bytes and the hash of its lines' hashes in order; it is written last.
     """
     spark = chain.sparkSession
     keys = list(CHAIN_KEYS)
     fields = [c for c in ("step", "id", "order_time", "provider", "model", "request_path", "response_status", "total_tokens", "latency_ms", "metadata", "request_body", "response_body") if c in chain.columns]
-    packed = chain.groupBy(*keys, "lineage_identifier").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("checkpoints"), F.max("truncated").alias("truncated")
-    )
-    name = F.sha2(F.concat_ws("|", *keys), 256)
-    document = F.to_json(
-        F.struct(F.lit(DOCUMENT_VERSION).alias("schema_version"), F.struct(*keys, "lineage_identifier", "truncated", F.size("checkpoints").alias("checkpoint_count"), "checkpoints").alias("chain"))
-    )
+    line = F.to_json(F.struct(F.lit(DOCUMENT_VERSION).alias("schema_version"), *keys, "lineage_identifier", "truncated", *fields))
     folder = os.path.join(path, "chains")
-    packed.select(name.alias("name"), document.alias("document")).write.mode("overwrite").option("compression", "gzip").json(folder)
-    written = spark.read.schema("name string, document string").json(folder)
-    manifest = written.select("name", F.octet_length("document").alias("bytes"), F.sha2("document", 256).alias("sha256"))
+    lines = chain.select(F.sha2(F.concat_ws("|", *keys), 256).alias("name"), "step", line.alias("document"))
+    lines.repartitionByRange("name", "step").sortWithinPartitions("name", "step").write.mode("overwrite").option("compression", "gzip").json(folder)
+    written = spark.read.schema("name string, step int, document string").json(folder)
+    each = written.select("name", F.struct("step", F.sha2("document", 256).alias("sha")).alias("line"), F.octet_length("document").alias("size"))
+    hashes = F.transform(F.array_sort(F.collect_list("line")), lambda s: s["sha"])
+    manifest = each.groupBy("name").agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("size").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("sha256"))
     manifest.write.mode("overwrite").json(os.path.join(path, "manifest"))
     return spark.read.schema(manifest.schema).json(os.path.join(path, "manifest"))

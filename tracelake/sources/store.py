@@ -149,7 +149,17 @@ def gzip_text(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def gunzip_text(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None or not len(b) else zlib.decompress(b, 31).decode("utf-8", "replace"))
+    """Text of stored bodies; one that cannot be unpacked is NULL, like a missing one."""
+
+    def unpack(packed) -> str | None:
+        if packed is None or not len(packed):
+            return None
+        try:
+            return zlib.decompress(packed, 31).decode("utf-8", "replace")
+        except zlib.error:
+            return None
+
+    return data.map(unpack)
 
 
 def body_columns(side: str, body: Column, given_bytes: Column, given_sha: Column) -> dict[str, Column]:

@@ -53,8 +53,8 @@ def ingest_stream(exchanges: DataFrame, build: Callable[[DataFrame], DataFrame],
     """Exchange stream -> trace table, tenant table and rejected rows (three paths).
 
     ``build`` turns exchanges into trace rows. Each micro-batch adds its missing tenants first and
-    then only ids the table does not hold, so a batch that runs twice changes nothing. Only the
-    table's days that occur in the batch are read for that check.
+    then only ids that no other batch has stored, on whatever day. Traces and rejects lie below their
+    epoch, which a repeated batch replaces.
     """
     traces_path, tenants_path, rejects_path = (os.path.join(folder, n) for n in ("traces", "tenants", "rejects"))
 
@@ -67,13 +67,13 @@ def ingest_stream(exchanges: DataFrame, build: Callable[[DataFrame], DataFrame],
             known = _stored(spark, tenants_path, tenant_schema)
             tenants = ensure_tenants(rows, spark.createDataFrame([], tenant_schema) if known is None else known)
             tenants.coalesce(1).write.mode("append").parquet(tenants_path)
-            # A micro-batch spans few days, whatever its row count.
-            days = [r["day"] for r in rows.select("day").distinct().collect()]
+            # The id is the key of the whole table: only its column is read, whatever the day.
             stored = _stored(spark, traces_path, rows.schema)
-            target = rows.select("id", "day").limit(0) if stored is None else stored.filter(F.col("day").isin(days))
+            target = rows.select("id").limit(0) if stored is None else stored.filter(F.col("epoch") != epoch).select("id")
             result = append_batch(rows, target)
-            result.accepted.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(traces_path)
-            result.rejected.withColumn("epoch", F.lit(epoch)).coalesce(1).write.mode("append").parquet(rejects_path)
+            # An epoch's own folders are replaced, so a batch that runs twice changes nothing.
+            for part, path in ((result.accepted.hint("rebalance", "day"), traces_path), (result.rejected, rejects_path)):
+                part.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", *(["day"] if path == traces_path else [])).parquet(path)
         finally:
             rows.unpersist()
 
