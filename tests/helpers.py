@@ -15,7 +15,7 @@ def at(seconds: float) -> dt.datetime:
 def trace(row_id: str, seconds: float = 0, **fields) -> dict:
     row = {f.name: None for f in TRACE_SCHEMA.fields}
     row.update(id=row_id, org_id="default", workspace_id="default", timestamp=at(seconds), created_at=at(seconds), metadata="{}")
-    row.update(provider="openai", model="m", request_method="POST", request_path="/llm", response_status=200, api_key_hash="", gateway_key_id="")
+    row.update(provider="openai", model="m", request_method="POST", request_path="/llm", response_status=200, api_key_hash="", access_key_id="")
     row.update(input_tokens=0, output_tokens=0, total_tokens=0, latency_ms=0, time_to_first_token_ms=0, time_to_first_token_us=0, estimated_cost_usd=0.0, trace_group_id="")
     meta = fields.pop("meta", None)
     if meta is not None:

@@ -6,30 +6,43 @@ from tracelake.operators.filters import TraceFilter, apply_filter
 from tracelake.plans.report import report_sections
 
 
+# model, provider, key, input, output, latency, first token, cost in thousandths
+CALLS = [
+    ("mini", "openai", "ka", 11, 4, 70, 7, 4),
+    ("mini", "openai", "ka", 2, 9, 130, 0, 0),
+    ("mini", "openai", "kb", 40, 1, 10, 3, 5),
+    ("opus", "anthropic", "kb", 8, 8, 900, 60, 12),
+    ("opus", "anthropic", "", 1, 0, 40, 0, 1),
+]
+
+
 @pytest.fixture(scope="module")
 def stats(spark):
-    chat, claude = "/openai/v1/chat/completions", "/anthropic/v1/messages"
     rows = [
-        trace("s1", 1, model="gpt-4o-mini", request_path=chat, input_tokens=10, output_tokens=20, total_tokens=30, latency_ms=100,
-              time_to_first_token_ms=10, api_key_hash="key-a", gateway_key_id="gw-a", estimated_cost_usd=0.001),
-        trace("s2", 2, model="gpt-4o-mini", request_path=chat, input_tokens=5, output_tokens=5, total_tokens=10, latency_ms=200,
-              time_to_first_token_ms=20, api_key_hash="key-a", gateway_key_id="gw-a", estimated_cost_usd=0.002),
-        trace("s3", 3, provider="anthropic", model="claude-haiku-4-5-20251001", request_path=claude, input_tokens=7, output_tokens=3,
-              total_tokens=10, latency_ms=300, time_to_first_token_ms=30, api_key_hash="key-b", gateway_key_id="gw-b", estimated_cost_usd=0.003),
+        trace(f"c{n}", n, model=m, provider=p, api_key_hash=k, access_key_id=f"id-{k}" if k else "", input_tokens=i, output_tokens=o, total_tokens=i + o, latency_ms=ms,
+              time_to_first_token_ms=first, estimated_cost_usd=cost / 1000)
+        for n, (m, p, k, i, o, ms, first, cost) in enumerate(CALLS)
     ]
     return traces(spark, rows)
 
 
+def column(at, **only):
+    where = {"provider": 1, "key": 2}
+    return [c[at] for c in CALLS if all(c[where[n]] == v for n, v in only.items())]
+
+
 def test_usage_cost_and_models(stats):
     openai = apply_filter(stats, TraceFilter(provider="openai"))
-    assert dicts(a.usage_summary(openai)) == [{"total_input_tokens": 15, "total_output_tokens": 25, "total_tokens": 40}]
-    assert dicts(a.cost_summary(openai))[0]["total_cost_usd"] == pytest.approx(0.003)
+    i, o = sum(column(3, provider="openai")), sum(column(4, provider="openai"))
+    assert dicts(a.usage_summary(openai)) == [{"total_input_tokens": i, "total_output_tokens": o, "total_tokens": i + o}]
+    assert dicts(a.cost_summary(openai))[0]["total_cost_usd"] == pytest.approx(sum(column(7, provider="openai")) / 1000)
     mini = dicts(a.model_stats(openai))[0]
-    assert (mini["request_count"], mini["avg_latency_ms"], mini["avg_ttft_ms"], mini["total_tokens"]) == (2, 150, 15, 40)
+    assert (mini["request_count"], mini["avg_latency_ms"], mini["total_tokens"]) == (3, pytest.approx(70), i + o)
 
 
-def test_gateway_key_filter_and_empty_sums(stats):
-    assert dicts(a.usage_summary(apply_filter(stats, TraceFilter(gateway_key_id="gw-b"))))[0]["total_tokens"] == 10
+def test_access_key_filter_and_empty_sums(stats):
+    own = dicts(a.usage_summary(apply_filter(stats, TraceFilter(access_key_id="id-kb"))))[0]
+    assert own["total_tokens"] == sum(column(3, key="kb")) + sum(column(4, key="kb"))
     nothing = apply_filter(stats, TraceFilter(provider="none"))
     assert dicts(a.usage_summary(nothing)) == [{"total_input_tokens": 0, "total_output_tokens": 0, "total_tokens": 0}]
     assert dicts(a.cost_summary(nothing)) == [{"total_cost_usd": 0.0}]
@@ -39,9 +52,9 @@ def test_gateway_key_filter_and_empty_sums(stats):
 
 def test_series_sum_to_the_summary(stats):
     points = dicts(a.usage_series(stats, "day", "provider"), "group_key")
-    assert [(p["group_key"], p["total_tokens"]) for p in points] == [("anthropic", 10), ("openai", 40)]
+    assert [(p["group_key"], p["total_tokens"]) for p in points] == [(n, sum(column(3, provider=n)) + sum(column(4, provider=n))) for n in ("anthropic", "openai")]
     costs = dicts(a.cost_series(stats, "hour", "provider"), "group_key")
-    assert costs[1]["avg_cost_usd"] == pytest.approx(0.0015)
+    assert costs[1]["avg_cost_usd"] == pytest.approx(0.003)
     assert sum(p["total_tokens"] for p in points) == dicts(a.usage_summary(stats))[0]["total_tokens"]
     with pytest.raises(ValueError):
         a.usage_series(stats, "month")
@@ -57,19 +70,20 @@ def test_report_orders_and_ties(spark):
     assert dicts(sections["summary"])[0]["active_keys"] == 3
 
 
-LATENCIES = [("openai", 50, 200), ("openai", 100, 200), ("openai", 150, 400), ("openai", 200, 200), ("openai", 500, 500),
-             ("anthropic", 80, 200), ("anthropic", 120, 429), ("anthropic", 300, 502)]
-
-
 def test_latency_and_errors(spark):
-    t = traces(spark, [trace(f"l{i}", i, provider=p, latency_ms=ms, response_status=s) for i, (p, ms, s) in enumerate(LATENCIES)])
+    calls = [("a" if n % 3 else "b", 7 * n * n % 101, (200, 404, 503, 201)[n % 4]) for n in range(23)]
+    t = traces(spark, [trace(f"l{i}", i, provider=p, latency_ms=ms, response_status=s) for i, (p, ms, s) in enumerate(calls)])
     by = {r["group_key"]: r for r in dicts(a.latency_percentiles(t, "provider"))}
-    assert (by["openai"]["request_count"], by["openai"]["min_ms"], by["openai"]["max_ms"], by["openai"]["p50_ms"]) == (5, 50, 500, 150)
-    assert (by["anthropic"]["request_count"], by["anthropic"]["min_ms"], by["anthropic"]["max_ms"]) == (3, 80, 300)
-    assert dicts(a.latency_percentiles(t))[0]["request_count"] == 8
     errors = {r["group_key"]: r for r in dicts(a.error_rates(t, "provider"))}
-    assert (errors["openai"]["error_count_4xx"], errors["openai"]["error_count_5xx"]) == (1, 1)
-    assert errors["anthropic"]["error_rate"] == pytest.approx(2 / 3)
+    for name in ("a", "b"):
+        times = sorted(ms for p, ms, _ in calls if p == name)
+        status = [s for p, _, s in calls if p == name]
+        middle = (len(times) - 1) / 2
+        half = times[int(middle)] + (times[-int(-middle // 1)] - times[int(middle)]) * (middle % 1)
+        assert (by[name]["request_count"], by[name]["min_ms"], by[name]["max_ms"], by[name]["p50_ms"]) == (len(times), times[0], times[-1], half)
+        assert (errors[name]["error_count_4xx"], errors[name]["error_count_5xx"]) == (status.count(404), status.count(503))
+        assert errors[name]["error_rate"] == pytest.approx((status.count(404) + status.count(503)) / len(status))
+    assert dicts(a.latency_percentiles(t))[0]["request_count"] == len(calls)
 
 
 def test_percentile_points(spark):

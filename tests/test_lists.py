@@ -86,11 +86,11 @@ def test_time_bounds(spark):
 
 def test_normalize_defaults(spark):
     row = trace("n", org_id="", workspace_id=None, provider="", model=None, request_method="", request_path="", input_tokens=3,
-                output_tokens=4, time_to_first_token_us=1500, gateway_key_id="", meta={"gateway_key_id": " gk "})
+                output_tokens=4, time_to_first_token_us=1500, access_key_id="", meta={"access_key_id": " gk "})
     got = dicts(normalize(traces(spark, [row])))[0]
     assert (got["org_id"], got["workspace_id"], got["provider"], got["model"]) == ("default", "default", "unknown", "unknown")
     assert (got["request_method"], got["request_path"], got["total_tokens"]) == ("UNKNOWN", "/", 7)
-    assert (got["time_to_first_token_ms"], got["gateway_key_id"]) == (2, "gk")
+    assert (got["time_to_first_token_ms"], got["access_key_id"]) == (2, "gk")
 
 
 def test_filters_reach_the_file_scan(spark, tmp_path):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import at, dicts, trace, traces
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from tracelake.operators import lineage
 from tracelake.operators.limits import Policy, admit, limit_decisions, quota_codes, replay_limit
 from tracelake.operators.sliced import running_max, running_sums, top_rows, trailing_count
-from tracelake.operators.turns import message_type, turn_table
-from tracelake.streaming.jobs import _Connection
+from tracelake.operators.turns import ITEM, OPENERS, RESPONSE, START, TERMINALS, message_type, turn_table
+from tracelake.streaming.jobs import _FRESH, _left_open, turns_of
 
 HOT = 0.4
 
@@ -87,6 +88,13 @@ def test_replay_limit_equals_the_simple_rule():
     assert yes.tolist() == [True, True, False, False, True] and wait.tolist() == [0, 0, 60, 1, 0]
 
 
+def test_null_keys_and_times_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, "a", at(0), 1), ("k", "b", None, 2), ("k", "c", at(5), 3), ("k", "d", None, 4), (None, "e", at(700), 5)], "k string, id string, ts timestamp, v int")
+    got = {r["id"]: r["n"] for r in running_sums(df, ["k"], "ts", ["ts", "id"], {"n": F.col("v")}).collect()}
+    assert got == {"a": 1, "e": 6, "b": 2, "d": 6, "c": 9}
+    assert {r["id"]: r["n"] for r in trailing_count(df, ["k"], "ts", 60, "n").collect()} == {"a": 1, "e": 1, "b": 2, "d": 2, "c": 1}
+
+
 @pytest.mark.parametrize("chunk_rows", [25, 500_000])
 @pytest.mark.parametrize("limit", [1, 4])
 def test_admission_of_busy_and_quiet_scopes(spark, rows, limit, chunk_rows):
@@ -100,8 +108,8 @@ def test_admission_of_busy_and_quiet_scopes(spark, rows, limit, chunk_rows):
 
 
 def test_quota_counts_earlier_rows_of_the_day(spark):
-    rows = [trace(f"q{i}", i * 60, gateway_key_id="k" if i != 2 else "other", total_tokens=50, estimated_cost_usd=1.0) for i in range(5)]
-    rows.append(trace("next-day", 23 * 3600, gateway_key_id="k", total_tokens=50))
+    rows = [trace(f"q{i}", i * 60, access_key_id="k" if i != 2 else "other", total_tokens=50, estimated_cost_usd=1.0) for i in range(5)]
+    rows.append(trace("next-day", 23 * 3600, access_key_id="k", total_tokens=50))
     got = {r["id"]: r["quota_code"] for r in dicts(quota_codes(traces(spark, rows), Policy(0, 100), Policy(0, 0, 4.0)))}
     assert got == {"q0": "", "q1": "", "q2": "", "q3": "KEY_DAILY_TOKENS_EXCEEDED", "q4": "KEY_DAILY_TOKENS_EXCEEDED", "next-day": ""}
     only_workspace = {r["id"]: r["quota_code"] for r in dicts(quota_codes(traces(spark, rows), Policy(), Policy(0, 0, 4.0)))}
@@ -109,7 +117,7 @@ def test_quota_counts_earlier_rows_of_the_day(spark):
 
 
 def test_quota_denials_do_not_use_rate_slots(spark):
-    rows = [trace(f"d{i}", i, gateway_key_id="k", total_tokens=60) for i in range(4)]
+    rows = [trace(f"d{i}", i, access_key_id="k", total_tokens=60) for i in range(4)]
     got = {r["id"]: r["limit_code"] for r in dicts(limit_decisions(traces(spark, rows), Policy(1, 100), Policy()))}
     assert got == {"d0": "", "d1": "KEY_RATE_LIMIT_EXCEEDED", "d2": "KEY_DAILY_TOKENS_EXCEEDED", "d3": "KEY_DAILY_TOKENS_EXCEEDED"}
 
@@ -117,40 +125,101 @@ def test_quota_denials_do_not_use_rate_slots(spark):
 WORDS = ["conversation.item.create", "response.create", "turn/start", "turn/steer", "response.done", "turn/completed", "", "x"]
 
 
-def test_turns_equal_a_message_by_message_replay(spark):
+def kind_open_after(messages):
+    """Kind of the turn that is open after the messages, found by looking back anew from the last forcing one."""
+    kind = None
+    for i in range(len(messages) - 1, -1, -1):
+        _, _, _, direction, opcode, word, _, _ = messages[i]
+        client = direction == "client_to_upstream"
+        if client and opcode == "text" and word == START:
+            kind, rest = START, messages[i + 1 :]
+            break
+        if opcode == "close" or (not client and opcode == "text" and word in TERMINALS):
+            kind, rest = None, messages[i + 1 :]
+            break
+    else:
+        rest = messages
+    asked = [m[5] for m in rest if m[3] == "client_to_upstream" and m[4] == "text"]
+    if kind is None:
+        asked = asked[next((n for n, w in enumerate(asked) if w in OPENERS), len(asked)) :]
+        kind = asked[0] if asked else None
+    return RESPONSE if kind not in (None, ITEM) and RESPONSE in asked else kind
+
+
+def plain_turns(conn, messages):
+    """All turns of one connection: each message's turn follows from what was open before and after it."""
+    turns, code = [], 0
+    us = lambda m: (m[2] - at(0)) // dt.timedelta(microseconds=1)
+    for i, m in enumerate(messages):
+        before, after = kind_open_after(messages[:i]), kind_open_after(messages[: i + 1])
+        client, text = m[3] == "client_to_upstream", m[4] == "text"
+        code = m[7] if m[4] == "close" else code
+        fresh = after is not None and (before is None or (client and text and (m[5] == START or (m[5] == RESPONSE and before != ITEM))))
+        if fresh:
+            if before is not None:
+                turns[-1].update(why="next_turn_start", ended=us(m), incomplete=True, code=code)
+            turns.append({"kind": m[5], "started": us(m), "req": 0, "res": 0, "req_bytes": 0, "res_bytes": 0, "waits": []})
+        if (before is not None or fresh) and m[4] != "close":
+            side = "req" if client else "res"
+            turns[-1][side] += 1
+            turns[-1][f"{side}_bytes"] += m[6]
+            turns[-1]["waits"] += [] if client else [us(m) - turns[-1]["started"]]
+        if before is not None and after is None:
+            closed = m[4] == "close"
+            turns[-1].update(why="websocket_close" if closed else m[5], ended=us(m), incomplete=closed, code=code)
+    for t in turns:
+        if "why" not in t:
+            t.update(why="connection_closed", ended=us(messages[-1]), incomplete=True, code=code)
+    return [
+        (n, t["kind"], t["why"], t["incomplete"], t["started"], t["ended"], t["req"], t["res"], t["req_bytes"], t["res_bytes"], next((w for w in t["waits"] if w), 0), t["code"]) for n, t in enumerate(turns, 1)
+    ]
+
+
+@pytest.fixture(scope="module")
+def talk():
     rng = random.Random(5)
     messages = []
     for i in range(500):
         conn = "hot" if rng.random() < HOT else f"c{rng.randrange(6)}"
         opcode = rng.choice(["text"] * 12 + ["binary", "close"])
-        messages.append((conn, i, at(rng.randrange(2000) / 2), rng.choice(["client_to_upstream", "upstream_to_client"]), opcode,
+        messages.append((conn, i, at(i + rng.randrange(1, 900) / 1000), rng.choice(["client_to_upstream", "upstream_to_client"]), opcode,
                          rng.choice(WORDS) if opcode == "text" else "", rng.randrange(100), 1000 + i if opcode == "close" else 0))
-    df = spark.createDataFrame(messages, "connection_id string, msg_id int, ts timestamp, direction string, opcode string, msg_type string, bytes bigint, close_code int")
+    return messages
+
+
+def test_turns_equal_plain_ones(spark, talk):
+    df = spark.createDataFrame(talk, "connection_id string, msg_id int, ts timestamp, direction string, opcode string, msg_type string, bytes bigint, close_code int")
     got = {(r["connection_id"], r["turn_index"]): r for r in turn_table(df, slice_seconds=30).collect()}
-    want = {}
-    for conn in {m[0] for m in messages}:
-        replay = _Connection(conn, None)
-        for _, _, ts, direction, opcode, word, size, code in sorted((m for m in messages if m[0] == conn), key=lambda m: (m[2], m[1])):
-            replay.see((ts - at(0)) // dt.timedelta(microseconds=1), direction == "client_to_upstream", opcode, word, size, code)
-        replay.emit("connection_closed", replay.last, True)
-        want.update({(o[0], o[1]): o for o in replay.out})
+    want = {(c, t[0]): t for c in {m[0] for m in talk} for t in plain_turns(c, [m for m in talk if m[0] == c])}
     assert got.keys() == want.keys()
     for key, o in want.items():
         r = got[key]
-        assert (r["start_type"], r["terminal_type"], r["incomplete"]) == (o[2], o[3], o[4])
-        assert (r["request_messages"], r["response_messages"], r["request_bytes"], r["response_bytes"]) == o[7:11]
-        assert (r["first_response_us"], r["close_code"]) == o[11:13]
-
-
-def test_documented_turns(spark):
-    sent = [("c", '{"method":"initialize"}'), ("c", '{"method":"turn/start"}'), ("c", '{"method":"turn/steer"}'), ("s", '{"method":"item/delta"}'),
-            ("s", '{"method":"turn/completed"}'), ("c", '{"method":"model/list"}')]
+        assert (r["start_type"], r["terminal_type"], r["incomplete"]) == o[1:4]
+        assert (r["request_messages"], r["response_messages"], r["request_bytes"], r["response_bytes"]) == o[6:10]
+        assert (r["first_response_us"], r["close_code"]) == o[10:12]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 17, 1000])
+def test_turns_of_any_batches_equal_plain_ones(talk, batch):
+    for conn in {m[0] for m in talk}:
+        messages = [m for m in talk if m[0] == conn]
+        frame = pd.DataFrame([((m[2] - at(0)) // dt.timedelta(microseconds=1), *m[3:]) for m in messages], columns=["us", "direction", "opcode", "msg_type", "bytes", "close_code"])
+        out, saved = [], _FRESH
+        for i in range(0, len(frame), batch):
+            ended, saved = turns_of(frame.iloc[i : i + batch], saved)
+            out += ended
+        assert out + ([_left_open(saved)] if saved[1] is not None else []) == plain_turns(conn, messages)
+
+
+def test_a_turn_from_payloads(spark):
+    sent = [("c", '{"id":7,"method":"session/open"}'), ("s", '{"method":"session/ready"}'), ("c", '{"type":"conversation.item.create"}'), ("c", '{"type":"response.create"}'),
+            ("s", '{"type":"response.output_text.delta"}'), ("s", "no json"), ("s", '{"type":"response.completed"}'), ("c", '{"method":"session/list"}')]
     df = spark.createDataFrame(
         [("ws", i, at(i), "client_to_upstream" if d == "c" else "upstream_to_client", "text", p, len(p), 0) for i, (d, p) in enumerate(sent)],
         "connection_id string, msg_id int, ts timestamp, direction string, opcode string, payload string, bytes bigint, close_code int",
     ).withColumn("msg_type", message_type("payload"))
     (turn,) = turn_table(df).collect()
-    assert (turn["start_type"], turn["terminal_type"], turn["request_messages"], turn["response_messages"], turn["incomplete"]) == ("turn/start", "turn/completed", 2, 2, False)
+    assert (turn["start_type"], turn["terminal_type"], turn["request_messages"], turn["response_messages"], turn["incomplete"]) == (ITEM, "response.completed", 2, 3, False)
 
 
 def naive_order(names, parents, seqs, ties):
@@ -159,18 +228,26 @@ def naive_order(names, parents, seqs, ties):
     for n, name in enumerate(names):
         first.setdefault(name, n)
     parent = [first.get(p) if p and first.get(p) != n else None for n, p in enumerate(parents)]
-    seq = list(seqs)
-    while True:
-        before = list(seq)
-        for n, p in enumerate(parent):
-            if not seq[n] and p is not None and seq[p]:
-                seq[n] = seq[p] + 1
-        for n in range(len(seq)):
-            below = [seq[c] - 1 for c, p in enumerate(parent) if p == n and seq[c] > 1]
-            if not seq[n] and below:
-                seq[n] = min(below)
-        if seq == before:
-            break
+
+    def circles(n):
+        seen = set()
+        at = parent[n]
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = parent[at]
+        return n in seen
+
+    def follows(n):
+        return seqs[n] or (seqs[parent[n]] + 1 if parent[n] is not None and seqs[parent[n]] else 0)
+
+    def leaves_room(n):
+        below = [] if circles(n) else [leaves_room(c) for c, p in enumerate(parent) if p == n]
+        return follows(n) or min((v - 1 for v in below if v > 1), default=0)
+
+    def counted_on(n):
+        return leaves_room(n) or (0 if circles(n) or parent[n] is None or not counted_on(parent[n]) else counted_on(parent[n]) + 1)
+
+    seq = [counted_on(n) for n in range(len(seqs))]
     rank = lambda n: (seq[n] == 0, seq[n], ties[n])
     order: list[int] = []
     while True:
@@ -234,3 +311,31 @@ def test_fork_plan(spark):
     assert got["a", "b"]["rejected"] == "different_group" and got["a", "b"]["group_id"] is None
     assert (got["c", "c"]["group_id"], got["c", "c"]["checkpoint_seq"]) == ("c", 1)
     assert got["a", "c"]["group_id"] == "g" and got["a", "c"]["run_id"].startswith("run_")
+
+
+def test_long_chains_are_not_cut(spark):
+    """260 checkpoints in one chain: every link, every number and one root."""
+    rows = [trace(f"t{n:03d}", n, meta={"lineage_group_id": "g", "lineage_checkpoint_id": f"c{n}", "lineage_checkpoint_seq": 1 if n == 0 else 0, **({"lineage_parent_checkpoint_id": f"c{n - 1}"} if n else {})}) for n in range(260)]
+    t = traces(spark, rows)
+    forest = lineage.forest(t).collect()
+    assert [r["id"] for r in forest if r["is_root"]] == ["t000"] and sum(r["in_degree"] for r in forest) == 259
+    ordered = {r["id"]: (r["step"], r["resolved_seq"], r["chain_size"], r["truncated"]) for r in lineage.ordered_chains(t).collect()}
+    assert ordered == {f"t{n:03d}": (n + 1, n + 1, 260, False) for n in range(260)}
+    cut = lineage.ordered_chains(t, 200).collect()
+    assert len(cut) == 200 and all(r["truncated"] for r in cut)
+
+
+def test_ids_are_unique_over_all_days(spark):
+    from tracelake.session import new_folder
+    from tracelake.streaming import jobs
+
+    schema = "id string, org_id string, workspace_id string, timestamp timestamp, created_at timestamp"
+    source, folder = new_folder(spark, "test-source"), new_folder(spark, "test-ingest")
+    for day in range(3):
+        row = lambda i, d: (i, "o", "w", at(86_400 * d), at(86_400 * d))
+        spark.createDataFrame([row("a", day), row(f"b{day}", day), row(f"b{day}", day)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        traces_path, _, rejects_path = jobs.ingest_stream(stream, lambda batch: batch, folder)
+    assert sorted(r["id"] for r in spark.read.parquet(traces_path).collect()) == ["a", "b0", "b1", "b2"]
+    rejects = sorted((r["id"], r["reason"], r["rows"]) for r in spark.read.parquet(rejects_path).collect())
+    assert rejects == [("a", "already_stored", 1)] * 2 + [(f"b{d}", "repeated_in_batch", 1) for d in range(3)]

@@ -70,7 +70,7 @@ def exchange(n: int, **fields):
 
 
 def test_build_and_enrich(spark):
-    headers = {"X-Gateway-Thread-Id": [" th "], "X-Gateway-Checkpoint-Seq": ["3"], "x-api-key": ["äöüß"], "X-Request-Id": ["bad id"], "X-Correlation-Id": ["ok-1"], "Set-Cookie": ["s"]}
+    headers = {"X-Trace-Thread-Id": [" th "], "X-Trace-Checkpoint-Seq": ["3"], "x-api-key": ["äöüß"], "X-Request-Id": ["bad id"], "X-Correlation-Id": ["ok-1"], "Set-Cookie": ["s"]}
     df = spark.createDataFrame([exchange(1), exchange(2, request_headers=headers, path="", method=None, time_to_first_token_us=1001)], EXCHANGE_SCHEMA)
     one, two = dicts(build_traces(df, {"openai": "/openai"}), "id")
     assert (one["provider"], one["model"], one["total_tokens"]) == ("openai", "gpt-4o", 110)

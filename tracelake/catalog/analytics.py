@@ -82,7 +82,7 @@ for _bucket, _group in (("hour", ""), ("day", "provider"), ("week", "model")):
         return out.withColumn("avg_cost_usd", F.round("avg_cost_usd", 6))
 
 
-_GROUP_SQL = {"": "''", "provider": "provider", "model": "model", "route": "request_path", "key": "gateway_key_id"}
+_GROUP_SQL = {"": "''", "provider": "provider", "model": "model", "route": "request_path", "key": "access_key_id"}
 
 for _group, _sql in _GROUP_SQL.items():
 
@@ -237,7 +237,7 @@ def distinct_active_keys(spark, sf):
 @query(
     "a22_daily_usage",
     on_traces(
-        """SELECT CAST(timestamp AS DATE) AS day, org_id, workspace_id, gateway_key_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+        """SELECT CAST(timestamp AS DATE) AS day, org_id, workspace_id, access_key_id, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
         round(sum(estimated_cost_usd), 8) AS total_cost_usd FROM traces GROUP BY ALL"""
     ),
 )

@@ -25,10 +25,10 @@ _CASES = (
     ("GET", "/api/analytics/summary", "require", "analytics", "analytics:read"),
     ("GET", "/api/analytics/latency", "deny", "api", ""),
     ("GET", "/api/diagnostics/trace-pipeline", "require", "diagnostics", "analytics:read"),
-    ("POST", "/api/gateway-keys", "require", "gateway_keys", "keys:manage"),
-    ("HEAD", "/api/gateway-keys", "deny", "api", ""),
-    ("DELETE", "/api/gateway-keys/k1", "require", "gateway_keys", "keys:manage"),
-    ("POST", "/api/gateway-keys/k1/rotate", "require", "gateway_keys", "keys:manage"),
+    ("POST", "/api/access-keys", "require", "access_keys", "keys:manage"),
+    ("HEAD", "/api/access-keys", "deny", "api", ""),
+    ("DELETE", "/api/access-keys/k1", "require", "access_keys", "keys:manage"),
+    ("POST", "/api/access-keys/k1/rotate", "require", "access_keys", "keys:manage"),
     ("OPTIONS", "/llm/v1", "bypass", "", ""),
     ("PUT", "/llm", "require", "proxy", "proxy:write"),
     ("GET", "/dashboard", "require", "dashboard", "analytics:read"),
@@ -55,14 +55,14 @@ def access_requirement(spark, sf):
 
 
 def _keys(spark, sf):
-    k = derived.gateway_keys(spark, sf)
+    k = derived.access_keys(spark, sf)
     return k.withColumn("permissions", F.array(F.col("extra_permission"), F.lit(" "))).drop("extra_permission")
 
 
 _PERMISSIONS = """CASE role WHEN 'owner' THEN 'analytics:read,keys:manage,proxy:write' WHEN 'developer' THEN 'analytics:read,proxy:write' WHEN 'viewer' THEN 'analytics:read' ELSE 'analytics:read' END"""
 
 
-@query("q2_effective_permissions", with_tables(f"SELECT id, {_PERMISSIONS} AS permissions FROM gateway_keys", "gateway_keys"))
+@query("q2_effective_permissions", with_tables(f"SELECT id, {_PERMISSIONS} AS permissions FROM access_keys", "access_keys"))
 def effective_permissions(spark, sf):
     granted = ops.effective_permissions(F.col("role"), F.col("permissions"))
     return _keys(spark, sf).select("id", F.array_join(F.array_sort(granted), ",").alias("permissions"))
@@ -74,7 +74,7 @@ def _log(spark, sf):
     return t.select(
         F.col("id").alias("request_id"),
         F.col("request_method").alias("method"),
-        F.when(F.col("latency_ms") % 11 == 0, F.lit("/api/gateway-keys")).when(F.col("latency_ms") % 11 == 1, F.lit("/api/nope")).otherwise(F.col("request_path")).alias("path"),
+        F.when(F.col("latency_ms") % 11 == 0, F.lit("/api/access-keys")).when(F.col("latency_ms") % 11 == 1, F.lit("/api/nope")).otherwise(F.col("request_path")).alias("path"),
         token.alias("token_hash"),
         (F.col("api_key_hash") != "").alias("has_credential"),
         F.when(F.col("total_tokens") > 900, F.lit("KEY_DAILY_TOKENS_EXCEEDED")).otherwise(F.lit("")).alias("limit_code"),
@@ -83,18 +83,18 @@ def _log(spark, sf):
 
 _DECISIONS = f"""SELECT t.id AS request_id, path, k.org_id, k.workspace_id, CASE
     WHEN path = '/api/nope' THEN 'action_unmapped' WHEN starts_with(path, '/llmish') THEN ''
-    WHEN input_tokens % 13 = 0 THEN 'missing_gateway_key' WHEN k.id IS NULL THEN 'invalid_gateway_key'
-    WHEN path = '/api/gateway-keys' THEN CASE WHEN role = 'owner' THEN '' ELSE 'permission_denied' END
+    WHEN input_tokens % 13 = 0 THEN 'missing_access_key' WHEN k.id IS NULL THEN 'invalid_access_key'
+    WHEN path = '/api/access-keys' THEN CASE WHEN role = 'owner' THEN '' ELSE 'permission_denied' END
     WHEN role IN ('viewer', 'custom') THEN 'permission_denied' WHEN api_key_hash = '' THEN 'missing_provider_credential'
     WHEN total_tokens > 900 THEN 'usage_limit_exceeded' ELSE '' END AS reason
-  FROM (SELECT *, CASE latency_ms % 11 WHEN 0 THEN '/api/gateway-keys' WHEN 1 THEN '/api/nope' ELSE request_path END AS path FROM traces) t
-  LEFT JOIN (SELECT * FROM gateway_keys WHERE revoked_at IS NULL) k ON k.token_hash = json_extract_string(t.metadata, '$.lineage_thread_id') AND input_tokens % 13 <> 0"""
-_STATUS = "CASE WHEN reason = '' THEN 200 WHEN reason = 'usage_limit_exceeded' THEN 429 WHEN reason IN ('missing_gateway_key', 'invalid_gateway_key') THEN 401 ELSE 403 END"
+  FROM (SELECT *, CASE latency_ms % 11 WHEN 0 THEN '/api/access-keys' WHEN 1 THEN '/api/nope' ELSE request_path END AS path FROM traces) t
+  LEFT JOIN (SELECT * FROM access_keys WHERE revoked_at IS NULL) k ON k.token_hash = json_extract_string(t.metadata, '$.lineage_thread_id') AND input_tokens % 13 <> 0"""
+_STATUS = "CASE WHEN reason = '' THEN 200 WHEN reason = 'usage_limit_exceeded' THEN 429 WHEN reason IN ('missing_access_key', 'invalid_access_key') THEN 401 ELSE 403 END"
 
 
 @query(
     "q3_access_decision_audit",
-    with_tables(f"SELECT request_id, CASE WHEN reason = '' THEN 'allow' ELSE 'deny' END AS outcome, reason, {_STATUS} AS status_code FROM ({_DECISIONS})", "traces", "gateway_keys"),
+    with_tables(f"SELECT request_id, CASE WHEN reason = '' THEN 'allow' ELSE 'deny' END AS outcome, reason, {_STATUS} AS status_code FROM ({_DECISIONS})", "traces", "access_keys"),
 )
 def access_decisions(spark, sf):
     return ops.access_decisions(_log(spark, sf), _keys(spark, sf), ROUTES).select("request_id", "outcome", "reason", "status_code")
@@ -109,7 +109,7 @@ _NAMED = "path <> '/api/nope' AND NOT starts_with(path, '/llmish') AND org_id IS
         f"""SELECT reason, {_STATUS} AS status_code, CASE WHEN {_NAMED} THEN org_id ELSE '' END AS org_id, CASE WHEN {_NAMED} THEN workspace_id ELSE '' END AS workspace_id, path, count(*) AS denies
         FROM ({_DECISIONS}) WHERE reason <> '' GROUP BY ALL""",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def deny_rollup(spark, sf):
@@ -118,10 +118,10 @@ def deny_rollup(spark, sf):
 
 @query(
     "q5_active_key_inventory",
-    with_tables("SELECT org_id, workspace_id, id, role, created_at FROM gateway_keys WHERE revoked_at IS NULL", "gateway_keys"),
+    with_tables("SELECT org_id, workspace_id, id, role, created_at FROM access_keys WHERE revoked_at IS NULL", "access_keys"),
 )
 def active_inventory(spark, sf):
-    return ops.active_inventory(derived.gateway_keys(spark, sf)).select("org_id", "workspace_id", "id", "role", "created_at")
+    return ops.active_inventory(derived.access_keys(spark, sf)).select("org_id", "workspace_id", "id", "role", "created_at")
 
 
 @query(
@@ -192,14 +192,14 @@ def normalize_keys(spark, sf):
 @query(
     "t10_touch_last_used",
     with_tables(
-        "SELECT k.id, max(t.timestamp) AS last_used_at FROM gateway_keys k LEFT JOIN traces t ON t.gateway_key_id = k.id AND t.response_status = 200 WHERE k.revoked_at IS NULL GROUP BY k.id",
+        "SELECT k.id, max(t.timestamp) AS last_used_at FROM access_keys k LEFT JOIN traces t ON t.access_key_id = k.id AND t.response_status = 200 WHERE k.revoked_at IS NULL GROUP BY k.id",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def touch_last_used(spark, sf):
     used = derived.traces(spark, sf).filter("response_status = 200")
-    return ops.touch_last_used(derived.gateway_keys(spark, sf), used).select("id", "last_used_at")
+    return ops.touch_last_used(derived.access_keys(spark, sf), used).select("id", "last_used_at")
 
 
 def _num(e: str) -> str:

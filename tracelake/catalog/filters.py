@@ -41,7 +41,7 @@ _register(
     "request_path IN ('/v1/responses', '/openai/v1/responses', '/anthropic/v1/responses', '/llm/v1/responses')",
 )
 _register(
-    "f9_key_filter", TraceFilter(api_key_hash="kh-3", gateway_key_id="gk-3"), "api_key_hash = 'kh-3' AND gateway_key_id = 'gk-3'"
+    "f9_key_filter", TraceFilter(api_key_hash="kh-3", access_key_id="gk-3"), "api_key_hash = 'kh-3' AND access_key_id = 'gk-3'"
 )
 _register("f10_status_filter", TraceFilter(status=429), "response_status = 429")
 _register("f11_token_range_filter", TraceFilter(min_tokens=200, max_tokens=400), "total_tokens BETWEEN 200 AND 400")
@@ -190,7 +190,7 @@ def enrich_eligible(spark, sf):
 
 @query(
     "f20_active_keys_filter",
-    with_tables("SELECT id, org_id, workspace_id, role FROM gateway_keys WHERE revoked_at IS NULL AND org_id = 'org-1'", "gateway_keys"),
+    with_tables("SELECT id, org_id, workspace_id, role FROM access_keys WHERE revoked_at IS NULL AND org_id = 'org-1'", "access_keys"),
 )
 def active_keys(spark, sf):
-    return ops.active_keys(derived.gateway_keys(spark, sf), "org-1").select("id", "org_id", "workspace_id", "role")
+    return ops.active_keys(derived.access_keys(spark, sf), "org-1").select("id", "org_id", "workspace_id", "role")

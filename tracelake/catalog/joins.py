@@ -95,14 +95,14 @@ def route_case(spark, sf):
     "j7_key_identity_join",
     with_tables(
         """SELECT t.id, k.id AS key_id, k.org_id AS key_org_id, k.workspace_id AS key_workspace_id, k.role AS key_role FROM traces t
-        LEFT JOIN (SELECT * FROM gateway_keys WHERE revoked_at IS NULL) k ON k.token_hash = json_extract_string(t.metadata, '$.lineage_thread_id')""",
+        LEFT JOIN (SELECT * FROM access_keys WHERE revoked_at IS NULL) k ON k.token_hash = json_extract_string(t.metadata, '$.lineage_thread_id')""",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def key_identity(spark, sf):
     requests = derived.traces(spark, sf).select("id", F.get_json_object("metadata", "$.lineage_thread_id").alias("token_hash"))
-    return joins.key_identity(requests, derived.gateway_keys(spark, sf)).drop("token_hash")
+    return joins.key_identity(requests, derived.access_keys(spark, sf)).drop("token_hash")
 
 
 POLICIES = (
@@ -121,7 +121,7 @@ POLICY_SQL = """CASE WHEN provider = 'openai' AND org_id = 'org-1' AND workspace
 @query("j8_pii_policy_match", on_traces(f"SELECT id, split_part({POLICY_SQL}, '|', 1) AS pii_mode, split_part({POLICY_SQL}, '|', 2) AS pii_policy_id FROM traces"))
 def pii_policy_match(spark, sf):
     t = derived.traces(spark, sf)
-    found = joins.policy_columns(POLICIES, FALLBACK, F.col("org_id"), F.col("workspace_id"), F.col("gateway_key_id"), F.col("provider"), F.col("request_path"))
+    found = joins.policy_columns(POLICIES, FALLBACK, F.col("org_id"), F.col("workspace_id"), F.col("access_key_id"), F.col("provider"), F.col("request_path"))
     return t.select("id", *[c.alias(n) for n, c in found.items()])
 
 

@@ -18,7 +18,7 @@ _DAY = 86_400
     "w4_trailing_rate",
     on_traces(
         """SELECT id, count(*) OVER (PARTITION BY org_id, workspace_id ORDER BY timestamp RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS workspace_requests,
-        count(*) OVER (PARTITION BY org_id, workspace_id, gateway_key_id ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS key_requests FROM traces"""
+        count(*) OVER (PARTITION BY org_id, workspace_id, access_key_id ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS key_requests FROM traces"""
     ),
 )
 def trailing_rate(spark, sf):
@@ -27,7 +27,7 @@ def trailing_rate(spark, sf):
     return ops.trailing_rate(per_key, ops.WORKSPACE_SCOPE, 3600, "workspace_requests").select("id", "workspace_requests", "key_requests")
 
 
-_ADMITTED_ONE = """WITH RECURSIVE k AS (SELECT id, org_id || '|' || workspace_id || '|' || gateway_key_id AS key, org_id || '|' || workspace_id AS ws, timestamp AS ts FROM traces),
+_ADMITTED_ONE = """WITH RECURSIVE k AS (SELECT id, org_id || '|' || workspace_id || '|' || access_key_id AS key, org_id || '|' || workspace_id AS ws, timestamp AS ts FROM traces),
   ka AS (SELECT key, min(ts) AS ts FROM k GROUP BY key UNION ALL
     SELECT a.key, min(k.ts) FROM ka a JOIN k ON k.key = a.key AND k.ts > a.ts + INTERVAL {seconds} SECOND GROUP BY a.key),
   kp AS (SELECT k.* FROM k JOIN ka USING (key, ts)),
@@ -55,7 +55,7 @@ PER_WORKSPACE = Policy(1, 12000, 0.110000001)
 _QUOTA = """SELECT *, CASE WHEN kt >= 1500 THEN 'KEY_DAILY_TOKENS_EXCEEDED' WHEN kc >= 0.013000001 THEN 'KEY_DAILY_COST_EXCEEDED'
     WHEN wt >= 12000 THEN 'WORKSPACE_DAILY_TOKENS_EXCEEDED' WHEN wc >= 0.110000001 THEN 'WORKSPACE_DAILY_COST_EXCEEDED' ELSE '' END AS quota_code FROM (
   SELECT *, coalesce(sum(total_tokens) OVER k, 0) AS kt, coalesce(sum(estimated_cost_usd) OVER k, 0) AS kc, coalesce(sum(total_tokens) OVER w, 0) AS wt, coalesce(sum(estimated_cost_usd) OVER w, 0) AS wc FROM traces
-  WINDOW k AS (PARTITION BY org_id, workspace_id, gateway_key_id, CAST(timestamp AS DATE) ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  WINDOW k AS (PARTITION BY org_id, workspace_id, access_key_id, CAST(timestamp AS DATE) ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          w AS (PARTITION BY org_id, workspace_id, CAST(timestamp AS DATE) ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 

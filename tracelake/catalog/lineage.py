@@ -194,12 +194,12 @@ def metadata_key_diff(spark, sf):
 @query(
     "u2_key_sets",
     on_traces(
-        f"""SELECT id, CASE WHEN {_HAS} THEN 'a,gateway_key_id,lineage_checkpoint_seq,lineage_run_id,lineage_thread_id,streaming' ELSE 'a,gateway_key_id,lineage_run_id,lineage_thread_id,streaming' END AS all_keys,
-        CASE WHEN {_HAS} THEN 'lineage_checkpoint_seq,lineage_run_id,lineage_thread_id' ELSE 'lineage_run_id,lineage_thread_id' END AS only_before, 'gateway_key_id,streaming' AS shared FROM traces"""
+        f"""SELECT id, CASE WHEN {_HAS} THEN 'a,access_key_id,lineage_checkpoint_seq,lineage_run_id,lineage_thread_id,streaming' ELSE 'a,access_key_id,lineage_run_id,lineage_thread_id,streaming' END AS all_keys,
+        CASE WHEN {_HAS} THEN 'lineage_checkpoint_seq,lineage_run_id,lineage_thread_id' ELSE 'lineage_run_id,lineage_thread_id' END AS only_before, 'access_key_id,streaming' AS shared FROM traces"""
     ),
 )
 def key_sets(spark, sf):
-    sets = diffs.key_sets(F.col("metadata"), F.lit('{"streaming":1,"gateway_key_id":null,"a":[]}'))
+    sets = diffs.key_sets(F.col("metadata"), F.lit('{"streaming":1,"access_key_id":null,"a":[]}'))
     return derived.traces(spark, sf).select("id", *[F.array_join(c, ",").alias(n) for n, c in sets.items()])
 
 

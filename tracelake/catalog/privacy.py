@@ -117,7 +117,7 @@ def redaction_metadata(spark, sf):
 )
 def guardrail_decision(spark, sf):
     t = derived.traces(spark, sf)
-    mode = policy_columns(POLICIES, FALLBACK, F.col("org_id"), F.col("workspace_id"), F.col("gateway_key_id"), F.col("provider"), F.col("request_path"))["pii_mode"]
+    mode = policy_columns(POLICIES, FALLBACK, F.col("org_id"), F.col("workspace_id"), F.col("access_key_id"), F.col("provider"), F.col("request_path"))["pii_mode"]
     status = F.col("response_status")
     media = (
         F.when(status == 429, F.lit("image/png")).when(status == 500, F.lit(" Application/JSON; x=1")).when(status == 400, F.lit("application/ld+json")).otherwise(F.lit(""))

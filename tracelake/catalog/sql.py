@@ -26,7 +26,7 @@ SELECT
   CASE WHEN event_id % 4 = 2 THEN CAST(floor(value * 1000) AS BIGINT) + 1 ELSE CAST(0 AS BIGINT) END AS time_to_first_token_us,
   CASE WHEN user_id % 7 = 6 THEN '' ELSE 'kh-' || CAST(user_id % 50 AS VARCHAR) END AS api_key_hash,
   '{"streaming":' || CASE WHEN event_id % 4 IN (1, 2) THEN 'true' ELSE 'false' END
-    || ',"gateway_key_id":"gk-' || CAST(user_id AS VARCHAR) || '"'
+    || ',"access_key_id":"gk-' || CAST(user_id AS VARCHAR) || '"'
     || ',"lineage_thread_id":"th-' || CAST(user_id AS VARCHAR) || '"'
     || ',"lineage_run_id":"run-' || CAST(event_id % 2 AS VARCHAR) || '"'
     || CASE WHEN event_id % 3 = 0 THEN ',"lineage_checkpoint_seq":' || CAST(event_id % 11 AS VARCHAR) ELSE '' END
@@ -54,7 +54,7 @@ SELECT r.* REPLACE (
          THEN (time_to_first_token_us + 999) // 1000 ELSE time_to_first_token_ms END AS time_to_first_token_ms,
     CASE WHEN time_to_first_token_us = 0 AND time_to_first_token_ms > 0
          THEN time_to_first_token_ms * 1000 ELSE time_to_first_token_us END AS time_to_first_token_us),
-  json_extract_string(metadata, '$.gateway_key_id') AS gateway_key_id,
+  json_extract_string(metadata, '$.access_key_id') AS access_key_id,
   input_tokens / 1000.0::DOUBLE * rate_in + output_tokens / 1000.0::DOUBLE * rate_out AS estimated_cost_usd
 FROM (SELECT *,
    CASE WHEN model = 'gpt-4o' THEN 0.005::DOUBLE WHEN model = 'gpt-4o-mini' THEN 0.00015 WHEN model = 'claude-sonnet-4-20250514' THEN 0.003
@@ -64,7 +64,7 @@ FROM (SELECT *,
   FROM raw_traces) r
 """
 
-GATEWAY_KEYS = """
+ACCESS_KEYS = """
 SELECT 'gk-' || CAST(user_id AS VARCHAR) AS id,
   'th-' || CAST(user_id AS VARCHAR) AS token_hash,
   'org-' || CAST(user_id % 3 AS VARCHAR) AS org_id,
@@ -109,7 +109,7 @@ _BODIES = {
     "raw_traces": (RAW_TRACES, ()),
     "traces": (TRACES, ("raw_traces",)),
     "prices": (PRICES, ()),
-    "gateway_keys": (GATEWAY_KEYS, ()),
+    "access_keys": (ACCESS_KEYS, ()),
     "ws_messages": (WS_MESSAGES, ()),
     "checkpoints": (CHECKPOINTS, ()),
     "exchanges": (EXCHANGES, ()),

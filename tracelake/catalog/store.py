@@ -20,7 +20,7 @@ _NULLABLE = ("request_headers", "request_body", "response_headers", "response_bo
 @query(
     "s1_scan_traces",
     with_tables(
-        "SELECT *, " + ", ".join(f"'' AS {c}" for c in _NULLABLE) + ", 0::DOUBLE AS estimated_cost_usd, json_extract_string(metadata, '$.gateway_key_id') AS gateway_key_id FROM raw_traces",
+        "SELECT *, " + ", ".join(f"'' AS {c}" for c in _NULLABLE) + ", 0::DOUBLE AS estimated_cost_usd, json_extract_string(metadata, '$.access_key_id') AS access_key_id FROM raw_traces",
         "raw_traces",
     ),
 )
@@ -29,7 +29,7 @@ def scan_traces(spark, sf):
 
 
 _COLUMNS = """id, trace_group_id, org_id, workspace_id, timestamp, provider, model, request_method, request_path, response_status, input_tokens,
-  output_tokens, total_tokens, latency_ms, time_to_first_token_ms, time_to_first_token_us, api_key_hash, gateway_key_id,
+  output_tokens, total_tokens, latency_ms, time_to_first_token_ms, time_to_first_token_us, api_key_hash, access_key_id,
   round(estimated_cost_usd, 8) AS estimated_cost_usd, metadata, created_at"""
 
 
@@ -53,7 +53,7 @@ def summary_projection(spark, sf):
     on_traces(
         """SELECT id, timestamp, CASE WHEN input_tokens % 4 = 0 THEN 'unknown' ELSE model END AS model, CASE WHEN input_tokens % 4 = 1 THEN 'default' ELSE org_id END AS org_id,
         CASE WHEN input_tokens % 4 = 2 THEN '/' ELSE request_path END AS request_path, CASE WHEN input_tokens % 4 = 3 THEN 'UNKNOWN' ELSE request_method END AS request_method,
-        total_tokens, gateway_key_id, time_to_first_token_ms, time_to_first_token_us FROM traces"""
+        total_tokens, access_key_id, time_to_first_token_ms, time_to_first_token_us FROM traces"""
     ),
 )
 def normalize_traces(spark, sf):
@@ -64,11 +64,11 @@ def normalize_traces(spark, sf):
             "org_id": F.when(gap == 1, F.lit(None)).otherwise(F.col("org_id")),
             "request_path": F.when(gap == 2, F.lit("")).otherwise(F.col("request_path")),
             "request_method": F.when(gap == 3, F.lit(None)).otherwise(F.col("request_method")),
-            "gateway_key_id": F.lit(""),
+            "access_key_id": F.lit(""),
         }
     )
     return normalize(holes).select(
-        "id", "timestamp", "model", "org_id", "request_path", "request_method", "total_tokens", "gateway_key_id", "time_to_first_token_ms", "time_to_first_token_us"
+        "id", "timestamp", "model", "org_id", "request_path", "request_method", "total_tokens", "access_key_id", "time_to_first_token_ms", "time_to_first_token_us"
     )
 
 
@@ -92,21 +92,21 @@ def append_batch(spark, sf):
 @query(
     "s6_conform_legacy_schema",
     with_tables(
-        "SELECT id, org_id, workspace_id, json_extract_string(metadata, '$.gateway_key_id') AS gateway_key_id, NULL AS llm_request_prompt, NULL AS llm_response_content FROM raw_traces",
+        "SELECT id, org_id, workspace_id, json_extract_string(metadata, '$.access_key_id') AS access_key_id, NULL AS llm_request_prompt, NULL AS llm_response_content FROM raw_traces",
         "raw_traces",
     ),
 )
 def conform_legacy(spark, sf):
-    return conform(derived.raw_traces(spark, sf)).select("id", "org_id", "workspace_id", "gateway_key_id", "llm_request_prompt", "llm_response_content")
+    return conform(derived.raw_traces(spark, sf)).select("id", "org_id", "workspace_id", "access_key_id", "llm_request_prompt", "llm_response_content")
 
 
 def _known_workspaces(spark, sf):
     """Workspaces that hold keys of owners."""
-    keys = derived.gateway_keys(spark, sf).filter("role = 'owner' AND org_id <> 'org-2'")
+    keys = derived.access_keys(spark, sf).filter("role = 'owner' AND org_id <> 'org-2'")
     return keys.select("org_id", "workspace_id").distinct()
 
 
-_KNOWN = "SELECT DISTINCT org_id, workspace_id FROM gateway_keys WHERE role = 'owner' AND org_id <> 'org-2'"
+_KNOWN = "SELECT DISTINCT org_id, workspace_id FROM access_keys WHERE role = 'owner' AND org_id <> 'org-2'"
 
 
 @query(
@@ -116,7 +116,7 @@ _KNOWN = "SELECT DISTINCT org_id, workspace_id FROM gateway_keys WHERE role = 'o
         SELECT 'organization' AS kind, org_id, '' AS workspace_id FROM (SELECT org_id FROM seen EXCEPT SELECT org_id FROM known)
         UNION ALL SELECT 'workspace', org_id, workspace_id FROM (SELECT * FROM seen EXCEPT SELECT * FROM known)""",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def backfill_tenants(spark, sf):
@@ -133,7 +133,7 @@ def backfill_tenants(spark, sf):
         f"""SELECT * FROM (SELECT DISTINCT CASE WHEN org_id = 'org-0' THEN 'default' ELSE org_id END AS org_id, workspace_id FROM traces
         EXCEPT ({_KNOWN}))""",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def ensure_tenant_scope(spark, sf):
@@ -325,7 +325,7 @@ def count_traces(spark, sf):
         UNION ALL SELECT 'workspace_without_org', org_id || '/' || workspace_id FROM known WHERE org_id <> 'org-0'
         UNION ALL SELECT 'body_without_trace', CAST(doc_id AS VARCHAR) FROM documents""",
         "traces",
-        "gateway_keys",
+        "access_keys",
     ),
 )
 def fk_check(spark, sf):

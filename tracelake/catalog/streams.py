@@ -67,16 +67,16 @@ def enrich_stream(spark, sf):
 @query(
     "t3_ws_turns_stream",
     with_tables(
-        f"""{_TURNS} SELECT connection_id, CAST(turn_index AS BIGINT) AS turn_index, start_type, coalesce(end_type, 'next_turn_start') AS terminal_type, epoch_us(started_at) AS started_us,
-        epoch_us(coalesce(end_ts, next_ts)) AS ended_us, request_messages, response_messages, CASE WHEN end_ts IS NOT NULL THEN end_code ELSE next_code END AS close_code FROM h WHERE end_ts IS NOT NULL OR next_ts IS NOT NULL""",
+        f"""{_TURNS} SELECT connection_id, CAST(turn_index AS BIGINT) AS turn_index, start_type, coalesce(end_type, CASE WHEN next_ts IS NOT NULL THEN 'next_turn_start' ELSE 'connection_closed' END) AS terminal_type,
+        epoch_us(started_at) AS started_us, epoch_us(coalesce(end_ts, next_ts, last_ts)) AS ended_us, request_messages, response_messages,
+        CASE WHEN end_ts IS NOT NULL THEN end_code WHEN next_ts IS NOT NULL THEN next_code ELSE last_code END AS close_code FROM h""",
         "ws_messages",
     ),
 )
 def ws_turns_stream(spark, sf):
     events = stream_of(spark, sf, "events")
-    messages = derived.ws_messages_from(events)
-    out = jobs.stream_to_files(jobs.turn_stream(messages), new_folder(spark, "turns"))
-    return out.filter("terminal_type <> 'connection_closed'").select(
+    out = jobs.all_turns(derived.ws_messages_from(events), new_folder(spark, "turns"))
+    return out.select(
         "connection_id", "turn_index", "start_type", "terminal_type", "started_us", "ended_us", "request_messages", "response_messages", "close_code"
     )
 

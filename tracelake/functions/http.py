@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tracelake.functions import sqltext as q
 from tracelake.functions.text import squeeze
 
-HEADER_PREFIX = "X-Gateway"
+HEADER_PREFIX = "X-Trace"
 
 # Headers whose values are never stored.
 SECRET_HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key")
 REDACTED = "[REDACTED]"
 
-# Longest correlation id, allowed characters, and the headers after the gateway's own.
+# Longest correlation id, allowed characters, and the headers after the own ones.
 CORRELATION_LENGTH = 128
 CORRELATION_PATTERN = "^[A-Za-z0-9_.:-]+$"
 CORRELATION_HEADERS = ("X-Request-ID", "X-Correlation-ID")
@@ -38,7 +38,7 @@ def header(name: str, headers: str = "request_headers") -> Column:
 
 
 def redact_headers(headers: str = "request_headers", prefix: str = HEADER_PREFIX) -> Column:
-    names = ", ".join(f"'{n}'" for n in (*SECRET_HEADERS, f"{prefix.lower()}-gateway-key"))
+    names = ", ".join(f"'{n}'" for n in (*SECRET_HEADERS, f"{prefix.lower()}-access-key"))
     return F.expr(f"transform_values({headers}, (k, v) -> if(lower(k) IN ({names}), array('{REDACTED}'), v))")
 
 

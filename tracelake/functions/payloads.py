@@ -87,58 +87,66 @@ def _nests_sql(v: str) -> str:
     return f"({q.is_array(v)} OR {' OR '.join(deep)})"
 
 
-def _walk_model(node) -> str:
-    if isinstance(node, list):
-        return next(filter(None, map(_walk_model, node)), "")
-    if not isinstance(node, dict):
-        return ""
-    for name in ("payload", "response"):
-        if found := _walk_model(node.get(name)):
-            return found
-    message = node.get("message")
-    for holder in (node, message if isinstance(message, dict) else {}):
-        value = holder.get("model")
-        if isinstance(value, str) and value.strip():
-            return value.strip()
-    return ""
-
-
-def _whole(usage: dict, *names: str) -> int:
-    for name in names:
-        value = usage.get(name)
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return int(value)
-    return 0
-
-
-def _merge(triples) -> tuple[int, int, int]:
-    i = o = t = 0
-    for ni, no, nt in triples:
-        i, o, t = (ni if ni > 0 else i), (no if no > 0 else o), (nt if nt > 0 else t)
-    return i, o, max(t, i + o)
+# What a document may wrap, innermost first, and the names of the counts.
+_WRAPPED = ("payload", "response")
+_COUNTS = (("prompt_tokens", "input_tokens"), ("completion_tokens", "output_tokens"), ("total_tokens",))
+_NOTHING = ("", (0, 0, 0))
+
+
+def _count(usage: dict, names: tuple[str, ...]) -> int:
+    numbers = (usage.get(n) for n in names)
+    return next((int(v) for v in numbers if isinstance(v, (int, float)) and not isinstance(v, bool)), 0)
 
 
-def _walk_usage(node) -> tuple[int, int, int]:
-    if isinstance(node, list):
-        return _merge(map(_walk_usage, node))
-    if not isinstance(node, dict):
-        return 0, 0, 0
-    for name in ("payload", "response"):
-        found = _walk_usage(node.get(name))
-        if max(found) > 0:
-            return found
-    holders = [node, *[h for h in (node.get("message"), node.get("response")) if isinstance(h, dict)]]
-    usage = next((h["usage"] for h in holders if isinstance(h.get("usage"), dict)), None)
+def _stated(node: dict) -> tuple[str, tuple[int, int, int]]:
+    """What a document says itself, or in its message."""
+    inner = [h for h in (node.get("message"), node.get("response")) if isinstance(h, dict)]
+    models = [h.get("model") for h in (node, *inner) if h is not node.get("response")]
+    model = next((m.strip() for m in models if isinstance(m, str) and m.strip()), "")
+    usage = next((h["usage"] for h in (node, *inner) if isinstance(h.get("usage"), dict)), None)
     if usage is None:
-        return 0, 0, 0
-    i, o = _whole(usage, "prompt_tokens", "input_tokens"), _whole(usage, "completion_tokens", "output_tokens")
-    return i, o, _whole(usage, "total_tokens") or i + o
+        return model, (0, 0, 0)
+    i, o, t = (_count(usage, names) for names in _COUNTS)
+    return model, (i, o, t or i + o)
+
+
+def _later_wins(triples) -> tuple[int, int, int]:
+    """Of each count the last positive one; the total is at least their sum."""
+    i, o, t = (next((v for v in reversed(column) if v > 0), 0) for column in (list(zip(*triples)) or [(), (), ()]))
+    return i, o, max(t, i + o)
+
+
+def _facts(root) -> tuple[str, tuple[int, int, int]]:
+    """Model and usage of a parsed document. What it wraps comes before what it says itself.
+
+    Parts are settled before the whole on a list of open nodes, so depth costs no stack.
+    """
+    known: dict[int, tuple] = {}
+    open_nodes = [root]
+    while open_nodes:
+        node = open_nodes[-1]
+        parts = node if isinstance(node, list) else [node.get(n) for n in _WRAPPED] if isinstance(node, dict) else []
+        parts = [p for p in parts if isinstance(p, (dict, list))]
+        unknown = [p for p in parts if id(p) not in known]
+        if unknown:
+            open_nodes.extend(unknown)
+            continue
+        open_nodes.pop()
+        found = [known[id(p)] for p in parts]
+        if isinstance(node, dict):
+            found.append(_stated(node))
+            usage = next((u for _, u in found if max(u) > 0), (0, 0, 0))
+        else:
+            usage = _later_wins([u for _, u in found])
+        known[id(node)] = (next((m for m, _ in found if m), ""), usage)
+    return known.get(id(root), _NOTHING)
 
 
 def _load(text: str):
+    """The document, or None for what is no JSON or nested deeper than the parser goes."""
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -156,9 +164,10 @@ def nested_facts(documents: pd.Series) -> pd.DataFrame:
             rows.append((None, None, None, None))
             continue
         nodes = [_load(p) for p in json.loads(listed)]
-        model = next(filter(None, map(_walk_model, nodes)), "")
-        usage = [_walk_usage(n) for n in nodes]
-        rows.append((model, *(usage[0] if len(usage) == 1 else _merge(usage))))
+        facts = [_facts(n) for n in nodes]
+        model = next((m for m, _ in facts if m), "")
+        usage = [u for _, u in facts]
+        rows.append((model, *(usage[0] if len(usage) == 1 else _later_wins(usage))))
     return pd.DataFrame(rows, columns=["model", "i", "o", "t"])
 
 

@@ -70,7 +70,7 @@ def bucket_start(df: DataFrame, bucket: str) -> Column:
 
 
 # What a breakdown may be grouped by, and the column behind it.
-GROUPS = {"provider": "provider", "model": "model", "route": "request_path", "key": "gateway_key_id"}
+GROUPS = {"provider": "provider", "model": "model", "route": "request_path", "key": "access_key_id"}
 
 
 def group_column(group_by: str) -> Column:
@@ -308,7 +308,7 @@ def active_key_count(df: DataFrame, approximate: bool = False) -> DataFrame:
     return df.agg(counted.alias("active_keys"))
 
 
-def daily_usage(df: DataFrame, keys: Sequence[str] = ("org_id", "workspace_id", "gateway_key_id")) -> DataFrame:
+def daily_usage(df: DataFrame, keys: Sequence[str] = ("org_id", "workspace_id", "access_key_id")) -> DataFrame:
     return df.groupBy(F.to_date("timestamp").alias("day"), *keys).agg(
         F.sum("total_tokens").alias("total_tokens"), F.sum("estimated_cost_usd").alias("total_cost_usd")
     )

@@ -30,9 +30,9 @@ API_RULES = (
     (r"/traces/+[^/]*[^/\s][^/]*/\s*fork\s*/*", ("POST",), "traces", "read", ANALYTICS_READ),
     (r"/analytics/(?:usage|cost|models|keys|summary)", READ, "analytics", "read", ANALYTICS_READ),
     (r"/diagnostics/trace-pipeline", READ, "diagnostics", "read", ANALYTICS_READ),
-    (r"/gateway-keys", ("GET", "POST"), "gateway_keys", "manage", KEYS_MANAGE),
-    (r"/gateway-keys/+[^/]+/*", ("DELETE",), "gateway_keys", "manage", KEYS_MANAGE),
-    (r"/gateway-keys/+[^/]+/rotate/*", ("POST",), "gateway_keys", "manage", KEYS_MANAGE),
+    (r"/access-keys", ("GET", "POST"), "access_keys", "manage", KEYS_MANAGE),
+    (r"/access-keys/+[^/]+/*", ("DELETE",), "access_keys", "manage", KEYS_MANAGE),
+    (r"/access-keys/+[^/]+/rotate/*", ("POST",), "access_keys", "manage", KEYS_MANAGE),
 )
 
 
@@ -100,8 +100,8 @@ def access_decisions(log: DataFrame, keys: DataFrame, routes: Sequence[tuple[str
     through = need["provider"] != ""
     checks = (
         (need["mode"] == "deny", F.coalesce(F.nullif(need["deny_reason"], F.lit("")), F.lit("action_not_allowed")), 403),
-        (guarded & (F.coalesce(blank_to_null(F.col("token_hash")), F.lit("")) == ""), F.lit("missing_gateway_key"), 401),
-        (guarded & F.col("key_id").isNull(), F.lit("invalid_gateway_key"), 401),
+        (guarded & (F.coalesce(blank_to_null(F.col("token_hash")), F.lit("")) == ""), F.lit("missing_access_key"), 401),
+        (guarded & F.col("key_id").isNull(), F.lit("invalid_access_key"), 401),
         (guarded & ~F.array_contains("key_permissions", need["permission"]), F.lit("permission_denied"), 403),
         (guarded & through & ~F.col("has_credential"), F.lit("missing_provider_credential"), 403),
         (guarded & through & (F.col("limit_code") != ""), F.lit("usage_limit_exceeded"), 429),
@@ -177,5 +177,5 @@ def normalize_keys(keys: DataFrame) -> DataFrame:
 
 def touch_last_used(keys: DataFrame, traces: DataFrame) -> DataFrame:
     """Active keys with the time of their last use; one row per key and task leaves the traces."""
-    used = traces.groupBy(F.col("gateway_key_id").alias("id")).agg(F.max("timestamp").alias("last_used_at"))
+    used = traces.groupBy(F.col("access_key_id").alias("id")).agg(F.max("timestamp").alias("last_used_at"))
     return keys.filter(F.col("revoked_at").isNull()).join(used, "id", "left")

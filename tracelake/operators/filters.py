@@ -26,7 +26,7 @@ class TraceFilter:
     endpoint: str = ""
     prefixes: tuple[str, ...] = field(default=())
     api_key_hash: str = ""
-    gateway_key_id: str = ""
+    access_key_id: str = ""
     status: int = 0
     min_tokens: int = 0
     max_tokens: int = 0
@@ -47,7 +47,7 @@ def conditions(df: DataFrame, f: TraceFilter) -> list[Column]:
     if f.since and f.until and f.until < f.since:
         raise ValueError("until must not be before since")
     out: list[Column] = []
-    for name in ("org_id", "workspace_id", "trace_group_id", "provider", "model", "api_key_hash", "gateway_key_id"):
+    for name in ("org_id", "workspace_id", "trace_group_id", "provider", "model", "api_key_hash", "access_key_id"):
         if value := getattr(f, name).strip():
             out.append(F.col(name) == value)
     if f.thread_id:
@@ -127,7 +127,7 @@ def lookup_ids(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def capturable(df: DataFrame, path: str = "path") -> DataFrame:
-    """Gateway's own API and dashboard calls are not traced."""
+    """The own API and dashboard calls are not traced."""
     return df.filter(~under_prefix(F.col(path), "/api") & ~under_prefix(F.col(path), "/dashboard"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tracelake.operators.sliced import SLICE, running_sums, time_slice, trailing_count
 from tracelake.session import persist_table
 
-KEY_SCOPE = ("org_id", "workspace_id", "gateway_key_id")
+KEY_SCOPE = ("org_id", "workspace_id", "access_key_id")
 WORKSPACE_SCOPE = ("org_id", "workspace_id")
 
 # Fixed value: length of the rate window.
@@ -50,7 +50,7 @@ def quota_codes(traces: DataFrame, per_key: Policy, per_workspace: Policy, slice
     # A running sum reads its input twice, so the first result is written once.
     by_key = persist_table(_used_before(day, KEY_SCOPE, "key", slice_seconds), "quota-keys")
     used = _used_before(by_key, WORKSPACE_SCOPE, "workspace", slice_seconds)
-    keyless = F.col("gateway_key_id") == ""
+    keyless = F.col("access_key_id") == ""
     used = used.withColumns(
         {f"key_{m}": F.when(keyless, F.col(f"workspace_{m}")).otherwise(F.col(f"key_{m}")) for m in ("tokens", "cost")}
     )

@@ -77,8 +77,8 @@ def build_traces(exchanges: DataFrame, routes: dict[str, str] | None = None, cap
     built = {
         "id": F.col("exchange_id"),
         "trace_group_id": F.col("_lineage_group_id"),
-        "org_id": F.coalesce(filled("gateway_org_id"), F.lit("default")),
-        "workspace_id": F.coalesce(filled("gateway_workspace_id"), F.lit("default")),
+        "org_id": F.coalesce(filled("access_org_id"), F.lit("default")),
+        "workspace_id": F.coalesce(filled("access_workspace_id"), F.lit("default")),
         "timestamp": F.coalesce(F.col("started_at"), F.current_timestamp().cast(exchanges.schema["started_at"].dataType)),
         "provider": F.col("_provider"),
         "model": F.col("_model"),
@@ -98,7 +98,7 @@ def build_traces(exchanges: DataFrame, routes: dict[str, str] | None = None, cap
         "time_to_first_token_ms": ttft_ms(us, ms),
         "time_to_first_token_us": ttft_us(us, ms),
         "api_key_hash": http.key_hash(F.col("_key")),
-        "gateway_key_id": F.coalesce(filled("gateway_key_id"), F.lit("")),
+        "access_key_id": F.coalesce(filled("access_key_id"), F.lit("")),
         "estimated_cost_usd": estimate_cost(F.col("_provider"), F.col("_model"), F.col("_got_in"), F.col("_got_out")),
         "metadata": metadata,
         "created_at": F.coalesce(F.col("started_at"), F.current_timestamp().cast(exchanges.schema["started_at"].dataType)),

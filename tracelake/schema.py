@@ -34,7 +34,7 @@ TRACE_SCHEMA = T.StructType(
         T.StructField("time_to_first_token_ms", T.LongType()),
         T.StructField("time_to_first_token_us", T.LongType()),
         T.StructField("api_key_hash", T.StringType()),
-        T.StructField("gateway_key_id", T.StringType()),
+        T.StructField("access_key_id", T.StringType()),
         T.StructField("estimated_cost_usd", T.DoubleType()),
         T.StructField("metadata", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
@@ -42,6 +42,9 @@ TRACE_SCHEMA = T.StructType(
 )
 
 # Heavy text columns that a listing leaves out.
+# Fixed value: the key id's own name, then the one that older stores use for the column and in metadata.
+KEY_NAMES = ("access_key_id", "gateway_key_id")
+
 BODY_COLUMNS = ("request_body", "response_body", "llm_request_prompt", "llm_response_content")
 
 TRACE_BODY_SCHEMA = T.StructType(
@@ -102,21 +105,21 @@ def scan_defaults(df: DataFrame) -> DataFrame:
 def conform(df: DataFrame) -> DataFrame:
     """Bring an older layout to the full column list, in order.
 
-    Missing columns appear as NULL; a missing or NULL ``gateway_key_id`` is filled from the
+    Missing columns appear as NULL; a missing or NULL ``access_key_id`` is filled from the
     metadata document.
     """
     have = set(df.columns)
     columns: list[Column] = []
     for field in TRACE_SCHEMA.fields:
-        if field.name == "gateway_key_id":
-            from_meta = blank_to_null(meta_string(F.col("metadata"), "gateway_key_id"))
-            current = F.col("gateway_key_id") if "gateway_key_id" in have else F.lit(None).cast("string")
-            columns.append(F.coalesce(current, from_meta if "metadata" in have else F.lit(None)).alias("gateway_key_id"))
+        if field.name == "access_key_id":
+            from_meta = F.coalesce(*[blank_to_null(meta_string(F.col("metadata"), n)) for n in KEY_NAMES])
+            current = next((F.col(n) for n in KEY_NAMES if n in have), F.lit(None).cast("string"))
+            columns.append(F.coalesce(current, from_meta if "metadata" in have else F.lit(None)).alias("access_key_id"))
         elif field.name in have:
             columns.append(F.col(field.name))
         else:
             columns.append(F.lit(None).cast(field.dataType).alias(field.name))
-    extra = [F.col(c) for c in df.columns if c not in TRACE_SCHEMA.fieldNames()]
+    extra = [F.col(c) for c in df.columns if c not in (*TRACE_SCHEMA.fieldNames(), *KEY_NAMES)]
     return df.select(*columns, *extra)
 
 
@@ -156,8 +159,8 @@ def normalize(df: DataFrame) -> DataFrame:
         "time_to_first_token_us": ttft_us(us, ms),
         "time_to_first_token_ms": ttft_ms(us, ms),
     }
-    if "gateway_key_id" in df.columns:
-        changes["gateway_key_id"] = F.coalesce(
-            F.nullif(F.col("gateway_key_id"), F.lit("")), meta_string(F.col("metadata"), "gateway_key_id"), F.lit("")
+    if "access_key_id" in df.columns:
+        changes["access_key_id"] = F.coalesce(
+            F.nullif(F.col("access_key_id"), F.lit("")), *[meta_string(F.col("metadata"), n) for n in KEY_NAMES], F.lit("")
         )
     return df.withColumns(changes)

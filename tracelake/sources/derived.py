@@ -61,7 +61,7 @@ _EVENT_COLUMNS = """
   if(event_id % 4 = 1, bigint(floor(value)) + 1, 0L) AS time_to_first_token_ms
   if(event_id % 4 = 2, bigint(floor(value * 1000)) + 1, 0L) AS time_to_first_token_us
   if(user_id % 7 = 6, '', concat('kh-', user_id % 50)) AS api_key_hash
-  concat('{"streaming":', if(event_id % 4 IN (1, 2), 'true', 'false'), ',"gateway_key_id":"gk-', user_id, '","lineage_thread_id":"th-', user_id, '","lineage_run_id":"run-', event_id % 2, '"', if(event_id % 3 = 0, concat(',"lineage_checkpoint_seq":', event_id % 11), ''), '}') AS metadata
+  concat('{"streaming":', if(event_id % 4 IN (1, 2), 'true', 'false'), ',"access_key_id":"gk-', user_id, '","lineage_thread_id":"th-', user_id, '","lineage_run_id":"run-', event_id % 2, '"', if(event_id % 3 = 0, concat(',"lineage_checkpoint_seq":', event_id % 11), ''), '}') AS metadata
   ts + make_dt_interval(0, 0, 0, event_id % 7) AS created_at
 """
 
@@ -87,7 +87,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan_once
-def gateway_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id").cast("string")
     return (
         table(spark, sf_dir, "events")
@@ -181,7 +181,7 @@ def checkpoints(spark: SparkSession, sf_dir: str, forked: bool = False) -> DataF
     )
 
 
-HEADER_PREFIX = "X-Gateway"
+HEADER_PREFIX = "X-Trace"
 
 
 def _json(*cols: Column) -> Column:

@@ -110,81 +110,100 @@ TURN_SCHEMA = T.StructType(
     ]
 )
 
-_TURN_STATE = T.StructType(
-    [
-        T.StructField("turns", T.LongType()),
-        T.StructField("start_type", T.StringType()),
-        *[T.StructField(n, T.LongType()) for n in ("started", "req", "res", "req_bytes", "res_bytes", "answered", "close_code", "last")],
-    ]
-)
+# The open turn of a connection (no kind: none is open) and what later turns need.
+_OPEN = ("turns", "kind", "started", "asked", "answered", "asked_bytes", "answered_bytes", "wait", "code", "last")
+_TURN_STATE = T.StructType([T.StructField(n, T.StringType() if n == "kind" else T.LongType()) for n in _OPEN])
+_FRESH = (0, None, 0, 0, 0, 0, 0, 0, 0, 0)
 
 
-class _Connection:
-    """The open turn of one connection."""
+def turns_of(rows: pd.DataFrame, saved: tuple = _FRESH) -> tuple[list[tuple], tuple]:
+    """Turns that end within a connection's sorted messages, and what is open after them.
 
-    def __init__(self, name: str, saved: tuple | None) -> None:
-        self.name = name
-        self.turns, self.kind, self.started, self.req, self.res, self.req_bytes, self.res_bytes, self.answered, self.code, self.last = (
-            saved or (0, None, 0, 0, 0, 0, 0, 0, 0, 0)
-        )
-        self.out: list[tuple] = []
-
-    def saved(self) -> tuple:
-        return (self.turns, self.kind, self.started, self.req, self.res, self.req_bytes, self.res_bytes, self.answered, self.code, self.last)
-
-    def open(self, kind: str, at: int) -> None:
-        self.turns += 1
-        self.kind, self.started = kind, at
-        self.req = self.res = self.req_bytes = self.res_bytes = self.answered = 0
-
-    def emit(self, why: str, at: int, incomplete: bool) -> None:
-        if self.kind is None:
-            return
-        self.out.append(
-            (self.name, self.turns, self.kind, why, incomplete, self.started, at, self.req, self.res, self.req_bytes, self.res_bytes, self.answered, self.code)
-        )
-        self.kind = None
-
-    def see(self, at: int, client: bool, opcode: str, word: str, size: int, code: int) -> None:
-        self.last = max(self.last, at)
-        if opcode == "close":
-            self.code = code
-            self.emit("websocket_close", at, True)
-            return
-        text = opcode == "text"
-        if client:
-            again = self.kind is not None and text and (word == START or (word == RESPONSE and self.kind != ITEM))
-            if again:
-                self.emit("next_turn_start", at, True)
-            if text and self.kind is None and (word == START or word in OPENERS):
-                self.open(word, at)
-            if self.kind is not None:
-                self.req += 1
-                self.req_bytes += size
-            return
-        if self.kind is None:
-            return
-        self.answered = self.answered or at - self.started
-        self.res += 1
-        self.res_bytes += size
-        if text and word in TERMINALS:
-            self.emit(word, at, False)
+    The rules are those of the batch form (``operators/turns.py``): between two forcing messages a turn is open from the start,
+    from the first opener or not at all. Everything follows from running counts over the messages.
+    """
+    held = dict(zip(_OPEN, saved))
+    us, size, code = (rows[c].to_numpy(dtype=np.int64) for c in ("us", "bytes", "close_code"))
+    word = rows["msg_type"].to_numpy(dtype=object)
+    client = (rows["direction"] == "client_to_upstream").to_numpy()
+    text, closes = ((rows["opcode"] == o).to_numpy() for o in ("text", "close"))
+    n, place = len(rows), np.arange(len(rows))
+    begins = client & text & (word == START)
+    ends = ~client & text & np.isin(word, TERMINALS) | closes
+    opens = client & text & np.isin(word, OPENERS)
+
+    # Stretches between forcing messages; the first one goes on with what is held.
+    stretch = np.cumsum(begins | ends)
+    count = int(stretch[-1]) + 1
+    opener = np.full(count, n)
+    np.minimum.at(opener, stretch[opens], place[opens])
+    since = np.where(opener < n, opener, n)
+    first_kind = np.array([word[i] if i < n else None for i in opener], dtype=object)
+    since[stretch[begins]], first_kind[stretch[begins]] = place[begins], START
+    if held["kind"] is not None:
+        since[0], first_kind[0] = (-1, held["kind"]) if not (n and stretch[0]) else (since[0], first_kind[0])
+    open_at_end = since < n
+    before = np.concatenate([[held["kind"] is not None], open_at_end[:-1]])
+
+    # A response request starts a new turn unless an item opened the one that is open.
+    again = client & text & (word == RESPONSE) & (place > since[stretch]) & (first_kind[stretch] != ITEM)
+    starts = begins | again | (place == since[stretch])
+    turn = held["turns"] + np.cumsum(starts)
+    ended = ends & np.where(ends, before[np.maximum(stretch, 0)], False)
+    if n and stretch[0] and ends[0]:
+        ended[0] = held["kind"] is not None
+    inside = np.where(ends, ended & ~closes, place >= since[stretch])
+    # What ends a turn belongs to it; where a start follows an open turn, that one ends here.
+    cut = starts & np.where(place == 0, held["kind"] is not None, np.concatenate([[False], (place >= since[stretch])[:-1] & ~ends[:-1]]))
+    seen = np.maximum.accumulate(np.where(closes, place, -1))
+    codes = np.where(seen >= 0, code[np.maximum(seen, 0)], held["code"])
+
+    base, many = held["turns"], int(turn[-1]) - held["turns"] + 1 if n else 1
+    at = turn - base
+    started = np.full(many, held["started"])
+    started[at[starts]] = us[starts]
+    kind = np.array([held["kind"]] + [None] * (many - 1), dtype=object)
+    kind[at[starts]] = word[starts]
+    sums = {}
+    for name, chosen, value in (("asked", inside & client, 1), ("answered", inside & ~client, 1), ("asked_bytes", inside & client, size), ("answered_bytes", inside & ~client, size)):
+        sums[name] = np.bincount(at[chosen], weights=np.broadcast_to(value, n)[chosen], minlength=many).astype(np.int64)
+        sums[name][0] += held[name]
+    wait = np.zeros(many, dtype=np.int64)
+    wait[0] = held["wait"]
+    replies = np.flatnonzero(inside & ~client)
+    for i in replies[::-1]:
+        late = us[i] - started[at[i]]
+        if late and not (at[i] == 0 and held["wait"]):
+            wait[at[i]] = late
+
+    out = []
+    for i in np.flatnonzero(ended | cut):
+        k = at[i] - 1 if cut[i] else at[i]
+        why = "next_turn_start" if cut[i] else "websocket_close" if closes[i] else word[i]
+        out.append((int(base + k), kind[k], why, bool(cut[i] or closes[i]), int(started[k]), int(us[i]), *(int(sums[s][k]) for s in ("asked", "answered", "asked_bytes", "answered_bytes")), int(wait[k]), int(codes[i])))
+    k, still = many - 1, bool(open_at_end[-1])
+    rest = (int(base + k), kind[k] if still else None, int(started[k]), *(int(sums[s][k]) for s in ("asked", "answered", "asked_bytes", "answered_bytes")), int(wait[k]), int(codes[-1]), max(held["last"], int(us[-1])))
+    return out, rest
+
+
+def _left_open(saved: tuple) -> tuple:
+    """The row of a turn that nothing ended: it ends with its connection's last message."""
+    h = dict(zip(_OPEN, saved))
+    return (h["turns"], h["kind"], "connection_closed", True, h["started"], h["last"], h["asked"], h["answered"], h["asked_bytes"], h["answered_bytes"], h["wait"], h["code"])
 
 
 def _turns(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    conn = _Connection(key[0], tuple(state.get) if state.exists else None)
+    saved = tuple(state.get) if state.exists else _FRESH
     if state.hasTimedOut:
-        conn.emit("connection_closed", conn.last, True)
+        out = [_left_open(saved)] if saved[1] is not None else []
         state.remove()
     else:
         # One connection's rows of one micro-batch; its size is set by the trigger.
-        rows = pd.concat(list(pdfs)).sort_values(["us", "msg_id"])
-        for r in rows.itertuples(index=False):
-            conn.see(int(r.us), r.direction == "client_to_upstream", r.opcode, r.msg_type, int(r.bytes), int(r.close_code))
-        state.update(conn.saved())
-        state.setTimeoutTimestamp(max(conn.last // 1000 + _IDLE_MS, state.getCurrentWatermarkMs() + 1))
-    if conn.out:
-        yield pd.DataFrame(conn.out, columns=TURN_SCHEMA.fieldNames())
+        out, saved = turns_of(pd.concat(list(pdfs)).sort_values(["us", "msg_id"]), saved)
+        state.update(saved)
+        state.setTimeoutTimestamp(max(saved[-1] // 1000 + _IDLE_MS, state.getCurrentWatermarkMs() + 1))
+    if out:
+        yield pd.DataFrame([(key[0], *t) for t in out], columns=TURN_SCHEMA.fieldNames())
 
 
 # A connection without messages for this long counts as closed.
@@ -200,6 +219,19 @@ def turn_stream(messages: DataFrame) -> DataFrame:
     )
 
 
+def all_turns(messages: DataFrame, folder: str) -> DataFrame:
+    """Turns of a bounded run over everything there is: those that ended, and those its state still holds open."""
+    ended = stream_to_files(turn_stream(messages), folder)
+    state = messages.sparkSession.read.format("statestore").load(os.path.join(folder, "checkpoint"))
+    h = "value.groupState"
+    left = state.filter(F.col(f"{h}.kind").isNotNull()).select(
+        F.col("key.connection_id").alias("connection_id"), F.col(f"{h}.turns").alias("turn_index"), F.col(f"{h}.kind").alias("start_type"), F.lit("connection_closed").alias("terminal_type"),
+        F.lit(True).alias("incomplete"), F.col(f"{h}.started").alias("started_us"), F.col(f"{h}.last").alias("ended_us"), F.col(f"{h}.asked").alias("request_messages"), F.col(f"{h}.answered").alias("response_messages"),
+        F.col(f"{h}.asked_bytes").alias("request_bytes"), F.col(f"{h}.answered_bytes").alias("response_bytes"), F.col(f"{h}.wait").alias("first_response_us"), F.col(f"{h}.code").alias("close_code"),
+    )
+    return ended.unionByName(left)
+
+
 # ---- limits -------------------------------------------------------------------------------------
 
 
