@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tracelake.catalog.limits import _TURNS
+import tracelake.catalog.analytics  # noqa: F401  its SQL also checks the streams
 from tracelake.catalog.sql import on_traces, with_tables
 from tracelake.functions.pricing import estimate_cost
-from tracelake.registry import query
+from tracelake.operators import analytics
+from tracelake.registry import ORACLES, query
 from tracelake.schema import conform, normalize
 from tracelake.session import new_folder, pin_utc
 from tracelake.sources import derived, export
@@ -120,6 +122,30 @@ def metrics_stream(spark, sf):
     return jobs.stream_to_files(rows, new_folder(spark, "metrics")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _counts(spark, sf, label):
+    return jobs.counts_stream(_build(stream_of(spark, sf, "events")), new_folder(spark, label))
+
+
+@query("t8_request_counter_stream", ORACLES["a14_request_counter"])
+def request_counter_stream(spark, sf):
+    return analytics.counter_of(_counts(spark, sf, "counter-stream"))
+
+
+@query("t8_duration_histogram_stream", ORACLES["a15_duration_histogram"])
+def duration_histogram_stream(spark, sf):
+    return analytics.histogram_of(_counts(spark, sf, "duration-stream")).withColumn("duration_sum", F.round("duration_sum", 8))
+
+
+@query("t8_quantile_alert_stream", ORACLES["a16_histogram_quantile"])
+def quantile_alert_stream(spark, sf):
+    return analytics.quantile_alert_of(_counts(spark, sf, "quantile-stream"), threshold=1.0).withColumn("quantile_seconds", F.round("quantile_seconds", 8))
+
+
+@query("t8_ratio_alert_stream", ORACLES["a17_error_ratio_alert"])
+def ratio_alert_stream(spark, sf):
+    return analytics.ratio_alert_of(_counts(spark, sf, "ratio-stream")).withColumn("error_ratio", F.round("error_ratio", 8))
+
+
 @query(
     "t9_export_daily",
     on_traces(

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import squeeze
-from tracelake.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -111,8 +110,8 @@ def price_join(traces: DataFrame, prices: DataFrame) -> DataFrame:
     """Table form: match each distinct (provider, model) once, then join the rates back.
 
     ``prices``: provider, pos, exact, pattern, input_per_1k, output_per_1k. Exact rows win over
-    prefixes, then the lowest position. A hot model is one row in the match, and the traces stay where
-    they are as long as the list of pairs is small enough to broadcast.
+    prefixes, then the lowest position. A hot model is one row in the match; AQE broadcasts the list of
+    pairs if it is small and otherwise splits a hot pair.
     """
     pairs = traces.select("provider", "model").distinct()
     name = comparable_model(F.col("m.provider"), F.col("m.model"))
@@ -128,7 +127,7 @@ def price_join(traces: DataFrame, prices: DataFrame) -> DataFrame:
         )
     )
     return (
-        traces.join(broadcast_if_small(matched, "prices"), ["provider", "model"], "left")
+        traces.join(matched, ["provider", "model"], "left")
         .withColumns({"price_pattern": F.col("rate.pattern"), "input_per_1k": F.col("rate.input_per_1k"), "output_per_1k": F.col("rate.output_per_1k")})
         .drop("rate")
     )

@@ -224,25 +224,46 @@ def labelled(df: DataFrame) -> DataFrame:
     )
 
 
+RAW = ("provider", "model", "org_id", "workspace_id", "request_path", "response_status")
+
+
+def raw_counts(df: DataFrame, *keys: Column | str, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
+    """Requests, seconds and latency buckets by ``keys`` and the labels as they were recorded.
+
+    What A14 to A17 need, in one aggregate; labels are cleaned once for each group rather than for each request.
+    """
+    seconds = F.col("latency_ms").cast("double") / F.lit(1000.0)
+    return df.groupBy(*keys, *RAW).agg(F.count(F.lit(1)).alias("_all"), F.sum(seconds).alias("_seconds"), *_bucket_counts(bounds, seconds))
+
+
+def counter_of(counts: DataFrame) -> DataFrame:
+    return labelled(counts).groupBy(*LABELS, F.col("response_status").alias("status_code")).agg(F.sum("_all").alias("request_total"))
+
+
 def request_counter(df: DataFrame) -> DataFrame:
-    return labelled(df).groupBy(*LABELS, F.col("response_status").alias("status_code")).agg(F.count(F.lit(1)).alias("request_total"))
+    return counter_of(raw_counts(df))
 
 
 def _bucket_counts(bounds: Sequence[float], seconds: Column) -> list[Column]:
     return [F.count_if(seconds <= b).alias(f"_le{i}") for i, b in enumerate(bounds)]
 
 
-def duration_histogram(df: DataFrame, keys: Sequence[str] = LABELS, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
-    """Cumulative latency buckets: one aggregation, then one output row per bucket bound."""
-    seconds = F.col("latency_ms").cast("double") / F.lit(1000.0)
-    wide = labelled(df).groupBy(*keys).agg(
-        *_bucket_counts(bounds, seconds), F.count(F.lit(1)).alias("_all"), F.sum(seconds).alias("duration_sum")
-    )
+def _buckets(counts: DataFrame, keys: Sequence[Column | str], bounds: Sequence[float]) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("_all").alias("_all"), F.sum("_seconds").alias("duration_sum"), *[F.sum(f"_le{i}").alias(f"_le{i}") for i in range(len(bounds))])
+
+
+def histogram_of(counts: DataFrame, keys: Sequence[str] = LABELS, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
+    """Cumulative latency buckets, one output row per bucket bound."""
+    wide = _buckets(labelled(counts), keys, bounds)
     entries = [F.struct(F.lit(repr(float(b))).alias("le"), F.col(f"_le{i}").alias("bucket_count")) for i, b in enumerate(bounds)]
     entries.append(F.struct(F.lit("+Inf").alias("le"), F.col("_all").alias("bucket_count")))
     return wide.select(*keys, "duration_sum", F.inline(F.array(*entries)))
 
 
+def duration_histogram(df: DataFrame, keys: Sequence[str] = LABELS, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
+    return histogram_of(raw_counts(df, bounds=bounds), keys, bounds)
+
+
 def quantile_from_buckets(q: float, cumulative: Sequence[Column], total: Column, bounds: Sequence[float]) -> Column:
     """Quantile estimated inside its bucket, linear between the bounds; NULL without observations.
 
@@ -259,34 +280,32 @@ def quantile_from_buckets(q: float, cumulative: Sequence[Column], total: Column,
     return F.when(total > 0, out)
 
 
-def latency_quantile_alert(df: DataFrame, q: float = 0.99, threshold: float = 10.0, every: str = "5 minutes") -> DataFrame:
-    seconds = F.col("latency_ms").cast("double") / F.lit(1000.0)
-    wide = df.groupBy(F.window("timestamp", every).alias("w"), "provider").agg(
-        *_bucket_counts(LATENCY_BUCKETS, seconds), F.count(F.lit(1)).alias("_all")
-    )
+def _window_start(column: str, every: str) -> Column:
+    return F.window(column, every).getField("start").cast("timestamp_ntz").alias("window_start")
+
+
+def quantile_alert_of(counts: DataFrame, q: float = 0.99, threshold: float = 10.0) -> DataFrame:
+    """``counts``: :func:`raw_counts` by ``window_start``."""
+    wide = _buckets(counts, ["window_start", "provider"], LATENCY_BUCKETS)
     value = quantile_from_buckets(q, [F.col(f"_le{i}") for i in range(len(LATENCY_BUCKETS))], F.col("_all"), LATENCY_BUCKETS)
-    return wide.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        "provider",
-        F.col("_all").alias("request_count"),
-        value.alias("quantile_seconds"),
-        (value > threshold).alias("firing"),
-    )
+    return wide.select("window_start", "provider", F.col("_all").alias("request_count"), value.alias("quantile_seconds"), (value > threshold).alias("firing"))
 
 
-def error_ratio_alert(df: DataFrame, threshold: float = 0.05, every: str = "5 minutes") -> DataFrame:
+def latency_quantile_alert(df: DataFrame, q: float = 0.99, threshold: float = 10.0, every: str = "5 minutes") -> DataFrame:
+    return quantile_alert_of(raw_counts(df, _window_start("timestamp", every)), q, threshold)
+
+
+def ratio_alert_of(counts: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """``counts``: :func:`raw_counts` by ``window_start``."""
     status = F.col("response_status")
-    counted = df.groupBy(F.window("timestamp", every).alias("w")).agg(
-        F.count(F.lit(1)).alias("request_count"), F.count_if((status >= 500) & (status < 600)).alias("error_count")
-    )
+    failed = F.when((status >= 500) & (status < 600), F.col("_all")).otherwise(F.lit(0))
+    counted = counts.groupBy("window_start").agg(F.sum("_all").alias("request_count"), F.sum(failed).alias("error_count"))
     ratio = F.col("error_count") / F.col("request_count")
-    return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        "request_count",
-        "error_count",
-        ratio.alias("error_ratio"),
-        (ratio > threshold).alias("firing"),
-    )
+    return counted.select("window_start", "request_count", "error_count", ratio.alias("error_ratio"), (ratio > threshold).alias("firing"))
+
+
+def error_ratio_alert(df: DataFrame, threshold: float = 0.05, every: str = "5 minutes") -> DataFrame:
+    return ratio_alert_of(raw_counts(df, _window_start("timestamp", every)), threshold)
 
 
 def increase_alert(log: DataFrame, time_col: str, keys: Sequence[str], every: str = "5 minutes", slide: str = "1 minute") -> DataFrame:

@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.metadata import meta_string
 from tracelake.functions.text import blank_to_null, clean_prefix, normalize_prefix, under_prefix
-from tracelake.session import broadcast_if_small
 
 
 def export_with_bodies(page: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Bodies for one page: the limit is already applied, so the join sees at most a page of ids.
-
-    The page's ids are first used to cut the body table, which keeps the big side unshuffled when
-    the page is broadcast.
-    """
-    wanted = bodies.join(F.broadcast(page.select(F.col("id").alias("trace_id"))), "trace_id", "left_semi")
+    """Bodies for one page: the page's ids first cut the body table, which AQE leaves unshuffled for a small page."""
+    wanted = bodies.join(page.select(F.col("id").alias("trace_id")), "trace_id", "left_semi")
     return page.join(wanted.withColumnRenamed("trace_id", "id"), "id", "left")
 
 
 def route_join(paths: DataFrame, routes: DataFrame) -> DataFrame:
     """Provider of each request path from a route table (name, prefix), smallest name first.
 
-    Distinct paths are matched, not rows, and joined back by equality.
+    A path lies under those prefixes that are its own ancestors, so each distinct path is shown once for
+    every segment it has and meets the routes by equality; no path is compared with all routes.
     """
     distinct = paths.select("request_path").distinct()
-    fits = under_prefix(F.col("request_path"), normalize_prefix(F.col("prefix")))
-    named = distinct.join(routes, fits).groupBy("request_path").agg(F.min("name").alias("route_provider"))
-    return paths.join(broadcast_if_small(named, "routes"), "request_path", "left").withColumn("route_provider", F.coalesce("route_provider", F.lit("unknown")))
+    parts = F.split("request_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ancestors = F.array_distinct(F.transform(above, lambda p: F.when(p == "", F.lit("/")).otherwise(p)))
+    shown = distinct.withColumn("_prefix", F.explode(F.array_union(ancestors, F.array(F.lit("/")))))
+    named = routes.groupBy(normalize_prefix(F.col("prefix")).alias("_prefix")).agg(F.min("name").alias("name"))
+    found = shown.join(named, "_prefix").groupBy("request_path").agg(F.min("name").alias("route_provider"))
+    return paths.join(found, "request_path", "left").withColumn("route_provider", F.coalesce("route_provider", F.lit("unknown")))
 
 
 def parent_links(rows: DataFrame, chain: Sequence[str]) -> DataFrame:
@@ -54,8 +54,7 @@ def parent_links(rows: DataFrame, chain: Sequence[str]) -> DataFrame:
 def key_identity(requests: DataFrame, keys: DataFrame, token_hash: str = "token_hash") -> DataFrame:
     """Key, tenant, role and permissions behind a request's token; NULL for revoked or unknown keys.
 
-    The key table is broadcast if its counted size allows it. Beyond that it is a shuffled equi join,
-    in which AQE splits a hot token.
+    An equi join: AQE broadcasts a small key table and otherwise splits a hot token.
     """
     active = keys.filter(F.col("revoked_at").isNull()).select(
         F.col("token_hash").alias(token_hash),
@@ -65,7 +64,7 @@ def key_identity(requests: DataFrame, keys: DataFrame, token_hash: str = "token_
         F.col("role").alias("key_role"),
         *[F.col(c).alias("key_permissions") for c in keys.columns if c == "permissions"],
     )
-    return requests.join(broadcast_if_small(active, "keys"), token_hash, "left")
+    return requests.join(active, token_hash, "left")
 
 
 @dataclass(frozen=True)

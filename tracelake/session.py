@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # Call-site capture for every column expression makes building a plan several times slower.
@@ -68,16 +67,3 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-# A side of at most this many (narrow) rows may be sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a derived join side for broadcast if its counted size allows it.
-
-    The side is written once, so counting it and joining it do not compute it twice. A larger one is
-    joined by shuffle, where AQE splits hot keys.
-    """
-    saved = persist_table(df, label)
-    return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tracelake.functions.metadata import meta_string
 from tracelake.functions.text import blank_to_null, squeeze, tenant_or_default
 from tracelake.schema import BODY_COLUMNS, TRACE_SCHEMA, conform, scan_defaults
-from tracelake.session import broadcast_if_small, persist_table
+from tracelake.session import persist_table
 
 
 def scan_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +66,7 @@ class Batch:
 def append_batch(batch: DataFrame, target: DataFrame) -> Batch:
     """Split a batch into rows to append and rows to set aside; one bad row never sinks the rest.
 
-    Ids are unique: the earliest copy in the batch wins, an id already stored is rejected. Copies
+    Ids are unique: the earliest copy in the batch wins (ties by content), an id already stored is rejected. Copies
     are reduced by partial aggregation, so an id repeated very often stays cheap.
     """
     usable = blank_to_null(F.col("id")).isNotNull()
@@ -74,7 +74,7 @@ def append_batch(batch: DataFrame, target: DataFrame) -> Batch:
     first = (
         batch.filter(usable)
         .groupBy("id")
-        .agg(F.min_by(row, F.struct("created_at", "timestamp")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min_by(row, F.struct("created_at", "timestamp", F.xxhash64(*batch.columns))).alias("r"), F.count(F.lit(1)).alias("copies"))
     )
     stored = target.select("id").withColumn("stored", F.lit(True))
     checked = first.join(stored.distinct(), "id", "left")
@@ -129,7 +129,7 @@ def upsert_bodies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """New state of the body table: the newest incoming row replaces the stored one, its age kept."""
     newest = (
         incoming.groupBy("trace_id")
-        .agg(F.max_by(F.struct(*incoming.columns), "created_at").alias("r"))
+        .agg(F.max_by(F.struct(*incoming.columns), F.struct("created_at", F.xxhash64(*incoming.columns))).alias("r"))
         .select("r.*")
         .join(stored.select("trace_id", F.col("created_at").alias("_first")), "trace_id", "left")
         .withColumn("created_at", F.coalesce("_first", "created_at"))
@@ -200,8 +200,8 @@ def hydrate(traces: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def update_column(traces: DataFrame, changes: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Set ``column`` from (id, value); empty text clears it. Also returns the ids nobody knows."""
-    wanted = changes.select(squeeze(F.col("id")).alias("id"), "value").filter(F.col("id") != "").dropDuplicates(["id"])
+    """Set ``column`` from (id, value); empty text clears it, of several values the largest counts. Also returns the ids nobody knows."""
+    wanted = changes.select(squeeze(F.col("id")).alias("id"), "value").filter(F.col("id") != "").groupBy("id").agg(F.max("value").alias("value"))
     marked = wanted.withColumn("_hit", F.lit(True))
     new = F.when(F.col("_hit"), F.nullif(F.col("value"), F.lit(""))).otherwise(F.col(column))
     updated = traces.join(marked, "id", "left").withColumn(column, new).select(*traces.columns)
@@ -232,15 +232,19 @@ def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
     stored = spark.read.schema(schema).parquet(path)
     deleted = stored.filter((F.col("day") <= F.lit(cutoff.date())) & (F.col("timestamp") < F.lit(cutoff))).count()
     edge = stored.filter((F.col("day") == F.lit(cutoff.date())) & (F.col("timestamp") >= F.lit(cutoff)))
+    # First the cutoff's day is replaced by what stays of it, then whole older days go: a crash between the two
+    # leaves rows that the next run deletes, and never takes one that should stay.
     saved = persist_table(edge, "retention-edge")
+    saved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    left = not saved.isEmpty()
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("day=") and name[4:] <= f"{cutoff:%Y-%m-%d}":
+        day = name[4:] if name.startswith("day=") else None
+        if day and (day < f"{cutoff:%Y-%m-%d}" or (day == f"{cutoff:%Y-%m-%d}" and not left)):
             fs.delete(status.getPath(), True)
-    saved.write.mode("append").partitionBy("day").parquet(path)
     return deleted
 
 
@@ -253,7 +257,7 @@ def integrity_report(traces: DataFrame, bodies: DataFrame, orgs: DataFrame, work
     pair = ["org_id", "workspace_id"]
     # Tenants are checked once each; traces are only joined with the (normally empty) list of unknown ones.
     unknown = traces.select(*pair).distinct().join(workspaces.select(*pair), pair, "left_anti")
-    lost = traces.join(broadcast_if_small(unknown, "tenants"), pair, "left_semi").select(F.lit("trace_without_workspace").alias("problem"), "id")
+    lost = traces.join(unknown, pair, "left_semi").select(F.lit("trace_without_workspace").alias("problem"), "id")
     stray = workspaces.join(orgs.select("org_id"), "org_id", "left_anti").select(
         F.lit("workspace_without_org").alias("problem"), F.concat_ws("/", "org_id", "workspace_id").alias("id")
     )

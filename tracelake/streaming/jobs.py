@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelake.operators.analytics import RAW, raw_counts
 from tracelake.operators.limits import RATE_SECONDS, replay_limit
 from tracelake.operators.turns import ITEM, OPENERS, RESPONSE, START, TERMINALS
 from tracelake.plans.build_trace import enrich
@@ -273,16 +274,21 @@ def quota_stream(traces: DataFrame, keys: Sequence[str], folder: str) -> DataFra
         F.sum("total_tokens").alias("total_tokens"), F.sum("estimated_cost_usd").alias("total_cost_usd")
     )
     flat = used.select(F.to_date("w.start").alias("day"), *keys, "total_tokens", "total_cost_usd")
+    return newest_updates(flat, ["day", *keys], folder)
+
+
+def newest_updates(changes: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """Runs a streaming aggregate over everything there is and returns the last state of each key."""
     path = os.path.join(folder, "updates")
 
     def write(batch: DataFrame, epoch: int) -> None:
         # The epoch's own folder is replaced, so a repeated batch does not count twice.
-        batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
 
-    run_available(flat.writeStream.outputMode("update").foreachBatch(write), os.path.join(folder, "checkpoint"))
-    updates = traces.sparkSession.read.schema(T.StructType([*flat.schema.fields, T.StructField("epoch", T.LongType())])).parquet(os.path.join(path, "*"))
-    newest = F.max_by(F.struct("total_tokens", "total_cost_usd"), "epoch")
-    return updates.groupBy("day", *keys).agg(newest.alias("n")).select("day", *keys, "n.total_tokens", "n.total_cost_usd")
+    run_available(changes.writeStream.outputMode("update").foreachBatch(write), os.path.join(folder, "checkpoint"))
+    updates = changes.sparkSession.read.schema(T.StructType([*changes.schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
+    values = [c for c in changes.columns if c not in keys]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("n")).select(*keys, "n.*")
 
 
 # ---- metrics ------------------------------------------------------------------------------------
@@ -301,3 +307,14 @@ def metrics_stream(traces: DataFrame, keys: Sequence[str] = ("provider",), every
         )
         .select(F.col("w.start").alias("window_start"), *keys, "request_count", "error_count", "max_latency_ms")
     )
+
+
+def counts_stream(traces: DataFrame, folder: str, every: str = "5 minutes") -> DataFrame:
+    """The counts behind request counter, latency buckets, quantile and ratio alert, from one stream.
+
+    Takes the place of ``raw_counts`` by ``window_start``: the last windows are there too, as they stand.
+    """
+    timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", "1 day")
+    counted = raw_counts(timed, F.window("timestamp", every).alias("w"))
+    flat = counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *[c for c in counted.columns if c != "w"])
+    return newest_updates(flat, ["window_start", *RAW], folder)
