@@ -17,6 +17,8 @@ _SETTINGS = {
     _STORE + "rocksdb.changelogCheckpointing.enabled": "true",
     _STORE + "rocksdb.boundedMemoryUsage": "true",
     _STORE + "rocksdb.maxMemoryUsageMB": "200",
+    # Many small stores: space is not set aside before it is needed.
+    _STORE + "rocksdb.allowFAllocate": "false",
 }
 
 
