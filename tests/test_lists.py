@@ -103,3 +103,33 @@ def test_filters_reach_the_file_scan(spark, tmp_path):
     for name in ("GreaterThanOrEqual(timestamp", "EqualTo(provider,openai)", "EqualTo(response_status,200)"):
         assert name in pushed
     assert "request_body" not in plan[plan.index("ReadSchema"):]
+
+
+def test_providers_by_name(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions.pricing import estimate_cost
+    from tracelake.functions.providers import Provider, default_registry, prices_of
+
+    known = default_registry()
+    assert known.names() == ["anthropic", "openai"] and known.get(" OpenAI ").name == "openai" and known.get("none") is None
+    known.add(Provider("own", prices_of("own", {f"m{n}": (n / 1000, 0.0) for n in range(1200)}, {"m": (9.0, 0.0)})))
+    df = spark.createDataFrame([("own", "m7"), ("own", "m1100"), ("own", "mx"), ("openai", "gpt-4o"), ("gone", "m7")], "p string, m string")
+    cost = df.select(estimate_cost(F.col("p"), F.col("m"), F.lit(1000), F.lit(0), known.prices())).collect()
+    assert [round(r[0], 6) for r in cost] == [0.007, 1.1, 9.0, 0.005, 0.0]
+    body = spark.createDataFrame([('{"model":"m7","usage":{"prompt_tokens":3,"completion_tokens":4}}', False)], "b string, s boolean")
+    row = known.get("own").answers(body, "b", "s", "x").first()
+    assert (row["x_model"], row["x_in"], row["x_out"], row["x_total"]) == ("m7", 3, 4, 7)
+
+
+def test_plans(spark):
+    """No nested loop for routes, one scan behind counter and histogram."""
+    from tracelake.operators import analytics, joins
+
+    rows = spark.createDataFrame([("/a/b",), ("/a",), ("/ab/c",), ("",), (None,)], "request_path string")
+    routes = spark.createDataFrame([("one", "/a"), ("all", "/"), ("two", "a/b/")], "name string, prefix string")
+    out = joins.route_join(rows, routes)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert {r["request_path"]: r["route_provider"] for r in out.collect()} == {"/a/b": "all", "/a": "all", "/ab/c": "all", "": "all", None: "unknown"}
+    plan = analytics.duration_histogram(traces(spark, [trace("a")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") <= 1

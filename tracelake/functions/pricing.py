@@ -62,8 +62,8 @@ def comparable_model(provider: Column, model: Column) -> Column:
     return F.when(provider.isin(*FOLDED_PROVIDERS), squeeze(F.lower(model))).otherwise(model)
 
 
-# A price list is written into the plan as a constant map; a longer list belongs into a table (price_join).
-MAX_INLINE_PRICES = 500
+# A price list is written into the plan as constant maps of this many entries each; a very long one is better a table (price_join).
+PRICES_PER_MAP = 500
 
 
 def rate_column(provider: Column, model: Column, prices: list[Price] | None = None) -> Column:
@@ -73,8 +73,6 @@ def rate_column(provider: Column, model: Column, prices: list[Price] | None = No
     prefix just as the list does.
     """
     prices = default_prices() if prices is None else prices
-    if len(prices) > MAX_INLINE_PRICES:
-        raise ValueError("price list too long to inline; use price_join")
     name = F.concat(provider, F.lit("|"), comparable_model(provider, model))
 
     def constant_map(rows: list[Price]) -> Column:
@@ -84,14 +82,15 @@ def rate_column(provider: Column, model: Column, prices: list[Price] | None = No
             entries.append("'" + f"{p.provider}|{p.pattern}".replace("'", r"\'") + f"', {rates}")
         return F.expr(f"map({', '.join(entries)})")
 
-    found = []
-    exact = [p for p in prices if p.exact]
-    if exact:
-        found.append(F.try_element_at(constant_map(exact), name))
-    prefixed = [p for p in prices if not p.exact]
-    if prefixed:
-        choice = "^(" + "|".join(re.escape(f"{p.provider}|{p.pattern}") for p in prefixed) + ")"
-        found.append(F.try_element_at(constant_map(prefixed), F.regexp_extract(name, choice, 1)))
+    def parts(rows: list[Price]) -> list[list[Price]]:
+        return [rows[i : i + PRICES_PER_MAP] for i in range(0, len(rows), PRICES_PER_MAP)]
+
+    found = [F.try_element_at(constant_map(rows), name) for rows in parts([p for p in prices if p.exact])]
+    for rows in parts([p for p in prices if not p.exact]):
+        choice = "^(" + "|".join(re.escape(f"{p.provider}|{p.pattern}") for p in rows) + ")"
+        found.append(F.try_element_at(constant_map(rows), F.regexp_extract(name, choice, 1)))
+    if not found:
+        return F.lit(None).cast("struct<input_per_1k: double, output_per_1k: double>")
     return F.coalesce(*found)
 
 

@@ -81,17 +81,12 @@ class PolicyRule:
         return sum(bool(v.strip()) for v in (self.org_id, self.workspace_id, self.key_id, self.provider, self.route_prefix))
 
 
-MAX_RULES = 1000
-
-
 def policy_columns(rules: Sequence[PolicyRule], fallback: PolicyRule, org: Column, workspace: Column, key: Column, provider: Column, path: Column) -> dict[str, Column]:
     """Mode and id of the policy that applies.
 
     All given selectors of a rule must match. How specific a rule is does not depend on the row:
     more selectors first, then the longer prefix, then list order. So the sorted rules are one CASE.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} policy rules")
     for rule in rules:
         if not rule.selectors():
             raise ValueError(f"policy {rule.policy_id} selects nothing")
