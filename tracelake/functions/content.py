@@ -58,7 +58,7 @@ def _tool(key: str, source: str, *parts: tuple[str, str, str]) -> list[str]:
 
 def _tool_input(key: str, source: str, doc: str) -> str:
     """A tool's input document; JSON null counts as none."""
-    return _add(key, "'tool_call'", source, "input", "''", "set", f"if({q.kind(doc)} = 'VOID', NULL, {doc})")
+    return _add(key, "'tool_call'", source, "input", "''", "set", f"if(({q.kind(doc)}) = 'VOID', NULL, {doc})")
 
 
 def _list(*entries: str) -> str:

@@ -17,7 +17,12 @@ def parse(raw: Column) -> Column:
 
 
 def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+    """OBJECT, ARRAY or the type of a single value; only the top level is looked at."""
+    return (
+        F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.lit("OBJECT"))
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+        .otherwise(F.schema_of_variant(value))
+    )
 
 
 def _text(value: Column) -> Column:
@@ -82,16 +87,9 @@ def json_or_raw(raw: Column) -> Column:
 def metadata_view(raw: Column) -> Column:
     """The metadata object; text that is no JSON object is shown under the key ``raw``."""
     doc = parse(raw)
-    is_object = F.schema_of_variant(doc).startswith("OBJECT")
+    is_object = F.try_variant_get(doc, "$", "map<string,variant>").isNotNull()
     filled = F.nullif(squeeze(raw), F.lit(""))
     return F.when(
         filled.isNotNull(),
         F.when(is_object, doc).otherwise(F.parse_json(F.to_json(F.struct(raw.alias("raw"))))),
     )
-
-
-def key_values(raw: Column) -> Column:
-    """Map of top-level key to the value's canonical JSON text, for set operations on keys."""
-    return F.coalesce(
-        F.try_variant_get(metadata_view(raw), "$", "map<string,variant>"), F.lit(None).cast("map<string,variant>")
-    )

@@ -238,7 +238,7 @@ def _plain_usage(v: str) -> str:
 def _text_value(v: str) -> str:
     """Text, or the text parts of a list joined by newlines; NULL if nothing is left."""
     kind_of = q.trim(q.text("p", "type"))
-    part = f"""CASE WHEN {q.kind('p')} = 'STRING' THEN {q.filled(q.as_text('p'))}
+    part = f"""CASE WHEN ({q.kind('p')}) = 'STRING' THEN {q.filled(q.as_text('p'))}
       WHEN {q.is_object('p')} AND {kind_of} IN ('', 'text', 'input_text') THEN {q.filled(q.text('p', 'text'))} END"""
     joined = f"array_join(filter(transform({q.items(v)}, p -> {part}), t -> t IS NOT NULL), '\\n')"
     return f"if({q.is_array(v)}, {q.filled(joined)}, {q.filled(q.as_text(v))})"

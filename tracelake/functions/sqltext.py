@@ -43,12 +43,16 @@ def member(v: str, path: str) -> str:
 
 
 def kind(v: str) -> str:
-    return f"schema_of_variant({v})"
+    """OBJECT, ARRAY or the type of a single value. Only the top level is looked at, however deep the document is."""
+    return (
+        f"CASE WHEN try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL THEN 'OBJECT'"
+        f" WHEN try_variant_get({v}, '$', 'array<variant>') IS NOT NULL THEN 'ARRAY' ELSE schema_of_variant({v}) END"
+    )
 
 
 def as_text(v: str) -> str:
     """The value if it is JSON text, else NULL."""
-    return f"if({kind(v)} = 'STRING', try_variant_get({v}, '$', 'string'), NULL)"
+    return f"if(({kind(v)}) = 'STRING', try_variant_get({v}, '$', 'string'), NULL)"
 
 
 def text(v: str, path: str) -> str:
@@ -57,11 +61,11 @@ def text(v: str, path: str) -> str:
 
 
 def is_object(v: str) -> str:
-    return f"coalesce(startswith({kind(v)}, 'OBJECT'), false)"
+    return f"(try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL)"
 
 
 def is_array(v: str) -> str:
-    return f"coalesce(startswith({kind(v)}, 'ARRAY'), false)"
+    return f"(try_variant_get({v}, '$', 'array<variant>') IS NOT NULL)"
 
 
 def as_object(v: str) -> str:
@@ -77,7 +81,7 @@ def number(v: str) -> str:
     """A JSON number cut to a whole number; NULL for other types."""
     whole = f"try_variant_get({v}, '$', 'bigint')"
     cut = f"bigint(try_variant_get({v}, '$', 'double'))"
-    return f"CASE WHEN {kind(v)} = 'BIGINT' THEN {whole} WHEN {kind(v)} = 'DOUBLE' OR startswith({kind(v)}, 'DECIMAL') THEN {cut} END"
+    return f"CASE WHEN ({kind(v)}) = 'BIGINT' THEN {whole} WHEN ({kind(v)}) = 'DOUBLE' OR startswith({kind(v)}, 'DECIMAL') THEN {cut} END"
 
 
 def number_at(v: str, path: str, default: str) -> str:

@@ -122,10 +122,6 @@ def lookup(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.join(wanted.select("id"), "id", "left_semi")
 
 
-def lookup_ids(df: DataFrame, ids: list[str]) -> DataFrame:
-    return df.filter(F.col("id").isin(*ids))
-
-
 def capturable(df: DataFrame, path: str = "path") -> DataFrame:
     """The own API and dashboard calls are not traced."""
     return df.filter(~under_prefix(F.col(path), "/api") & ~under_prefix(F.col(path), "/dashboard"))
