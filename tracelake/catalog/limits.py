@@ -11,8 +11,6 @@ from tracelake.operators.limits import Policy
 from tracelake.registry import query
 from tracelake.sources import derived
 
-_DAY = 86_400
-
 
 @query(
     "w4_trailing_rate",
@@ -65,7 +63,7 @@ _QUOTA = """SELECT *, CASE WHEN kt >= 1500 THEN 'KEY_DAILY_TOKENS_EXCEEDED' WHEN
 )
 def daily_quota_audit(spark, sf):
     t = derived.traces(spark, sf).select("id", *ops.KEY_SCOPE, "timestamp", "total_tokens", "estimated_cost_usd")
-    out = ops.quota_codes(t, PER_KEY, PER_WORKSPACE, slice_seconds=3600)
+    out = ops.quota_codes(t, PER_KEY, PER_WORKSPACE)
     return out.select(
         "id", "key_tokens", F.round("key_cost", 8).alias("key_cost"), "workspace_tokens", F.round("workspace_cost", 8).alias("workspace_cost"), "quota_code"
     )
@@ -81,7 +79,7 @@ def daily_quota_audit(spark, sf):
     ),
 )
 def limit_decision_order(spark, sf):
-    return ops.limit_decisions(derived.traces(spark, sf), PER_KEY, PER_WORKSPACE, slice_seconds=3600).select("id", "limit_code")
+    return ops.limit_decisions(derived.traces(spark, sf), PER_KEY, PER_WORKSPACE).select("id", "limit_code")
 
 
 # Replays the open turn with a running state, written with ordered windows instead of slices.
@@ -104,7 +102,7 @@ _TURN_ROWS = """WITH a AS (SELECT *, direction = 'client_to_upstream' AS cl, opc
     with_tables(f"{_TURN_ROWS} SELECT connection_id, msg_id, CAST(turn_index AS BIGINT) AS turn_index, st AS starts_turn, in_turn, ends_turn FROM f", "ws_messages"),
 )
 def session_turn_number(spark, sf):
-    out = turns.assign_turns(derived.ws_messages(spark, sf), slice_seconds=_DAY)
+    out = turns.assign_turns(derived.ws_messages(spark, sf))
     return out.select("connection_id", "msg_id", "turn_index", "starts_turn", "in_turn", "ends_turn")
 
 
@@ -129,7 +127,7 @@ _TURNS = f"""{_TURN_ROWS},
     ),
 )
 def ws_turns(spark, sf):
-    out = turns.turn_table(derived.ws_messages(spark, sf), slice_seconds=_DAY)
+    out = turns.turn_table(derived.ws_messages(spark, sf))
     return out.select("connection_id", "turn_index", "start_type", "terminal_type", "incomplete", "started_at", "ended_at")
 
 
@@ -143,7 +141,7 @@ def ws_turns(spark, sf):
     ),
 )
 def turn_metrics(spark, sf):
-    out = turns.turn_table(derived.ws_messages(spark, sf), slice_seconds=_DAY)
+    out = turns.turn_table(derived.ws_messages(spark, sf))
     return out.select(
         "connection_id", "turn_index", "request_messages", "response_messages", "stream_chunks", "request_bytes", "response_bytes", "duration_ms", "first_response_us",
         F.col("close_code").cast("bigint").alias("close_code"),

@@ -60,7 +60,7 @@ def next_cursor(spark, sf):
 def assign_pages(spark, sf):
     t = derived.traces(spark, sf).select("id", "org_id", "workspace_id", "created_at")
     # A day per slice suits this table's density; a busy table takes a shorter one.
-    return paging.assign_pages(t, ["org_id", "workspace_id"], 50, slice_seconds=86_400).drop("created_at")
+    return paging.assign_pages(t, ["org_id", "workspace_id"], 50).drop("created_at")
 
 
 @query("k5_latest_trace", on_traces(f"SELECT {_SHOWN_SQL} FROM traces ORDER BY created_at DESC, id DESC LIMIT 1"))

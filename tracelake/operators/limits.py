@@ -35,12 +35,12 @@ def trailing_rate(traces: DataFrame, keys: Sequence[str], seconds: int = RATE_SE
     return trailing_count(traces, keys, "timestamp", seconds, name)
 
 
-def _used_before(traces: DataFrame, keys: Sequence[str], prefix: str, slice_seconds: int) -> DataFrame:
+def _used_before(traces: DataFrame, keys: Sequence[str], prefix: str, slice_seconds: int | None) -> DataFrame:
     sums = {f"{prefix}_tokens": F.col("total_tokens").cast("bigint"), f"{prefix}_cost": F.col("estimated_cost_usd")}
     return running_sums(traces, [*keys, "_day"], "timestamp", ["timestamp", "id"], sums, slice_seconds=slice_seconds, include_current=False)
 
 
-def quota_codes(traces: DataFrame, per_key: Policy, per_workspace: Policy, slice_seconds: int = 600) -> DataFrame:
+def quota_codes(traces: DataFrame, per_key: Policy, per_workspace: Policy, slice_seconds: int | None = None) -> DataFrame:
     """Add the tokens and cost used before each row on its UTC day and the limit they had reached.
 
     Usage at the limit counts as exceeded. Key limits are checked before workspace limits, tokens
@@ -197,7 +197,7 @@ def rate_limit_audit(requests: DataFrame, per_key: Policy, per_workspace: Policy
     )
 
 
-def limit_decisions(traces: DataFrame, per_key: Policy, per_workspace: Policy, *, seconds: int = RATE_SECONDS, slice_seconds: int = 600) -> DataFrame:
+def limit_decisions(traces: DataFrame, per_key: Policy, per_workspace: Policy, *, seconds: int = RATE_SECONDS, slice_seconds: int | None = None) -> DataFrame:
     """The limit each request hits first: daily key, daily workspace, key rate, workspace rate.
 
     A request denied by a quota never reaches the rate limiter.

@@ -92,7 +92,7 @@ def export_page(df: DataFrame, start: dt.datetime, end: dt.datetime, limit: int
     return _page(rows.orderBy(*order), limit, order, F.col("timestamp"))
 
 
-def assign_pages(df: DataFrame, keys: list[str], page_size: int, slice_seconds: int = 600) -> DataFrame:
+def assign_pages(df: DataFrame, keys: list[str], page_size: int, slice_seconds: int | None = None) -> DataFrame:
     """Page number of every row in its tenant's newest-first listing."""
     numbered = running_sums(
         df, keys, "created_at", ["created_at", "id"], {"row_no": F.lit(1)}, slice_seconds=slice_seconds, descending=True

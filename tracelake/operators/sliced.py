@@ -3,11 +3,13 @@
 A plain window sorts all rows of a key in one task. Here every key's timeline is cut into fixed
 time slices: totals per (key, slice) are pre-aggregated, carried forward over the short list of
 slices, and joined back, so the only row-level window covers one slice of one key. Slices are a
-function of the timestamp alone, so a recomputed task always sees the same cut.
+function of the timestamp alone, so a recomputed task always sees the same cut; how long they are
+follows from the density of the densest key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,22 @@ def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+# Rows that a slice of the densest key holds on average.
+SLICE_ROWS = 50_000
+
+
+def fitting_seconds(df: DataFrame, keys: Sequence[str], time_col: str, rows: int = SLICE_ROWS) -> int:
+    """The length of a slice, from one aggregate over the rows per key and the time they span.
+
+    Keys of at most ``rows`` rows need no cut; where no key has more, one slice covers everything.
+    """
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    per_key = df.groupBy(*keys).agg(F.count(us).alias("n"), (F.max(us) - F.min(us)).alias("span"), F.min(us).alias("first"), F.max(us).alias("last"))
+    got = per_key.agg(F.min(F.when(F.col("n") > rows, F.col("span") / F.col("n"))).alias("apart"), (F.max("last") - F.min("first")).alias("whole")).first()
+    wanted = (got["whole"] or 0) + 1 if got["apart"] is None else got["apart"] * rows
+    return max(1, math.ceil(wanted / 1_000_000))
+
+
 def _join_null_safe(rows: DataFrame, totals: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join in which a NULL key or a NULL time (its own slice) finds its totals."""
     named = totals.withColumnsRenamed({c: f"_on_{c}" for c in on})
@@ -37,7 +55,7 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     *,
-    slice_seconds: int = 600,
+    slice_seconds: int | None = None,
     descending: bool = False,
     include_current: bool = True,
 ) -> DataFrame:
@@ -49,6 +67,7 @@ def running_sums(
     if order[0] != time_col:
         raise ValueError("order must start with the time column")
     keys = list(keys)
+    slice_seconds = slice_seconds or fitting_seconds(df, keys, time_col)
     names = list(sums)
     rows = df.withColumns(
         {SLICE: time_slice(F.col(time_col), slice_seconds), **{f"_v_{n}": sums[n] for n in names}}
@@ -76,10 +95,11 @@ def running_sums(
 
 
 def running_max(
-    df: DataFrame, keys: Sequence[str], time_col: str, order: Sequence[str], name: str, value: Column, *, slice_seconds: int = 600
+    df: DataFrame, keys: Sequence[str], time_col: str, order: Sequence[str], name: str, value: Column, *, slice_seconds: int | None = None
 ) -> DataFrame:
     """Add the largest value so far, current row included; NULLs are skipped."""
     keys = list(keys)
+    slice_seconds = slice_seconds or fitting_seconds(df, keys, time_col)
     rows = df.withColumns({SLICE: time_slice(F.col(time_col), slice_seconds), "_v": value})
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*keys, SLICE).agg(F.max("_v").alias("_t")).select(*keys, SLICE, F.max("_t").over(before).alias("_c"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import sqltext as q
-from tracelake.operators.sliced import running_max, running_sums
+from tracelake.operators.sliced import fitting_seconds, running_max, running_sums
 from tracelake.session import persist_table
 
 # Message types that open and end turns.
@@ -38,11 +38,12 @@ def message_type(payload: str) -> Column:
 _CLIENT = "client_to_upstream"
 
 
-def assign_turns(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
+def assign_turns(messages: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Add to each message: starts_turn, turn_index (turns started so far), in_turn, ends_turn.
 
     ``messages``: connection_id, msg_id, ts, direction, opcode, msg_type, close_code.
     """
+    slice_seconds = slice_seconds or fitting_seconds(messages, ["connection_id"], "ts")
     client = F.col("direction") == _CLIENT
     text = F.col("opcode") == "text"
     begins = client & text & (F.col("msg_type") == START)
@@ -81,8 +82,9 @@ def assign_turns(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
     ).select(*messages.columns, "starts_turn", "turn_index", "in_turn", "ends_turn")
 
 
-def turn_table(messages: DataFrame, slice_seconds: int = 600) -> DataFrame:
+def turn_table(messages: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """One row per turn: start, end, why it ended, message and byte counts, first response."""
+    slice_seconds = slice_seconds or fitting_seconds(messages, ["connection_id"], "ts")
     m = persist_table(assign_turns(messages, slice_seconds), "turn-messages")
     seen_close = F.when(F.col("opcode") == "close", F.struct("ts", "msg_id", "close_code"))
     m = running_max(m, ["connection_id"], "ts", ["ts", "msg_id"], "_close", seen_close, slice_seconds=slice_seconds)
