@@ -17,6 +17,10 @@ MOST_ROWS = 40_000
 MOST_CANDIDATES = 200_000
 #: Terms of at least this many letters are also found with one edit; twice as long ones with two.
 FUZZY_FROM = 5
+#: States of the automaton that are kept; beyond that they are worked out anew.
+MOST_STATES = 100_000
+#: Words whose match a Python worker keeps.
+MOST_KINDS = 1_000_000
 #: Words on either side that are looked at.
 WINDOW = 6
 #: Words that report speech, address somebody or deny, and marks that quote.
@@ -27,19 +31,86 @@ FEATURES = ("exact", "stem", "fuzzy", "abuse", "quoted", "share", "distinct", "a
 
 
 class Lexicon:
-    """A trie of terms. ``kind`` of a term: 0 for whole words, 1 for stems, which match words that begin with them."""
+    """A trie of terms. ``kind`` of a term: 0 for whole words, 1 for stems, which match words that begin with them.
+
+    Misspelled terms are found by a Levenshtein automaton that runs along the trie. Its states are sets of (node, edits so far,
+    letter that a swap still expects); a set is worked out when a word first leads to it and then kept, so that most words cost
+    a few look-ups until no term is near any more.
+    """
 
     def __init__(self, terms: list[tuple[str, int]]):
         self.words = {t for t, kind in terms if kind == 0}
         self.stems = {t for t, kind in terms if kind == 1}
         self.lengths = sorted({len(t) for t in self.stems})
-        self.root: dict = {}
-        for term in self.words:
+        # Nodes by number: children by letter, edits allowed below (0: none), length of the term that ends here (0: none).
+        self.children: list[dict[str, int]] = [{}]
+        self.allowed, self.ends = [0], [0]
+        for term in sorted(self.words):
             if len(term) >= FUZZY_FROM:
-                node = self.root
+                node, edits = 0, 2 if len(term) >= 2 * FUZZY_FROM else 1
                 for c in term:
-                    node = node.setdefault(c, {})
-                node[""] = term
+                    self.allowed[node] = max(self.allowed[node], edits)
+                    if c not in self.children[node]:
+                        self.children[node][c] = len(self.children)
+                        self.children.append({})
+                        self.allowed.append(0)
+                        self.ends.append(0)
+                    node = self.children[node][c]
+                self.allowed[node] = max(self.allowed[node], edits)
+                self.ends[node] = len(term)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.sets = [self._closed({(0, 0, "")})]
+        self.numbers = {self.sets[0]: 0}
+        self.steps: list[dict[str, int]] = [{}]
+        self.accepts = [self._accepts(self.sets[0])]
+
+    def _closed(self, states: set) -> frozenset:
+        """With what a letter left out of the word leads to."""
+        todo = list(states)
+        while todo:
+            node, edits, expected = todo.pop()
+            if not expected:
+                for child in self.children[node].values():
+                    new = (child, edits + 1, "")
+                    if edits < self.allowed[child] and new not in states:
+                        states.add(new)
+                        todo.append(new)
+        return frozenset(states)
+
+    def _accepts(self, states: frozenset) -> int:
+        """The least length of a word that may end here: 1 for one edit at most, 10 for two; 0: none may."""
+        found = [1 if edits < 2 else 2 * FUZZY_FROM for node, edits, expected in states if not expected and self.ends[node] and (edits < 2 or self.ends[node] >= 2 * FUZZY_FROM)]
+        return min(found, default=0)
+
+    def _step(self, number: int, letter: str) -> int:
+        states = set()
+        for node, edits, expected in self.sets[number]:
+            if expected:
+                if letter == expected:
+                    states.add((node, edits, ""))
+                continue
+            same = self.children[node].get(letter)
+            if same is not None:
+                states.add((same, edits, ""))
+            if edits < self.allowed[node]:
+                states.add((node, edits + 1, ""))  # a letter too many
+                for other, child in self.children[node].items():
+                    if other != letter and edits < self.allowed[child]:
+                        states.add((child, edits + 1, ""))  # another letter
+                        swapped = self.children[child].get(letter)
+                        if swapped is not None and edits < self.allowed[swapped]:
+                            states.add((swapped, edits + 1, other))
+        closed = self._closed(states)
+        found = self.numbers.get(closed)
+        if found is None:
+            found = self.numbers[closed] = len(self.sets)
+            self.sets.append(closed)
+            self.steps.append({})
+            self.accepts.append(self._accepts(closed))
+        self.steps[number][letter] = found
+        return found
 
     def match(self, word: str) -> int:
         """0: none, 1: a term, 2: a stem, 3: a term with edits."""
@@ -53,25 +124,15 @@ class Lexicon:
         return 3 if self._near(word) else 0
 
     def _near(self, word: str) -> bool:
-        """Runs the automaton of ``word`` along the trie. Its state is a row of edit distances; a swap of neighbours is one edit."""
-        limit = 2 if len(word) >= 2 * FUZZY_FROM else 1
-        todo = [(self.root, list(range(len(word) + 1)), None, "")]
-        while todo:
-            node, row, before, last = todo.pop()
-            if "" in node and row[-1] <= limit and (limit == 1 or len(node[""]) >= 2 * FUZZY_FROM or row[-1] <= 1):
-                return True
-            for c, child in node.items():
-                if not c:
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word, 1):
-                    d = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (w != c))
-                    if before and i > 1 and w == last and word[i - 2] == c:
-                        d = min(d, before[i - 2] + 1)
-                    new.append(d)
-                if min(new) <= limit:
-                    todo.append((child, new, row, c))
-        return False
+        if len(self.sets) > MOST_STATES:
+            self._forget()
+        number = 0
+        for letter in word:
+            following = self.steps[number].get(letter)
+            number = self._step(number, letter) if following is None else following
+            if not self.sets[number]:
+                return False
+        return 0 < self.accepts[number] <= len(word)
 
 
 #: Signs that stand for letters.
@@ -89,15 +150,15 @@ def features(text: str, lexicon: Lexicon, kinds: dict[str, int]) -> list[float]:
     from math import log1p
 
     words = text.split()
-    hits, seen = [], kinds.get
-    for i, word in enumerate(words):
-        kind = seen(word)
-        if kind is None:
-            if len(kinds) > 500_000:
-                kinds.clear()
-            kind = kinds[word] = lexicon.match(_letters(word[:200]))
-        if kind:
-            hits.append((i, kind))
+    found = list(map(kinds.get, words))
+    if None in found:
+        if len(kinds) > MOST_KINDS:
+            kinds.clear()
+        for word in set(words):
+            if word not in kinds:
+                kinds[word] = lexicon.match(_letters(word[:200]))
+        found = list(map(kinds.get, words))
+    hits = [(i, kind) for i, kind in enumerate(found) if kind] if any(found) else []
     if not hits:
         return [0.0] * 8 + [log1p(len(words))]
     counts, abuse, quoted = [0, 0, 0], 0, 0
