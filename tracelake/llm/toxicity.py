@@ -213,7 +213,10 @@ def _terms(rows: DataFrame, wanted: frozenset | None = None) -> DataFrame:
 
 
 def learn_terms(rows: DataFrame) -> list[tuple[str, int]]:
-    """Words and word stems (4 to 7 letters) that toxic training documents have and others hardly ever: ``(term, kind)``."""
+    """Words and word stems (4 to 7 letters) that toxic training documents have and others hardly ever: ``(term, kind)``.
+
+    A stem counts only if several words share it: one word alone must not explain most of its documents.
+    """
     toxic = rows.filter("toxic = 1")
     least = max(MIN_TOXIC, 0.01 * toxic.count())
     bad = _terms(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term", "kind").limit(MOST_CANDIDATES).collect()
@@ -221,6 +224,12 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, int]]:
         return []
     fine = {(r["term"], r["kind"]): r["n"] for r in _terms(rows.filter("toxic = 0"), frozenset((r["term"], r["kind"]) for r in bad)).collect()}
     share = {0: MIN_SHARE, 1: 0.9}
+    alone: dict[str, int] = {}
+    for r in bad:
+        if r["kind"] == 0:
+            for k in range(4, 8):
+                alone[r["term"][:k]] = max(alone.get(r["term"][:k], 0), r["n"])
+    bad = [r for r in bad if r["kind"] == 0 or 2 * r["n"] >= 3 * alone.get(r["term"], 0)]
     good = [(r["term"], r["kind"]) for r in bad if r["n"] >= share[r["kind"]] * (r["n"] + fine.get((r["term"], r["kind"]), 0))]
     return good[:MOST_TERMS]
 
