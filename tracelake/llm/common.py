@@ -46,9 +46,13 @@ def fresh(rows: DataFrame, *names: str) -> list[str]:
 
 
 def worker_cache(name: str, make):
-    """One object per Python worker: it outlives a task, so the next one on the same worker finds it filled."""
+    """One object per Python worker: it outlives a task, so the next one on the same worker finds it filled.
+
+    A worker holds one at a time: the next operator's takes the place of the former's, so that memory does not add up over stages.
+    """
     kept = vars(sys).setdefault("_tracelake_llm", {})
     if name not in kept:
+        kept.clear()
         kept[name] = make()
     return kept[name]
 

@@ -16,7 +16,7 @@ _SETTINGS = {
     _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     _STORE + "rocksdb.changelogCheckpointing.enabled": "true",
     _STORE + "rocksdb.boundedMemoryUsage": "true",
-    _STORE + "rocksdb.maxMemoryUsageMB": "200",
+    _STORE + "rocksdb.maxMemoryUsageMB": "100",
     # Many small stores: space is not set aside before it is needed.
     _STORE + "rocksdb.allowFAllocate": "false",
 }

@@ -20,7 +20,7 @@ FUZZY_FROM = 5
 #: States of the automaton that are kept; beyond that they are worked out anew.
 MOST_STATES = 100_000
 #: Words whose match a Python worker keeps.
-MOST_KINDS = 1_000_000
+MOST_KINDS = 500_000
 #: Words on either side that are looked at.
 WINDOW = 6
 #: Words that report speech, address somebody or deny, and marks that quote.
