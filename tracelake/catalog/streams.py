@@ -19,8 +19,14 @@ from tracelake.streaming import jobs
 
 
 def stream_of(spark, sf, name):
+    """A table as a stream: the folder of its part files, or the one file of its name."""
     schema = derived.table(spark, sf, name).schema
-    return pin_utc(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    reader = pin_utc(spark).readStream.schema(schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf}/{name}.parquet")
+    # Streams start from folders; the option matches names of files only.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _build(events):
