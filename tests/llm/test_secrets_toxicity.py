@@ -135,3 +135,19 @@ def test_edges(spark, model):
     marked = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), (9, 1)], "doc_id long, toxic int")
     assert toxicity.judge(docs, marked).count() == 5
     assert toxicity.judge(docs.limit(0), marked).collect() == []
+
+
+def test_rare_terms_are_learned_in_large_tables(spark):
+    """The bar does not rise with the table: six pure documents of 1,500 toxic ones, or of 15, make a term."""
+    for toxic in (15, 1500):
+        bad = [(f"common{'abcdefghij'[i % 10]} {'zorkel' if i < 6 else 'other'} text {i}", 1) for i in range(toxic)]
+        fine = [(f"plain {'slant' if i % 2 else 'other'} text {i} again", 0) for i in range(9 * toxic)]
+        rows = spark.createDataFrame(bad + fine, "text string, toxic int")
+        terms = {t for t, kind in toxicity.learn_terms(rows) if kind == 0}
+        assert "zorkel" in terms and not terms & {"other", "text", "plain", "slant"}
+
+
+def test_chance_finds_are_no_terms(spark):
+    """Where half of all rows are toxic, three toxic documents of a word say little."""
+    rows = [(f"word {'florn' if i in (0, 2, 4) else 'else'} {i}", i % 2 ^ 1) for i in range(40)]
+    assert toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int")) == []

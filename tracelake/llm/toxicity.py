@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import fresh, worker_cache
 
-#: A term must be in so many toxic training documents, and so large a share of its documents must be toxic.
+#: A term must be in so many toxic training documents, whatever their number, and so large a share of its documents must be toxic.
 MIN_TOXIC, MIN_SHARE = 3, 0.75
+#: So large must twice the log-likelihood ratio against the share of all documents be: one chance in 100,000 (chi-squared, one degree),
+#: as very many terms are judged. Where a tenth is toxic, five documents are enough, in a table of any size.
+MIN_RATIO = 19.51
 #: The lexicon's size is bounded, as every task holds it; the terms with the most toxic documents stay.
 MOST_TERMS = 20_000
 #: Labelled rows that the classifier and its lexicon are fitted on, at most; drawn by hash of the id.
 MOST_ROWS = 40_000
-#: Terms looked up in all training rows, at most: those of the most toxic ones.
-MOST_CANDIDATES = 200_000
 #: Terms of at least this many letters are also found with one edit; twice as long ones with two.
 FUZZY_FROM = 5
 #: States of the automaton that are kept; beyond that they are worked out anew.
@@ -186,52 +187,61 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, tex
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def _terms(rows: DataFrame, wanted: frozenset | None = None) -> DataFrame:
-    """``term, kind, n``: in how many rows a word (kind 0) or stem (kind 1) stands. Each row names a term once."""
+def _terms(rows: DataFrame) -> DataFrame:
+    """``term, kind, n, fine``: in how many toxic and other rows a word (kind 0) or stem (kind 1) stands. Each row names a term once."""
 
     def named(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        def counted(found):
+        def counted(toxic, fine):
+            found = list(toxic.keys() | fine.keys())
             terms, kinds = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(kinds, pa.int32()), pa.array(found.values(), pa.int64())], ["term", "kind", "n"])
+            columns = [pa.array(terms, pa.string()), pa.array(kinds, pa.int32()), *(pa.array([c[f] for f in found], pa.int64()) for c in (toxic, fine))]
+            return pa.RecordBatch.from_arrays(columns, ["term", "kind", "n", "fine"])
 
-        found: Counter = Counter()
+        both: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = {w for w in map(_letters, set(t.split())) if w.isalpha() and 3 <= len(w) <= 30}
-                terms = {(w, 0) for w in words} | {(w[:n], 1) for w in words for n in range(4, 8) if len(w) > n}
-                found.update(terms if wanted is None else terms & wanted)
-                if len(found) > 200_000:
-                    yield counted(found)
-                    found = Counter()
-        yield counted(found)
+                both[0 if toxic else 1].update({(w, 0) for w in words} | {(w[:n], 1) for w in words for n in range(4, 8) if len(w) > n})
+                if len(both[0]) + len(both[1]) > 200_000:
+                    yield counted(*both)
+                    both = (Counter(), Counter())
+        yield counted(*both)
 
-    return rows.select("text").mapInArrow(named, "term string, kind int, n long").groupBy("term", "kind").agg(F.sum("n").alias("n"))
+    return rows.select("text", (F.col("toxic") == 1).alias("toxic")).mapInArrow(named, "term string, kind int, n long, fine long").groupBy("term", "kind").agg(F.sum("n").alias("n"), F.sum("fine").alias("fine"))
+
+
+def _unlikely(n: Column, fine: Column, share: float) -> Column:
+    """Twice the log-likelihood ratio of a term's toxic share against that of all rows; high: no chance find."""
+    total = n + fine
+    return 2 * (n * F.log(n / (total * share)) + F.when(fine > 0, fine * F.log(fine / (total * (1 - share)))).otherwise(0.0))
 
 
 def learn_terms(rows: DataFrame) -> list[tuple[str, int]]:
     """Words and word stems (4 to 7 letters) that toxic training documents have and others hardly ever: ``(term, kind)``.
 
-    A stem counts only if several words share it: one word alone must not explain most of its documents.
+    The bar is the same for tables of every size. A stem counts only if several words share it: one word alone must not explain most
+    of its documents.
     """
-    toxic = rows.filter("toxic = 1")
-    least = max(MIN_TOXIC, 0.01 * toxic.count())
-    bad = _terms(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term", "kind").limit(MOST_CANDIDATES).collect()
-    if not bad:
+    from tracelake.session import persist_table
+
+    # Copies of a text tell no more than one of them.
+    rows = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    every, toxic = rows.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
+    if not toxic:
         return []
-    fine = {(r["term"], r["kind"]): r["n"] for r in _terms(rows.filter("toxic = 0"), frozenset((r["term"], r["kind"]) for r in bad)).collect()}
-    share = {0: MIN_SHARE, 1: 0.9}
-    alone: dict[str, int] = {}
-    for r in bad:
-        if r["kind"] == 0:
-            for k in range(4, 8):
-                alone[r["term"][:k]] = max(alone.get(r["term"][:k], 0), r["n"])
-    bad = [r for r in bad if r["kind"] == 0 or 2 * r["n"] >= 3 * alone.get(r["term"], 0)]
-    good = [(r["term"], r["kind"]) for r in bad if r["n"] >= share[r["kind"]] * (r["n"] + fine.get((r["term"], r["kind"]), 0))]
-    return good[:MOST_TERMS]
+    counts = persist_table(_terms(rows).filter(F.col("n") >= MIN_TOXIC), "toxic-terms")
+    stems = F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.left("term", k)))
+    alone = counts.filter("kind = 0").select(stems.alias("term"), F.lit(1).alias("kind"), "n").groupBy("term", "kind").agg(F.max("n").alias("alone"))
+    pure = F.col("n") >= F.when(F.col("kind") == 0, MIN_SHARE).otherwise(0.9) * (F.col("n") + F.col("fine"))
+    # Where all rows are toxic, none says what others do not say.
+    chance = _unlikely(F.col("n"), F.col("fine"), toxic / every) >= MIN_RATIO if toxic < every else F.lit(True)
+    shared = (F.col("kind") == 0) | (2 * F.col("n") >= 3 * F.coalesce("alone", F.lit(0)))
+    good = counts.filter(pure & chance).join(alone, ["term", "kind"], "left").filter(shared)
+    return [(r["term"], r["kind"]) for r in good.orderBy(F.desc("n"), "term", "kind").limit(MOST_TERMS).collect()]
 
 
 def fit(rows: list[tuple[list[float], int]], rounds: int = 30) -> list[float]:
