@@ -151,3 +151,18 @@ def test_chance_finds_are_no_terms(spark):
     """Where half of all rows are toxic, three toxic documents of a word say little."""
     rows = [(f"word {'florn' if i in (0, 2, 4) else 'else'} {i}", i % 2 ^ 1) for i in range(40)]
     assert toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int")) == []
+
+
+def test_words_without_blanks_between_are_found():
+    lexicon = toxicity.Lexicon([("idiot", 0), ("moron", 0), ("scum", 0)])
+    names = dict(zip(toxicity.FEATURES, range(20)))
+    for mark in ",/_|;-":
+        found = toxicity.features(mark.join(["idiot", "moron", "scum", "fine"]), lexicon, {})
+        assert found[names["exact"]] == pytest.approx(1.3862943611)
+    late = toxicity.features("fine," * 100_000 + "1d10t", lexicon, {})
+    assert late[names["exact"]] > 0 and late[names["any"]] == 1
+    rows = toxicity.features("don't you're o'clock", lexicon, {})
+    assert rows[names["any"]] == 0
+    kinds = {}
+    toxicity.features("x" * 100_000 + " idiot", lexicon, kinds)
+    assert kinds == {"idiot": 1}

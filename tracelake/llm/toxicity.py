@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ MOST_ROWS = 40_000
 FUZZY_FROM = 5
 #: States of the automaton that are kept; beyond that they are worked out anew.
 MOST_STATES = 100_000
-#: Words whose match a Python worker keeps.
-MOST_KINDS = 500_000
+#: Words whose match a Python worker keeps, and the longest that are kept; longer ones are matched each time.
+MOST_KINDS, LONGEST_KEPT = 500_000, 64
 #: Words on either side that are looked at.
 WINDOW = 6
 #: Words that report speech, address somebody or deny, and marks that quote.
@@ -120,7 +122,7 @@ class Lexicon:
         for n in self.lengths:
             if n < len(word) and word[:n] in self.stems:
                 return 2
-        if len(word) < FUZZY_FROM - 1 or len(word) > 64:
+        if len(word) < FUZZY_FROM - 1:
             return 0
         return 3 if self._near(word) else 0
 
@@ -138,6 +140,9 @@ class Lexicon:
 
 #: Signs that stand for letters.
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+#: A word: a run of letters and signs that stand for them, with the quote marks around it; marks between letters are none.
+_LETTER = r"[^\W\d_]"
+_WORD = re.compile(rf"(?:(?<!{_LETTER})[{QUOTES}])?(?:{_LETTER}|[013457@$!])+(?:[.,;:?]?[{QUOTES}](?!{_LETTER}))?")
 
 
 def _letters(word: str) -> str:
@@ -150,15 +155,14 @@ def features(text: str, lexicon: Lexicon, kinds: dict[str, int]) -> list[float]:
     """What a text says with the lexicon's terms, see ``FEATURES``. ``kinds`` keeps the match of words seen before."""
     from math import log1p
 
-    words = text.split()
+    words = _WORD.findall(text)
     found = list(map(kinds.get, words))
     if None in found:
         if len(kinds) > MOST_KINDS:
             kinds.clear()
-        for word in set(words):
-            if word not in kinds:
-                kinds[word] = lexicon.match(_letters(word[:200]))
-        found = list(map(kinds.get, words))
+        here = {word: lexicon.match(_letters(word)) for word, kind in zip(words, found) if kind is None}
+        kinds.update((word, kind) for word, kind in here.items() if len(word) <= LONGEST_KEPT)
+        found = [here[word] if kind is None else kind for word, kind in zip(words, found)]
     hits = [(i, kind) for i, kind in enumerate(found) if kind] if any(found) else []
     if not hits:
         return [0.0] * 8 + [log1p(len(words))]
@@ -204,7 +208,7 @@ def _terms(rows: DataFrame) -> DataFrame:
         both: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in map(_letters, set(t.split())) if w.isalpha() and 3 <= len(w) <= 30}
+                words = {w for w in map(_letters, set(_WORD.findall(t))) if w.isalpha() and 3 <= len(w) <= 30}
                 both[0 if toxic else 1].update({(w, 0) for w in words} | {(w[:n], 1) for w in words for n in range(4, 8) if len(w) > n})
                 if len(both[0]) + len(both[1]) > 200_000:
                     yield counted(*both)
