@@ -166,3 +166,13 @@ def test_words_without_blanks_between_are_found():
     kinds = {}
     toxicity.features("x" * 100_000 + " idiot", lexicon, kinds)
     assert kinds == {"idiot": 1}
+
+
+def test_neighbours_beyond_the_first_thousand_hits():
+    from math import log1p
+
+    lexicon = toxicity.Lexicon([("idiot", 0)])
+    abuse = toxicity.FEATURES.index("abuse")
+    assert toxicity.features("idiot " * 3000, lexicon, {})[abuse] == pytest.approx(log1p(3000))
+    alone = "idiot one two three four five six seven eight nine "
+    assert toxicity.features(alone * 3000, lexicon, {})[abuse] == 0

@@ -167,14 +167,14 @@ def features(text: str, lexicon: Lexicon, kinds: dict[str, int]) -> list[float]:
     if not hits:
         return [0.0] * 8 + [log1p(len(words))]
     counts, abuse, quoted = [0, 0, 0], 0, 0
-    for i, kind in hits:
+    for k, (i, kind) in enumerate(hits):
         counts[kind - 1] += 1
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         bare = {w.strip(".,;:!?\"'()").lower() for w in near}
         marked = sum(w[:1] in QUOTES or w[-1:] in QUOTES for w in near)
         if bare & REPORTING or marked >= 2 or words[i][:1] in QUOTES and words[i].rstrip(".,;:!?")[-1:] in QUOTES:
             quoted += 1
-        elif bare & ADDRESS or len(hits) > 1 and any(0 < abs(j - i) <= WINDOW for j, _ in hits[:1000]):
+        elif bare & ADDRESS or any(abs(j - i) <= WINDOW for j, _ in (*hits[max(0, k - 1) : k], *hits[k + 1 : k + 2])):
             abuse += 1
     distinct = len({_letters(words[i]) for i, _ in hits})
     return [log1p(counts[0]), log1p(counts[1]), log1p(counts[2]), log1p(abuse), log1p(quoted), 100.0 * len(hits) / (len(words) + 20), log1p(distinct), 1.0, log1p(len(words))]
