@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tracelake.llm import near_dedup
 from tracelake.llm.shingles import Shingler
@@ -99,3 +100,21 @@ def test_bounds_keep_what_is_similar():
     assert lost.mean() < 0.002
     far = rng.random((2000, 144)) < 0.5
     assert all(far[:, :t].sum(axis=1).mean() < least for t, least in bounds[2:])
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.9])
+def test_pairs_at_the_threshold_are_lost_with_the_stated_chance(threshold):
+    """Bands and all batches together, beside the exact distribution of matches."""
+    from math import comb
+
+    rows, bands, bounds = near_dedup.layout(threshold)
+    assert bounds[-1][0] == rows * bands <= 150
+    agree, alive, before = threshold + (1 - threshold) / 256, {0: 1.0}, 0
+    for t, least in bounds:
+        step, after = t - before, {}
+        for m, chance in alive.items():
+            for k in range(step + 1):
+                if m + k >= least:
+                    after[m + k] = after.get(m + k, 0.0) + chance * comb(step, k) * agree**k * (1 - agree) ** (step - k)
+        alive, before = after, t
+    assert (1 - threshold**rows) ** bands + 1 - sum(alive.values()) <= 1.0001e-4

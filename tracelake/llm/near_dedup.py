@@ -1,9 +1,9 @@
 """Near-duplicate documents by banded MinHash, sequential Bayesian pruning and exact verification.
 
-1. Each document becomes a set of shingle hashes, a signature of ``ROWS * BANDS`` minima (one byte of each is kept) and a key for each band.
+1. Each document becomes a set of shingle hashes, a signature of ``rows * bands`` minima (one byte of each is kept) and a key for each band.
    Documents with equal sets are one class from here on, represented by the smallest id.
 2. Classes that share a band's key are candidates. Inside a bucket signatures are compared in batches; after each batch the pairs
-   whose similarity is at least the threshold only with posterior chance ``MISS`` or less are dropped. What survives links
+   whose similarity is at least the threshold only with a small posterior chance are dropped (``layout``). What survives links
    classes to families. A bucket is cut into blocks that meet pairwise, and a task returns the links of a spanning forest only.
 3. The full sets of a family's classes meet in blocks again. Pairs that survive the same test and are not yet connected are verified
    on their sets. Again a task returns a spanning forest, and the forests' components are the result.
@@ -21,15 +21,15 @@ from tracelake.llm.encoding import slices
 from tracelake.llm.shingles import Shingler, mix
 from tracelake.session import persist_table
 
-#: A pair at the threshold of 0.85 shares no band with chance (1 - 0.85 ** 6) ** 24 = 0.00001.
-ROWS, BANDS = 6, 24
-#: Chance at which a pair above the threshold may be pruned, and signature bytes compared at a time.
+#: Chance at which a pair at the threshold may be lost, by bands and by pruning together, and signature bytes compared at a time.
 MISS, BATCH = 1e-4, 16
+#: Minima of a signature, at most; and in a band.
+MOST_MINIMA, MOST_ROWS = 150, 8
 #: Classes of a bucket or family that one task holds from either side.
 BLOCK = 512
 
 
-def sketch(docs: DataFrame, size: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sketch(docs: DataFrame, size: int, text: str = "text", doc_id: str = "doc_id", rows: int = 6, bands: int = 24) -> DataFrame:
     """``doc_id, n_shingles, digest, signature, bands`` for every row; without shingles the last three are null."""
 
     def run(batches):
@@ -39,17 +39,17 @@ def sketch(docs: DataFrame, size: int, text: str = "text", doc_id: str = "doc_id
         import pyarrow as pa
 
         shingler = worker_cache(f"shingler:{size}", lambda: Shingler(size))
-        k = ROWS * BANDS
+        k = rows * bands
         factors = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
         offsets = mix(np.arange(k + 1, 2 * k + 1, dtype=np.uint64))
-        weights = mix(np.arange(7, ROWS + 7, dtype=np.uint64)) | np.uint64(1)
+        weights = mix(np.arange(7, rows + 7, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = shingler.sets(texts[a:b])
                 n = [len(s) for s in sets]
                 full = [i for i, m in enumerate(n) if m]
-                signatures, bands = [None] * len(n), [None] * len(n)
+                signatures, named = [None] * len(n), [None] * len(n)
                 if full:
                     every = np.concatenate([sets[i] for i in full])
                     at = np.concatenate([[0], np.cumsum([n[i] for i in full])])[:-1]
@@ -60,11 +60,11 @@ def sketch(docs: DataFrame, size: int, text: str = "text", doc_id: str = "doc_id
                         np.bitwise_xor(work, offsets[j], out=work)
                         low[:, j] = np.minimum.reduceat(work, at)
                     bytes_ = (low >> np.uint64(24)).astype(np.uint8)
-                    keys = mix((low.reshape(len(full), BANDS, ROWS) * weights).sum(axis=2, dtype=np.uint64)).astype(np.int64)
+                    keys = mix((low.reshape(len(full), bands, rows) * weights).sum(axis=2, dtype=np.uint64)).astype(np.int64)
                     for row, i in enumerate(full):
-                        signatures[i], bands[i] = bytes_[row].tobytes(), keys[row]
+                        signatures[i], named[i] = bytes_[row].tobytes(), keys[row]
                 digests = [sha256(s.tobytes()).digest() if len(s) else None for s in sets]
-                columns = [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                columns = [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(named, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "signature", "bands"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -92,6 +92,37 @@ def least_matches(threshold: float, length: int, miss: float = MISS, batch: int
     return out
 
 
+def lost(bounds: list[tuple[int, int]], threshold: float) -> float:
+    """The chance that a pair at the threshold is pruned by any of the ``bounds``."""
+    import numpy as np
+
+    agree, alive, before = threshold + (1 - threshold) / 256, np.ones(1), 0
+    for t, least in bounds:
+        for _ in range(t - before):
+            alive = np.append(alive, 0.0) * (1 - agree) + np.append(0.0, alive) * agree
+        alive[:least] = 0.0
+        before = t
+    return 1.0 - float(alive.sum())
+
+
+def layout(threshold: float) -> tuple[int, int, list[tuple[int, int]]]:
+    """Rows and bands of the signature and the bounds of its batches, so that a pair at the threshold is lost with chance ``MISS`` at most."""
+    from math import ceil, log, log1p
+
+    def bands_of(rows):
+        shared = max(threshold, 0.01) ** rows
+        return 1 if shared >= 1 else ceil(log(MISS / 8) / log1p(-shared))
+
+    rows = max((r for r in range(1, MOST_ROWS + 1) if r * bands_of(r) <= MOST_MINIMA), default=1)
+    bands, miss = bands_of(rows), MISS
+    apart = (1 - min(threshold, 1.0) ** rows) ** bands if threshold > 0.01 else MISS / 8
+    while True:
+        bounds = least_matches(threshold, rows * bands, miss)
+        if apart + lost(bounds, threshold) <= MISS:
+            return rows, bands, bounds
+        miss /= 2
+
+
 class Groups:
     """Disjoint sets of numbers, named by their smallest member."""
 
@@ -186,8 +217,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     document is alone. Rows without ``doc_id`` are alone too (component null, kept); rows with one id and different texts are
     connected through it; repeated rows come out as often as they came in. An empty table gives no row.
     """
-    bounds = least_matches(threshold / 100, ROWS * BANDS)
-    sketches = persist_table(sketch(docs, size, text, doc_id), "sketches")
+    rows, bands, bounds = layout(threshold / 100)
+    sketches = persist_table(sketch(docs, size, text, doc_id, rows, bands), "sketches")
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = persist_table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # One row for each class; its id may occur with other texts, so classes are named by place, not by document.
