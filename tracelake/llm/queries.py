@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing, near_dedup, nearest, packing, secret_scan, sql, substrings, token_counts, token_file, toxicity
+from tracelake.llm import exact_dedup, gap_packing, hard_negatives, merkle, mixing, near_dedup, nearest, packing, secret_scan, sql, substrings, token_counts, token_file, toxicity
 from tracelake.llm.common import table
 from tracelake.registry import query
 
@@ -66,3 +66,19 @@ def exact_dedup_query(spark, sf):
 @query("op10_token_file")
 def token_file_query(spark, sf):
     return token_file.round_trip(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query("op11_gap_packing")
+def gap_packing_query(spark, sf):
+    return gap_packing.pack_gaps(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def hard_negatives_query(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), label=label)
+
+
+@query("op13_manifest", sql.MANIFEST)
+def manifest_query(spark, sf):
+    return merkle.manifest_rows(table(spark, sf, "documents"))

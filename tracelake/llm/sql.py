@@ -76,3 +76,67 @@ EXACT_DEDUP = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
+
+HARD_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _manifest(levels: int = 7, top: int = 3) -> str:
+    """Level by level, for trees of at most ``8 ** levels`` leaves and ``8 ** top`` languages; a tree that ends earlier has no rows on later levels."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf, changed = (f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', t))})" for t in ("text", lower))
+    crc = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii((doc_id::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, coalesce('+' || lang, '') AS tree, {leaf} AS h, CASE WHEN {crc} % 3 = 0 THEN {changed} END AS changed FROM documents)",
+        "a0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+    ]
+
+    def up(name: str, count: int) -> None:
+        run = "PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+        for i in range(count):
+            parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, any_value((n + 7) // 8) AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{i} WHERE n > 1 GROUP BY tree, pos // 8)")
+            parts.append(
+                f"s{name}{i} AS MATERIALIZED (SELECT tree, pos, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i} WHERE n > 1)"
+            )
+        parts.append(f"r{name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT tree, h FROM {name}{i} WHERE n = 1" for i in range(count + 1)) + ")")
+
+    def fold(start: str, name: str, count: int) -> str:
+        for i in range(count):
+            now = f"f{name}{i}"
+            parts.append(
+                f"{now} AS MATERIALIZED (SELECT f.* EXCLUDE (pos, node, proof), f.pos // 8 AS pos, CASE WHEN s.l IS NULL THEN node ELSE sha256(s.l || node || s.r) END AS node,"
+                f" proof || coalesce(s.l || s.r, '') AS proof FROM {start} f LEFT JOIN s{name}{i} s ON f.{'tree' if name == 'a' else 'all_trees'} = s.tree AND f.pos = s.pos)"
+            )
+            start = now
+        return start
+
+    up("a", levels)
+    parts.append("b0 AS MATERIALIZED (SELECT '' AS tree, tree AS own, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, h FROM ra)")
+    up("b", top)
+    parts.append("g AS MATERIALIZED (SELECT doc_id, tree, h AS leaf, pos, coalesce(changed, h) AS node, '' AS proof FROM a0)")
+    last = fold("g", "a", levels)
+    parts.append(f"g2 AS MATERIALIZED (SELECT f.doc_id, f.leaf, b0.h AS subroot, '' AS all_trees, b0.pos, node, proof FROM {last} f JOIN b0 ON f.tree = b0.own)")
+    last = fold("g2", "b", top)
+    out = f"SELECT f.doc_id, leaf, subroot, rb.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = rb.h AS verified FROM {last} f, rb"
+    return "WITH " + ",\n".join(parts) + "\n" + out
+
+
+MANIFEST = _manifest()
