@@ -248,7 +248,7 @@ class Manifest:
         """``doc_id, tree, pos, leaf, changed, subroot, root, proof_sha256, copies, folded_root, verified`` for each row."""
         above = persist_table(self._top_paths(), "top-paths")
         found = self.tree.versions(self.leaves, above, ["doc_id", "tree", "pos", "hash", "changed"])
-        folded = F.coalesce(F.element_at("copies", -1), "changed", "hash")
+        folded = F.coalesce(F.try_element_at("copies", F.lit(-1)), "changed", "hash")
         return found.select(
             "doc_id", "tree", "pos", F.col("hash").alias("leaf"), "changed", F.col("root_of_tree").alias("subroot"), "root",
             F.col("proof").alias("proof_sha256"), "copies", folded.alias("folded_root"), (folded == F.col("root")).alias("verified"),
