@@ -42,7 +42,23 @@ for _seconds in (60, 3600):
         return ops.rate_limit_audit(t, Policy(1), Policy(1), seconds=seconds).select("id", "rate_code")
 
 
-@query("w5_rate_limit_audit_burst")
+# The limiter as it runs: row by row with the log of the last admissions.
+_ADMITTED_SOME = """WITH RECURSIVE k AS (SELECT id, org_id || '|' || workspace_id || '|' || access_key_id AS key, org_id || '|' || workspace_id AS ws, timestamp AS ts FROM traces),
+  kn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS n FROM k),
+  kr AS (SELECT id, key, ts, n, [ts] AS log, CAST(NULL AS BIGINT) AS wait FROM kn WHERE n = 1 UNION ALL
+    SELECT id, key, ts, n, CASE WHEN len(live) < {key} THEN list_append(live, ts) ELSE live END,
+      CASE WHEN len(live) < {key} THEN NULL ELSE greatest(1, ceil(epoch(live[1] + INTERVAL {seconds} SECOND - ts))) END
+    FROM (SELECT kn.*, list_filter(kr.log, lambda a: a >= kn.ts - INTERVAL {seconds} SECOND) AS live FROM kr JOIN kn ON kn.key = kr.key AND kn.n = kr.n + 1)),
+  wn AS (SELECT k.*, row_number() OVER (PARTITION BY ws ORDER BY k.ts, k.id) AS n FROM k JOIN kr ON k.id = kr.id WHERE kr.wait IS NULL),
+  wr AS (SELECT id, ws, ts, n, [ts] AS log, CAST(NULL AS BIGINT) AS wait FROM wn WHERE n = 1 UNION ALL
+    SELECT id, ws, ts, n, CASE WHEN len(live) < {workspace} THEN list_append(live, ts) ELSE live END,
+      CASE WHEN len(live) < {workspace} THEN NULL ELSE greatest(1, ceil(epoch(live[1] + INTERVAL {seconds} SECOND - ts))) END
+    FROM (SELECT wn.*, list_filter(wr.log, lambda a: a >= wn.ts - INTERVAL {seconds} SECOND) AS live FROM wr JOIN wn ON wn.ws = wr.ws AND wn.n = wr.n + 1))
+  SELECT kr.id, CASE WHEN kr.wait IS NOT NULL THEN 'KEY_RATE_LIMIT_EXCEEDED' WHEN wr.wait IS NOT NULL THEN 'WORKSPACE_RATE_LIMIT_EXCEEDED' ELSE '' END AS rate_code,
+    CAST(coalesce(kr.wait, wr.wait, 0) AS BIGINT) AS retry_after FROM kr LEFT JOIN wr ON kr.id = wr.id"""
+
+
+@query("w5_rate_limit_audit_burst", on_traces(_ADMITTED_SOME.format(key=2, workspace=4, seconds=4 * 3600)))
 def rate_limit_burst(spark, sf):
     t = derived.traces(spark, sf).select("id", *ops.KEY_SCOPE, "timestamp")
     return ops.rate_limit_audit(t, Policy(2), Policy(4), seconds=4 * 3600).select("id", "rate_code", "retry_after")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracelake.operators.sliced import SLICE, running_sums, time_slice, trailing_count
+from tracelake.operators.sliced import SLICE, running_sums, top_rows, trailing_count
 from tracelake.session import persist_table
 
 KEY_SCOPE = ("org_id", "workspace_id", "access_key_id")
@@ -87,86 +84,129 @@ def replay_limit(times: np.ndarray, warm: np.ndarray, limit: int, span: int) ->
     return admitted, retry
 
 
-_DECIDED = T.ArrayType(T.StructType([T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType())]))
+class SlidingLog:
+    """The last ``limit`` admissions of one scope, as (time, how many) with equal times together."""
 
+    def __init__(self, limit: int, span: int):
+        self.limit, self.span = limit, span
+        self.entries: deque[list[int]] = deque()
+        self.held = 0
 
-def _decide(limit: int, span: int):
-    @F.pandas_udf(_DECIDED)
-    def decide(times: pd.Series, warm: pd.Series) -> pd.Series:
-        out = []
-        for t, w in zip(times, warm):
-            yes, wait = replay_limit(np.asarray(t, dtype=np.int64), np.asarray(w, dtype=bool), limit, span)
-            out.append([{"admitted": bool(a), "retry_after": int(r)} for a, r in zip(yes, wait)])
-        return pd.Series(out)
+    def _let_in(self, t: int, wanted: int) -> int:
+        while self.entries and self.entries[0][0] < t - self.span:
+            self.held -= self.entries.popleft()[1]
+        room = min(wanted, self.limit - self.held)
+        if room:
+            self.entries.append([t, room])
+            self.held += room
+        return room
 
-    return decide
+    def replay(self, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many requests of each of the ascending times get in, and how long (s) the others have to wait.
+
+        While the log is full, everything up to the time its oldest entry leaves is denied at once.
+        """
+        size = len(times)
+        admitted, wait = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        n = 0
+        while n < size:
+            admitted[n] = self._let_in(int(times[n]), int(counts[n]))
+            if admitted[n] == counts[n]:
+                n += 1
+                continue
+            opens = self.entries[0][0] + self.span
+            end = max(n + 1, int(np.searchsorted(times, opens, side="right")))
+            wait[n:end] = np.maximum(1, -((times[n:end] - opens) // 1_000_000))
+            n = end
+        return admitted, wait
+
+
+_ROW, _SCOPE, _US = "_row", "_scope", "_us"
+
+
+def _scoped(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row number, scope as one text (a NULL part is a scope of its own), time in microseconds and id."""
+    return rows.select(_ROW, F.to_json(F.struct(*keys)).alias(_SCOPE), F.unix_micros(F.col("timestamp").cast("timestamp")).alias(_US), "id")
+
+
+def _busy_times(slim: DataFrame, limit: int, span: int) -> DataFrame:
+    """``scope, episode, us, n, warm``: the distinct times at which a limit may bite, with their requests.
+
+    Time is cut into slices of one window. A slice that holds ``limit`` requests at most together with the one before is calm: all of
+    them get in, whatever came earlier. The other slices form episodes; each starts from a calm slice, whose times come along as
+    ``warm``, so that episodes do not depend on one another.
+    """
+    times = persist_table(slim.filter(F.col(_US).isNotNull()).groupBy(_SCOPE, _US).agg(F.count(F.lit(1)).alias("n")), "rate-times")
+    times = times.withColumn(SLICE, F.floor(F.col(_US) / F.lit(span)).cast("bigint"))
+    # One row per scope and slice from here on.
+    timeline = Window.partitionBy(_SCOPE).orderBy(SLICE)
+    follows = F.lag(SLICE).over(timeline) == F.col(SLICE) - 1
+    slices = times.groupBy(_SCOPE, SLICE).agg(F.sum("n").alias("held"))
+    slices = slices.withColumn("busy", F.col("held") + F.coalesce(F.when(follows, F.lag("held").over(timeline)), F.lit(0)) > limit)
+    starts = F.col("busy") & ~F.coalesce(follows & F.lag("busy").over(timeline), F.lit(False))
+    slices = slices.withColumn("starts", starts).withColumn("episode", F.sum(F.col("starts").cast("int")).over(timeline)).filter("busy")
+    warm = slices.filter("starts").select(_SCOPE, (F.col(SLICE) - 1).alias(SLICE), "episode", F.lit(True).alias("warm"))
+    wanted = slices.select(_SCOPE, SLICE, "episode", F.lit(False).alias("warm")).unionByName(warm)
+    return times.join(wanted, [_SCOPE, SLICE]).select(_SCOPE, "episode", _US, "n", "warm")
+
+
+def _refused_times(busy: DataFrame, limit: int, span: int, chunk_rows: int) -> DataFrame:
+    """``scope, us, let_in, wait`` of the times at which not all requests get in.
+
+    An episode is a stream of (time, count), at most one pair per microsecond however many requests there were; its task holds a
+    chunk of it and the log.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        log, last = None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk_rows):
+                part = batch.slice(start, chunk_rows)
+                scope, episode = part.column(0), part.column(1)
+                change = pc.or_(pc.not_equal(scope[1:], scope[:-1]), pc.not_equal(episode[1:], episode[:-1])).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(change) + 1).tolist(), part.num_rows]
+                times, counts, warm = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+                let_in, wait = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows, dtype=np.int64)
+                for a, b in zip(cuts, cuts[1:]):
+                    key = (scope[a].as_py(), episode[a].as_py())
+                    if key != last:
+                        log, last = SlidingLog(limit, span), key
+                    let_in[a:b], wait[a:b] = log.replay(times[a:b], counts[a:b])
+                refused = np.flatnonzero((let_in < counts) & ~warm)
+                columns = [scope.take(pa.array(refused)), pa.array(times[refused]), pa.array(let_in[refused]), pa.array(wait[refused])]
+                yield pa.RecordBatch.from_arrays(columns, [_SCOPE, _US, "let_in", "wait"])
+
+    ordered = busy.repartition(_SCOPE, "episode").sortWithinPartitions(_SCOPE, "episode", _US)
+    return ordered.mapInArrow(run, f"{_SCOPE} string, {_US} long, let_in long, wait long")
+
+
+def _denied(slim: DataFrame, limit: int, span: int, chunk_rows: int) -> DataFrame:
+    """``_row, wait`` of the requests that the limiter turns away. A fixed number of jobs, whatever the limit and the load."""
+    refused = persist_table(_refused_times(_busy_times(slim, limit, span), limit, span, chunk_rows), "rate-refused")
+    at_full = slim.join(refused, [_SCOPE, _US])
+    # Of requests at one time, the first by id get in as long as there is room.
+    chosen = top_rows(at_full.filter("let_in > 0"), [_SCOPE, _US], [F.col("id"), F.col(_ROW)], limit).filter(F.col("_rank") <= F.col("let_in"))
+    return persist_table(at_full.join(chosen.select(_ROW), _ROW, "left_anti").select(_ROW, "wait"), "rate-denied")
+
+
+def _numbered(requests: DataFrame) -> DataFrame:
+    """Each row with a number of its own, written once: ids may repeat or be missing."""
+    return persist_table(requests.withColumn(_ROW, F.monotonically_increasing_id()), "rate-rows")
 
 
 def admit(requests: DataFrame, keys: Sequence[str], limit: int, *, seconds: int = RATE_SECONDS, chunk_rows: int = 500_000) -> DataFrame:
     """Add ``admitted`` and ``retry_after`` of a limiter that lets ``limit`` requests per window through.
 
-    Denied requests do not count, so admission depends on order. But a request with at most
-    ``limit`` requests of any kind in its window is admitted whatever came before. Time is cut into
-    slices of one window; only runs of slices with fuller windows ('episodes') are replayed. An
-    episode starts from a slice whose requests were all admitted, so episodes are independent. Long
-    ones are replayed in chunks of bounded size, carrying over the admitted requests of the last
-    window, so one busy scope never becomes one task.
+    Denied requests do not count, so admission depends on order: by time, then id. Every row comes back once, with repeated or missing
+    ids too. Missing parts of a scope are a scope like any other; a request without a time lies in no window and is let in.
     """
-    keys = list(keys)
-    span = seconds * 1_000_000
-    spark = requests.sparkSession
-    slim = requests.select(*keys, "id", "timestamp", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
-    seen = trailing_count(slim, keys, "timestamp", seconds, "seen").withColumn(SLICE, time_slice(F.col("timestamp"), seconds))
-    seen = persist_table(seen.drop("timestamp"), "rate-seen")
-    per_slice = seen.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seen") > limit).alias("full"))
-    # One row per scope and slice from here on.
-    timeline = Window.partitionBy(*keys).orderBy(SLICE)
-    follows = (F.lag(SLICE).over(timeline) == F.col(SLICE) - 1) & F.lag("full").over(timeline)
-    marked = per_slice.withColumn("starts", F.col("full") & ~F.coalesce(follows, F.lit(False)))
-    marked = marked.withColumn("episode", F.sum(F.col("starts").cast("int")).over(timeline))
-    in_episode = Window.partitionBy(*keys, "episode").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    full = marked.filter("full").withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(in_episode), F.lit(0)) / chunk_rows).cast("int"))
-    full = persist_table(full, "rate-episodes")
-    warm_slices = full.filter("starts").select(*keys, (F.col(SLICE) - 1).alias(SLICE), "episode", F.lit(0).alias("chunk"), F.lit(True).alias("warm"))
-    assigned = full.select(*keys, SLICE, "episode", "chunk", F.lit(False).alias("warm")).unionByName(warm_slices)
-    work = seen.join(assigned, [*keys, SLICE]).select(*keys, "episode", "chunk", "warm", "us", "id")
-    chunks = full.agg(F.max("chunk").alias("c")).first()["c"]
-    decide = _decide(limit, span)
-
-    def replay(rows: DataFrame) -> DataFrame:
-        packed = rows.groupBy(*keys, "episode").agg(F.array_sort(F.collect_list(F.struct("us", "id", "warm"))).alias("r"))
-        done = packed.withColumn("d", decide("r.us", "r.warm"))
-        return done.select(
-            *keys,
-            "episode",
-            F.inline(
-                F.arrays_zip(
-                    F.col("r.us").alias("us"),
-                    F.col("r.id").alias("id"),
-                    F.col("r.warm").alias("warm"),
-                    F.col("d.admitted").alias("admitted"),
-                    F.col("d.retry_after").alias("retry_after"),
-                )
-            ),
-        )
-
-    results: list[DataFrame] = []
-    if chunks == 0:
-        results.append(replay(work))
-    elif chunks is not None:
-        work = persist_table(work, "rate-work")
-        carried: DataFrame | None = None
-        for chunk in range(chunks + 1):
-            rows = work.filter(F.col("chunk") == chunk).drop("chunk")
-            done = persist_table(replay(rows if carried is None else rows.unionByName(carried)), "rate-chunk")
-            results.append(done)
-            ends = done.groupBy(*keys, "episode").agg(F.max("us").alias("end"))
-            goes_on = full.filter(F.col("chunk") == chunk + 1).select(*keys, "episode").distinct()
-            tail = done.filter("admitted").join(ends, [*keys, "episode"]).filter(F.col("us") >= F.col("end") - span)
-            carried = tail.join(goes_on, [*keys, "episode"], "left_semi").select(*keys, "episode", F.lit(True).alias("warm"), "us", "id")
-    calm = seen.join(full.select(*keys, SLICE), [*keys, SLICE], "left_anti").select("id", F.lit(True).alias("admitted"), F.lit(0).cast("bigint").alias("retry_after"))
-    decided = reduce(DataFrame.unionByName, [calm, *[r.filter("NOT warm").select("id", "admitted", "retry_after") for r in results]])
-    return requests.join(decided, "id")
+    rows = _numbered(requests)
+    denied = _denied(_scoped(rows, keys), limit, seconds * 1_000_000, chunk_rows)
+    out = rows.join(denied, _ROW, "left")
+    return out.select(*requests.columns, F.col("wait").isNull().alias("admitted"), F.coalesce("wait", F.lit(0)).cast("bigint").alias("retry_after"))
 
 
 def rate_limit_audit(requests: DataFrame, per_key: Policy, per_workspace: Policy, *, seconds: int = RATE_SECONDS, chunk_rows: int = 500_000) -> DataFrame:
@@ -175,26 +215,20 @@ def rate_limit_audit(requests: DataFrame, per_key: Policy, per_workspace: Policy
     A request denied for its workspace has still used its key's slot, so the workspace pass runs
     over the requests the key pass let through.
     """
-    rows = requests
-    key_code = workspace_code = F.lit("")
-    if per_key.requests_per_minute > 0:
-        rows = admit(rows, KEY_SCOPE, per_key.requests_per_minute, seconds=seconds, chunk_rows=chunk_rows)
-        rows = persist_table(rows.withColumnsRenamed({"admitted": "_key_ok", "retry_after": "_key_wait"}), "rate-keys")
-    else:
-        rows = rows.withColumns({"_key_ok": F.lit(True), "_key_wait": F.lit(0).cast("bigint")})
-    if per_workspace.requests_per_minute > 0:
-        passed = rows.filter("_key_ok")
-        judged = admit(passed, WORKSPACE_SCOPE, per_workspace.requests_per_minute, seconds=seconds, chunk_rows=chunk_rows)
-        judged = judged.withColumnsRenamed({"admitted": "_ws_ok", "retry_after": "_ws_wait"})
-        refused = rows.filter("NOT _key_ok").withColumns({"_ws_ok": F.lit(True), "_ws_wait": F.lit(0).cast("bigint")})
-        rows = judged.unionByName(refused)
-    else:
-        rows = rows.withColumns({"_ws_ok": F.lit(True), "_ws_wait": F.lit(0).cast("bigint")})
-    key_code = F.when(~F.col("_key_ok"), F.lit("KEY_RATE_LIMIT_EXCEEDED"))
-    workspace_code = F.when(~F.col("_ws_ok"), F.lit("WORKSPACE_RATE_LIMIT_EXCEEDED"))
-    return rows.select(
-        *requests.columns, F.coalesce(key_code, workspace_code, F.lit("")).alias("rate_code"), F.greatest("_key_wait", "_ws_wait").alias("retry_after")
-    )
+    span = seconds * 1_000_000
+    rows = _numbered(requests)
+    out, passed = rows, rows.select(_ROW, "id", "timestamp", *KEY_SCOPE)
+    waits: list[tuple[str, str]] = []
+    for scope, keys, policy in (("KEY", KEY_SCOPE, per_key), ("WORKSPACE", WORKSPACE_SCOPE, per_workspace)):
+        if policy.requests_per_minute <= 0:
+            continue
+        denied = _denied(_scoped(passed, keys), policy.requests_per_minute, span, chunk_rows)
+        passed = passed.join(denied, _ROW, "left_anti")
+        waits.append((f"{scope}_RATE_LIMIT_EXCEEDED", f"_wait_{scope.lower()}"))
+        out = out.join(denied.withColumnRenamed("wait", waits[-1][1]), _ROW, "left")
+    codes = [F.when(F.col(name).isNotNull(), F.lit(code)) for code, name in waits]
+    wait = F.coalesce(*[F.col(name) for _, name in waits], F.lit(0)).cast("bigint")
+    return out.select(*requests.columns, F.coalesce(*codes, F.lit("")).alias("rate_code"), wait.alias("retry_after"))
 
 
 def limit_decisions(traces: DataFrame, per_key: Policy, per_workspace: Policy, *, seconds: int = RATE_SECONDS, slice_seconds: int | None = None) -> DataFrame:
