@@ -58,11 +58,34 @@ def lineage_order(spark, sf):
     return ops.ordered_chains(derived.checkpoints(spark, sf)).select("id", "step")
 
 
-@query("l3_lineage_order_forked")
+# Every fourth turn hangs below the turn two before. Numbers are filled from the last turn back, then from the first on; of the turns above, a turn
+# waits for those of larger rank, nearest last, and the order is that of these lists.
+_FORKED = """WITH RECURSIVE a AS (SELECT id, conv_id, turn, CASE WHEN seq > 0 THEN seq ELSE 0 END AS s, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 0 THEN turn - 2 ELSE turn - 1 END AS up FROM checkpoints),
+  b AS (SELECT a.*, CASE WHEN a.s > 0 THEN a.s WHEN p.s > 0 THEN p.s + 1 ELSE 0 END AS f, max(a.turn) OVER (PARTITION BY a.conv_id) AS last FROM a LEFT JOIN a p ON p.conv_id = a.conv_id AND p.turn = a.up),
+  r AS (SELECT conv_id, turn, f AS r, 0 AS below FROM b WHERE turn = last UNION ALL
+    SELECT b.conv_id, b.turn, CASE WHEN b.f > 0 THEN b.f ELSE coalesce(least(CASE WHEN (b.turn + 1) % 4 <> 0 AND r.r > 1 THEN r.r - 1 END, CASE WHEN (b.turn + 2) % 4 = 0 AND r.below > 1 THEN r.below - 1 END), 0) END, r.r
+    FROM r JOIN b ON b.conv_id = r.conv_id AND b.turn = r.turn - 1),
+  c AS (SELECT conv_id, turn, r AS c, 0 AS above FROM r WHERE turn = 0 UNION ALL
+    SELECT r.conv_id, r.turn, CASE WHEN r.r > 0 THEN r.r WHEN r.turn % 4 = 0 THEN CASE WHEN c.above > 0 THEN c.above + 1 ELSE 0 END WHEN c.c > 0 THEN c.c + 1 ELSE 0 END, c.c
+    FROM c JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1),
+  k AS (SELECT conv_id, turn, c, row_number() OVER (PARTITION BY conv_id ORDER BY c = 0, c, turn) AS n FROM c),
+  w AS (SELECT conv_id, turn, [n] AS line, CAST([] AS BIGINT[]) AS above FROM k WHERE turn = 0 UNION ALL
+    SELECT k.conv_id, k.turn, list_append(list_filter(CASE WHEN k.turn % 4 = 0 THEN w.above ELSE w.line END, lambda x: x > k.n), k.n), w.line FROM w JOIN k ON k.conv_id = w.conv_id AND k.turn = w.turn + 1)
+  SELECT 'conv-' || a.conv_id AS group_id, a.id, row_number() OVER (PARTITION BY a.conv_id ORDER BY w.line) AS step, CAST(k.c AS BIGINT) AS resolved_seq
+  FROM a JOIN k USING (conv_id, turn) JOIN w USING (conv_id, turn)"""
+
+
+@query("l3_lineage_order_forked", with_tables(_FORKED, "checkpoints"))
 def lineage_order_forked(spark, sf):
     return ops.ordered_chains(derived.checkpoints(spark, sf, True)).select("group_id", "id", "step", "resolved_seq")
 
 
+@query("l3_lineage_order_doubling", with_tables(_FORKED, "checkpoints"))
+def lineage_order_doubling(spark, sf):
+    """All chains the way of the long ones."""
+    return ops.ordered_chains(derived.checkpoints(spark, sf, True), packed=0).select("group_id", "id", "step", "resolved_seq")
+
+
 def _one_target_per_chain(spark, sf):
     cp = derived.table(spark, sf, "conversations")
     size = F.struct(F.length("text"), "turn")
@@ -148,6 +171,19 @@ def chain_summary(spark, sf):
     )
 
 
+@query(
+    "l7_chain_summary_whole",
+    on_traces(
+        f"""SELECT trace_group_id AS group_id, run_id, count(*) AS checkpoint_count, false AS truncated, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+        min(created_at) AS first_at, max(created_at) AS last_at, 'trace_group_id' AS lineage_identifier FROM ({_CHAINED}) GROUP BY ALL"""
+    ),
+)
+def chain_summary_whole(spark, sf):
+    return ops.chain_summary(derived.traces(spark, sf)).select(
+        "group_id", "run_id", "checkpoint_count", "truncated", "total_tokens", "first_at", "last_at", "lineage_identifier"
+    )
+
+
 _LAGGED = f"""SELECT *, lag(id) OVER c AS p_id, lag(provider) OVER c AS p_provider, lag(model) OVER c AS p_model, lag(request_path) OVER c AS p_path, lag(response_status) OVER c AS p_status,
   lag(total_tokens) OVER c AS p_tokens, lag(latency_ms) OVER c AS p_latency, lag(estimated_cost_usd) OVER c AS p_cost, lag(metadata) OVER c AS p_meta, lag(seq) OVER c AS p_seq
   FROM ({_STEPS}) WINDOW c AS (PARTITION BY trace_group_id, thread_id, run_id ORDER BY step)"""
@@ -282,10 +318,10 @@ def forest_long(spark, sf):
 
 @query("w1_checkpoint_steps_long", on_traces(f"SELECT id, row_number() OVER (PARTITION BY chain ORDER BY created_at, id) AS step, count(*) OVER (PARTITION BY chain) AS chain_size FROM ({_LONG})"))
 def checkpoint_steps_long(spark, sf):
-    return ops.ordered_chains(_long_chains(spark, sf, False)).select("id", "step", "chain_size")
+    return ops.ordered_chains(_long_chains(spark, sf, False), packed=1_000).select("id", "step", "chain_size")
 
 
 @query("l3_lineage_order_long", on_traces(f"SELECT id, row_number() OVER (PARTITION BY chain ORDER BY created_at, id) AS step FROM ({_LONG})"))
 def lineage_order_long(spark, sf):
     """Each user's events hang below one another; among those ready the oldest is next, which is the order of time."""
-    return ops.ordered_chains(_long_chains(spark, sf, True)).select("id", "step")
+    return ops.ordered_chains(_long_chains(spark, sf, True), packed=1_000).select("id", "step")

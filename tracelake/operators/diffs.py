@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.metadata import metadata_view
@@ -70,7 +70,10 @@ def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields += [_digest(ordered, c).alias(c) for c in TEXTS]
     fields += [canonical_values(F.coalesce("metadata", F.lit(""))).alias("meta")]
     slim = ordered.select(*keys, "step", F.struct(*fields).alias("now"))
-    paired = slim.withColumn("was", F.lag("now").over(Window.partitionBy(*keys).orderBy("step"))).filter(F.col("was").isNotNull())
+    # Steps have no gaps, so the step before is an equi join: a long chain is spread like any other rows.
+    chain = F.to_json(F.struct(*keys))
+    before = slim.select(chain.alias("_chain"), (F.col("step") + 1).alias("_step"), F.col("now").alias("was"))
+    paired = slim.withColumn("_own", chain).join(before, (F.col("_own") == F.col("_chain")) & (F.col("step") == F.col("_step")))
     was, now = F.col("was"), F.col("now")
     out = [was["id"].alias("from_checkpoint_id"), now["id"].alias("to_checkpoint_id")]
     out += [(was[c] != now[c]).alias(f"{c}_changed") for c in TRIMMED]

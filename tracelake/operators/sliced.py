@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import persist_table
+
 SLICE = "_slice"
 
 
@@ -143,3 +145,37 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
     kept = salted.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= limit).drop(rank, "_salt")
     final = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= limit)
+
+
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` in order, cut into ranges of about equal counts, written with ``_at``: the range (upper part) and the place in it.
+
+    Ranges follow from a sample of the sort key, not of the time line, so neither a hot key nor a burst makes one large.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    return persist_table(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, size: str | None = None) -> DataFrame:
+    """Add the row's number (from 1) within ``keys`` by ``order``, which must be a total order, and the number of rows of the key."""
+    keys = list(keys)
+    placed = _in_ranges(df, keys, order)
+    runs = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))
+    # One row per key and range that holds some of it.
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_held").over(of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*keys, "_range", (before - F.col("_first") + 1).alias("_shift"), F.sum("_held").over(of_key).alias("_size"))
+    out = _join_null_safe(placed, runs, [*keys, "_range"]).withColumn(name, F.col("_at") + F.col("_shift"))
+    return out.select(*df.columns, name, *([F.col("_size").alias(size)] if size else []))
+
+
+def range_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the running sum of ``value`` within ``keys`` by ``order``, the row itself included; ``value`` must not be NULL."""
+    keys = list(keys)
+    placed = _in_ranges(df, keys, [F.col(c) for c in order])
+    runs = placed.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = _join_null_safe(placed, runs, [*keys, "_range"]).withColumn(name, F.col("_carried") + F.sum(value).over(inside))
+    return out.select(*df.columns, name)

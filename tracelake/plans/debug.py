@@ -11,6 +11,8 @@ from tracelake.operators.diffs import checkpoint_diffs, digested
 from tracelake.operators.lineage import CHAIN_KEYS, chain_identifier, ordered_chains
 from tracelake.sources.store import hydrate
 
+#: Steps of a chain that are hashed together.
+STRETCH = 4096
 DOCUMENT_VERSION = "debug-chain.v1"
 
 
@@ -35,7 +37,7 @@ def export_bundles(chain: DataFrame, path: str) -> DataFrame:
     """Write one JSON line per checkpoint, by chain and step, and return the manifest of the chains.
 
     No row holds more than one checkpoint's bodies, however long its chain. The manifest names each chain with its
-    checkpoints, its bytes and the hash of its lines' hashes in order; it is written last.
+    checkpoints, its bytes and the hash of its stretches' hashes in order (a stretch: the hash of its lines' hashes); it is written last.
     """
     spark = chain.sparkSession
     keys = list(CHAIN_KEYS)
@@ -46,7 +48,10 @@ def export_bundles(chain: DataFrame, path: str) -> DataFrame:
     lines.repartitionByRange("name", "step").sortWithinPartitions("name", "step").write.mode("overwrite").option("compression", "gzip").json(folder)
     written = spark.read.schema("name string, step int, document string").json(folder)
     each = written.select("name", F.struct("step", F.sha2("document", 256).alias("sha")).alias("line"), F.octet_length("document").alias("size"))
-    hashes = F.transform(F.array_sort(F.collect_list("line")), lambda s: s["sha"])
-    manifest = each.groupBy("name").agg(F.count(F.lit(1)).alias("checkpoints"), F.sum("size").alias("bytes"), F.sha2(F.array_join(hashes, ""), 256).alias("sha256"))
+    in_order = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["sha"]), ""), 256)
+    # Lines are hashed by stretches of steps, and the chain over its stretches, so no row holds the hashes of a long chain.
+    stretch = F.floor((F.col("line.step") - 1) / STRETCH)
+    parts = each.groupBy("name", stretch.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), in_order("line").alias("sha"))
+    manifest = parts.groupBy("name").agg(F.sum("n").alias("checkpoints"), F.sum("size").alias("bytes"), in_order(F.struct("step", "sha")).alias("sha256"))
     manifest.write.mode("overwrite").json(os.path.join(path, "manifest"))
     return spark.read.schema(manifest.schema).json(os.path.join(path, "manifest"))
