@@ -93,3 +93,14 @@ def test_numbers_and_sums_over_ranges(spark):
         for r in sorted(mine, key=lambda r: (r["t"], r["i"])):
             total += r["v"]
             assert r["upto"] == total
+
+
+def test_steps_are_compared_across_stretches(spark, monkeypatch):
+    from helpers import trace, traces
+
+    from tracelake.operators import diffs
+
+    monkeypatch.setattr(diffs, "STRETCH", 4)
+    rows = [trace(f"d{i:02d}", i, trace_group_id="g", org_id=None, total_tokens=i * i) for i in range(19)]
+    got = diffs.checkpoint_diffs(lineage.ordered_chains(diffs.digested(traces(spark, rows)), packed=5), lineage.CHAIN_KEYS).collect()
+    assert sorted((r["step"], r["from_checkpoint_id"], r["to_checkpoint_id"], r["total_tokens_delta"]) for r in got) == [(i + 1, f"d{i - 1:02d}", f"d{i:02d}", 2 * i - 1) for i in range(1, 19)]

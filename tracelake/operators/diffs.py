@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.metadata import metadata_view
 from tracelake.functions.text import squeeze
 
+#: Steps of a chain that are compared in one window.
+STRETCH = 4096
+
 # Compared after trimming, exactly, by difference, and by hash plus size.
 TRIMMED = ("provider", "model", "request_method", "request_path")
 DELTAS = ("input_tokens", "output_tokens", "total_tokens", "latency_ms", "estimated_cost_usd")
@@ -70,10 +73,12 @@ def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields += [_digest(ordered, c).alias(c) for c in TEXTS]
     fields += [canonical_values(F.coalesce("metadata", F.lit(""))).alias("meta")]
     slim = ordered.select(*keys, "step", F.struct(*fields).alias("now"))
-    # Steps have no gaps, so the step before is an equi join: a long chain is spread like any other rows.
-    chain = F.to_json(F.struct(*keys))
-    before = slim.select(chain.alias("_chain"), (F.col("step") + 1).alias("_step"), F.col("now").alias("was"))
-    paired = slim.withColumn("_own", chain).join(before, (F.col("_own") == F.col("_chain")) & (F.col("step") == F.col("_step")))
+    # Chains are cut into stretches; the last step of one is also shown to the next, so no window holds more than a stretch.
+    own = F.floor(F.col("step") / STRETCH)
+    shown = F.when((F.col("step") + 1) % STRETCH == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    slim = slim.withColumn("_own", own).withColumn("_stretch", F.explode(shown))
+    before = F.lag("now").over(Window.partitionBy(*keys, "_stretch").orderBy("step"))
+    paired = slim.withColumn("was", before).filter(F.col("was").isNotNull() & (F.col("_own") == F.col("_stretch")))
     was, now = F.col("was"), F.col("now")
     out = [was["id"].alias("from_checkpoint_id"), now["id"].alias("to_checkpoint_id")]
     out += [(was[c] != now[c]).alias(f"{c}_changed") for c in TRIMMED]
