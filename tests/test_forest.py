@@ -104,3 +104,23 @@ def test_steps_are_compared_across_stretches(spark, monkeypatch):
     rows = [trace(f"d{i:02d}", i, trace_group_id="g", org_id=None, total_tokens=i * i) for i in range(19)]
     got = diffs.checkpoint_diffs(lineage.ordered_chains(diffs.digested(traces(spark, rows)), packed=5), lineage.CHAIN_KEYS).collect()
     assert sorted((r["step"], r["from_checkpoint_id"], r["to_checkpoint_id"], r["total_tokens_delta"]) for r in got) == [(i + 1, f"d{i - 1:02d}", f"d{i:02d}", 2 * i - 1) for i in range(1, 19)]
+
+
+@pytest.mark.parametrize("span_rows", [0, None])
+def test_a_burst_is_cut_like_other_rows(spark, span_rows):
+    """Nearly all rows of one key lie within a fifth of a second; no range holds more than twice its share."""
+    from tracelake.operators.sliced import in_ranges, running_sums, trailing_count
+
+    rows = [("hot", i, at(0.2 * i / 19_000)) for i in range(19_000)] + [("k", i, at(i)) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "k string, i int, ts timestamp").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = [r["count"] for r in in_ranges(df, ["k"], [F.col("ts"), F.col("i")]).groupBy("_range").count().collect()]
+        assert len(held) == 4 and max(held) <= 2 * len(rows) / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = running_sums(df, ["k"], "ts", ["ts", "i"], {"n": F.lit(1)})
+    assert got.filter("n <> i + 1").isEmpty()
+    counts = trailing_count(df, ["k"], "ts", 60, "n", span_rows).filter("k = 'k'").collect()
+    assert all(r["n"] == min(r["i"] + 1, 61) for r in counts)
+    assert trailing_count(df, ["k"], "ts", 60, "n", span_rows).filter("k = 'hot' and n <> i + 1").isEmpty()

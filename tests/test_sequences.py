@@ -58,6 +58,8 @@ def test_trailing_count_includes_both_ends(spark, rows):
     for key, row_id, when, _ in rows:
         assert got[row_id] == sum(1 for k, _, t, _ in rows if k == key and 0 <= (when - t).total_seconds() <= 60)
     assert (got["e2"], got["e3"]) == (2, 2)
+    ranks = {r["id"]: r["n"] for r in trailing_count(df, ["k"], "ts", 60, "n", span_rows=0).collect()}
+    assert ranks == got
 
 
 def test_top_rows_of_a_hot_key(spark, rows):

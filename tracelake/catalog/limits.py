@@ -9,6 +9,7 @@ from tracelake.operators import limits as ops
 from tracelake.operators import turns
 from tracelake.operators.limits import Policy
 from tracelake.registry import query
+from tracelake.session import persist_table
 from tracelake.sources import derived
 
 
@@ -20,7 +21,7 @@ from tracelake.sources import derived
     ),
 )
 def trailing_rate(spark, sf):
-    t = derived.traces(spark, sf).select("id", *ops.KEY_SCOPE, "timestamp")
+    t = persist_table(derived.traces(spark, sf).select("id", *ops.KEY_SCOPE, "timestamp"), "rate-requests")
     per_key = ops.trailing_rate(t, ops.KEY_SCOPE, name="key_requests")
     return ops.trailing_rate(per_key, ops.WORKSPACE_SCOPE, 3600, "workspace_requests").select("id", "workspace_requests", "key_requests")
 

@@ -1,15 +1,14 @@
 """Running values per key that never put a whole key into one task.
 
-A plain window sorts all rows of a key in one task. Here every key's timeline is cut into fixed
-time slices: totals per (key, slice) are pre-aggregated, carried forward over the short list of
-slices, and joined back, so the only row-level window covers one slice of one key. Slices are a
-function of the timestamp alone, so a recomputed task always sees the same cut; how long they are
-follows from the density of the densest key.
+A plain window sorts all rows of a key in one task. Here rows are sorted by key and order in ranges
+of about equal counts, whose bounds follow from a sample of the sort key itself, and written: neither a
+hot key nor a burst makes a range large. Totals per (key, range) are carried forward over the short list of
+ranges and joined back, so the only row-level window covers one range. A caller may ask for slices of a
+fixed time instead, which need no sort of the whole table.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +17,10 @@ from pyspark.sql import functions as F
 from tracelake.session import persist_table
 
 SLICE = "_slice"
+_NO_TIME = -(1 << 62)
+
+# Rows of one key and span up to which a window counts them.
+SPAN_ROWS = 500_000
 
 
 def time_slice(ts: Column, seconds: int) -> Column:
@@ -25,22 +28,6 @@ def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-# Rows that a slice of the densest key holds on average.
-SLICE_ROWS = 50_000
-
-
-def fitting_seconds(df: DataFrame, keys: Sequence[str], time_col: str, rows: int = SLICE_ROWS) -> int:
-    """The length of a slice, from one aggregate over the rows per key and the time they span.
-
-    Keys of at most ``rows`` rows need no cut; where no key has more, one slice covers everything.
-    """
-    us = F.unix_micros(F.col(time_col).cast("timestamp"))
-    per_key = df.groupBy(*keys).agg(F.count(us).alias("n"), (F.max(us) - F.min(us)).alias("span"), F.min(us).alias("first"), F.max(us).alias("last"))
-    got = per_key.agg(F.min(F.when(F.col("n") > rows, F.col("span") / F.col("n"))).alias("apart"), (F.max("last") - F.min("first")).alias("whole")).first()
-    wanted = (got["whole"] or 0) + 1 if got["apart"] is None else got["apart"] * rows
-    return max(1, math.ceil(wanted / 1_000_000))
-
-
 def _join_null_safe(rows: DataFrame, totals: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join in which a NULL key or a NULL time (its own slice) finds its totals."""
     named = totals.withColumnsRenamed({c: f"_on_{c}" for c in on})
@@ -63,36 +50,29 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums over ``order`` within ``keys``; the current row is optional.
 
-    The input is read twice: for the slice totals and for the rows. Write an expensive input first.
-    ``order`` must start with ``time_col``. All sum expressions must be non-NULL.
+    The input is read twice: for the cut and for the rows. Write an expensive input first. ``order`` must start with
+    ``time_col``. All sum expressions must be non-NULL.
     """
     if order[0] != time_col:
         raise ValueError("order must start with the time column")
     keys = list(keys)
-    slice_seconds = slice_seconds or fitting_seconds(df, keys, time_col)
     names = list(sums)
-    rows = df.withColumns(
-        {SLICE: time_slice(F.col(time_col), slice_seconds), **{f"_v_{n}": sums[n] for n in names}}
-    )
     towards = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = Window.partitionBy(*keys).orderBy(towards(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({f"_v_{n}": sums[n] for n in names})
+    if slice_seconds is None:
+        rows, piece, within, ahead = in_ranges(rows, keys, [towards(c) for c in order]), "_range", [F.col("_at")], F.col("_range")
+    else:
+        rows, piece, within, ahead = rows.withColumn(SLICE, time_slice(F.col(time_col), slice_seconds)), SLICE, [towards(c) for c in order], towards(SLICE)
+    before = Window.partitionBy(*keys).orderBy(ahead).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*keys, SLICE)
+        rows.groupBy(*keys, piece)
         .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-        .select(
-            *keys,
-            SLICE,
-            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names],
-        )
+        .select(*keys, piece, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names])
     )
     last = 0 if include_current else -1
-    inside = (
-        Window.partitionBy(*keys, SLICE).orderBy(*[towards(c) for c in order]).rowsBetween(Window.unboundedPreceding, last)
-    )
-    joined = _join_null_safe(rows, carried, [*keys, SLICE])
-    out = joined.withColumns(
-        {n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names}
-    )
+    inside = Window.partitionBy(*keys, piece).orderBy(*within).rowsBetween(Window.unboundedPreceding, last)
+    joined = _join_null_safe(rows, carried, [*keys, piece])
+    out = joined.withColumns({n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names})
     return out.select(*df.columns, *names)
 
 
@@ -101,34 +81,48 @@ def running_max(
 ) -> DataFrame:
     """Add the largest value so far, current row included; NULLs are skipped."""
     keys = list(keys)
-    slice_seconds = slice_seconds or fitting_seconds(df, keys, time_col)
-    rows = df.withColumns({SLICE: time_slice(F.col(time_col), slice_seconds), "_v": value})
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*keys, SLICE).agg(F.max("_v").alias("_t")).select(*keys, SLICE, F.max("_t").over(before).alias("_c"))
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _join_null_safe(rows, carried, [*keys, SLICE]).withColumn(name, F.greatest("_c", F.max("_v").over(inside)))
+    rows = df.withColumn("_v", value)
+    if slice_seconds is None:
+        rows, piece, within = in_ranges(rows, keys, [F.col(c) for c in order]), "_range", ["_at"]
+    else:
+        rows, piece, within = rows.withColumn(SLICE, time_slice(F.col(time_col), slice_seconds)), SLICE, list(order)
+    before = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, piece).agg(F.max("_v").alias("_t")).select(*keys, piece, F.max("_t").over(before).alias("_c"))
+    inside = Window.partitionBy(*keys, piece).orderBy(*within).rowsBetween(Window.unboundedPreceding, 0)
+    out = _join_null_safe(rows, carried, [*keys, piece]).withColumn(name, F.greatest("_c", F.max("_v").over(inside)))
     return out.select(*df.columns, name)
 
 
 def trailing_count(
-    df: DataFrame, keys: Sequence[str], time_col: str, seconds: int, name: str
+    df: DataFrame, keys: Sequence[str], time_col: str, seconds: int, name: str, span_rows: int | None = None
 ) -> DataFrame:
     """Rows of the same key within the last ``seconds``, both ends included, ties included; rows without a time count each other.
 
-    Each row is also shown to the next slice; a window then spans at most two slices of one key.
+    While no key has more than ``span_rows`` rows in one span, a window over two spans counts them. Beyond that, the count is a difference of
+    ranks: rows up to the time less rows before the window, both running counts in one sorted run of a key's distinct times and
+    window starts. No window then holds the rows of a key or of a span. The input is read twice; write an expensive one first.
     """
-    keys = list(keys)
-    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     span = seconds * 1_000_000
-    shown = df.withColumns({"_us": micros, "_home": F.floor(micros / F.lit(span)).cast("bigint")}).withColumn(
-        SLICE, F.explode(F.when(F.col("_home").isNull(), F.array(F.col("_home"))).otherwise(F.array(F.col("_home"), F.col("_home") + 1)))
-    )
-    within = Window.partitionBy(*keys, SLICE).orderBy("_us").rangeBetween(-span, 0)
-    return (
-        shown.withColumn(name, F.count(F.lit(1)).over(within))
-        .filter(F.col(SLICE).eqNullSafe(F.col("_home")))
-        .select(*df.columns, name)
-    )
+    # Both are never NULL, so that rows and counts meet by plain equality.
+    own, us = F.to_json(F.struct(*keys)), F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(_NO_TIME))
+    rows = df.withColumns({"_scope": own, "_us": us})
+    home = F.floor(F.col("_us") / F.lit(span)).cast("bigint")
+    busiest = rows.groupBy("_scope", home.alias("_home")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if busiest <= (SPAN_ROWS if span_rows is None else span_rows):
+        # Each row is also shown to the next span, so a window covers two spans of a key, whose size was just checked.
+        shown = rows.withColumn("_home", home).withColumn(SLICE, F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+        within = Window.partitionBy("_scope", SLICE).orderBy("_us").rangeBetween(-span, 0)
+        return shown.withColumn(name, F.count(F.lit(1)).over(within)).filter(F.col(SLICE) == F.col("_home")).select(*df.columns, name)
+    times = persist_table(rows.groupBy("_scope", "_us").agg(F.count(F.lit(1)).alias("_n")), "times")
+    # A start lies before the times equal to it: rows at the very start of the window count.
+    none = F.lit(0).cast("bigint")
+    ends = F.array(F.struct(F.col("_us").alias("x"), F.lit(1).alias("kind"), F.col("_n").alias("n")), F.struct((F.col("_us") - span).alias("x"), F.lit(0).alias("kind"), none.alias("n")))
+    points = times.filter(F.col("_us") > _NO_TIME).select("_scope", "_us", F.explode(ends).alias("p")).select("_scope", "_us", "p.*")
+    ranked = range_sums(points, ["_scope"], ["x", "kind", "_us"], "n", "upto")
+    upto, before = (F.max(F.when(F.col("kind") == k, F.col("upto"))) for k in (1, 0))
+    counts = ranked.groupBy("_scope", "_us").agg((upto - before).alias(name))
+    counts = counts.unionByName(times.filter(F.col("_us") == _NO_TIME).select("_scope", "_us", F.col("_n").alias(name)))
+    return rows.join(counts, ["_scope", "_us"]).select(*df.columns, name)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, *, salts: int = 256, rank: str = "_rank") -> DataFrame:
@@ -147,11 +141,14 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
     return kept.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= limit)
 
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` in order, cut into ranges of about equal counts, written with ``_at``: the range (upper part) and the place in it.
 
-    Ranges follow from a sample of the sort key, not of the time line, so neither a hot key nor a burst makes one large.
+    Ranges follow from a sample of the sort key, not of the time line, so neither a hot key nor a burst makes one large. Running values
+    take a table that has been cut already as it is.
     """
+    if "_range" in df.columns:
+        return df
     by = [*[F.col(k) for k in keys], *order]
     return persist_table(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
 
@@ -159,7 +156,7 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, size: str | None = None) -> DataFrame:
     """Add the row's number (from 1) within ``keys`` by ``order``, which must be a total order, and the number of rows of the key."""
     keys = list(keys)
-    placed = _in_ranges(df, keys, order)
+    placed = in_ranges(df, keys, order)
     runs = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_held"))
     # One row per key and range that holds some of it.
     of_key = Window.partitionBy(*keys)
@@ -172,7 +169,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
 def range_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the running sum of ``value`` within ``keys`` by ``order``, the row itself included; ``value`` must not be NULL."""
     keys = list(keys)
-    placed = _in_ranges(df, keys, [F.col(c) for c in order])
+    placed = in_ranges(df, keys, [F.col(c) for c in order])
     runs = placed.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*keys, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import sqltext as q
-from tracelake.operators.sliced import fitting_seconds, running_max, running_sums
+from tracelake.operators.sliced import in_ranges, running_max, running_sums
 from tracelake.session import persist_table
 
 # Message types that open and end turns.
@@ -38,12 +38,17 @@ def message_type(payload: str) -> Column:
 _CLIENT = "client_to_upstream"
 
 
+def _placed(messages: DataFrame, slice_seconds: int | None) -> DataFrame:
+    """Messages sorted by connection and cut once for all running values over them."""
+    return messages if slice_seconds else in_ranges(messages, ["connection_id"], [F.col("ts"), F.col("msg_id")])
+
+
 def assign_turns(messages: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Add to each message: starts_turn, turn_index (turns started so far), in_turn, ends_turn.
 
     ``messages``: connection_id, msg_id, ts, direction, opcode, msg_type, close_code.
     """
-    slice_seconds = slice_seconds or fitting_seconds(messages, ["connection_id"], "ts")
+    given, messages = messages.columns, _placed(messages, slice_seconds)
     client = F.col("direction") == _CLIENT
     text = F.col("opcode") == "text"
     begins = client & text & (F.col("msg_type") == START)
@@ -79,13 +84,12 @@ def assign_turns(messages: DataFrame, slice_seconds: int | None = None) -> DataF
             "ends_turn": F.col("_ends") & open_before,
             "in_turn": F.when(F.col("_ends"), open_before & (F.col("opcode") != "close")).otherwise(running),
         }
-    ).select(*messages.columns, "starts_turn", "turn_index", "in_turn", "ends_turn")
+    ).select(*given, "starts_turn", "turn_index", "in_turn", "ends_turn")
 
 
 def turn_table(messages: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """One row per turn: start, end, why it ended, message and byte counts, first response."""
-    slice_seconds = slice_seconds or fitting_seconds(messages, ["connection_id"], "ts")
-    m = persist_table(assign_turns(messages, slice_seconds), "turn-messages")
+    m = persist_table(assign_turns(_placed(messages, slice_seconds), slice_seconds), "turn-messages")
     seen_close = F.when(F.col("opcode") == "close", F.struct("ts", "msg_id", "close_code"))
     m = running_max(m, ["connection_id"], "ts", ["ts", "msg_id"], "_close", seen_close, slice_seconds=slice_seconds)
     code = F.coalesce(F.col("_close.close_code"), F.lit(0))
@@ -157,7 +161,8 @@ def assemble_chunks(chunks: DataFrame, starts: DataFrame, max_bytes: int) -> Dat
         F.sum("_bytes").alias("total_bytes"),
         F.min("at").alias("_first"),
     )
-    joined = F.aggregate(F.transform("_pieces", lambda p: p["piece"]), F.lit(b""), lambda a, p: F.concat(a, p))
+    # One pass over the pieces: text of their bytes as they are, joined at once.
+    joined = F.unhex(F.array_join(F.transform("_pieces", lambda p: F.hex(p["piece"])), ""))
     first_us = F.unix_micros(F.col("_first").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
     return whole.join(starts, "exchange_id").select(
         "exchange_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,10 @@ TRACE_SCHEMA = T.StructType(
     ]
 )
 
-# Heavy text columns that a listing leaves out.
-# Fixed value: the key id's own name, then the one that older stores use for the column and in metadata.
-KEY_NAMES = ("access_key_id", "gateway_key_id")
+# Names of the key id, as a column and in metadata; a caller with an older store passes its names after this one.
+KEY_NAMES = ("access_key_id",)
 
+# Heavy text columns that a listing leaves out.
 BODY_COLUMNS = ("request_body", "response_body", "llm_request_prompt", "llm_response_content")
 
 TRACE_BODY_SCHEMA = T.StructType(
@@ -102,24 +104,24 @@ def scan_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(df: DataFrame, key_names: Sequence[str] = KEY_NAMES) -> DataFrame:
     """Bring an older layout to the full column list, in order.
 
     Missing columns appear as NULL; a missing or NULL ``access_key_id`` is filled from the
-    metadata document.
+    metadata document. ``key_names`` are the names under which a store may hold it, preferred ones first.
     """
     have = set(df.columns)
     columns: list[Column] = []
     for field in TRACE_SCHEMA.fields:
         if field.name == "access_key_id":
-            from_meta = F.coalesce(*[blank_to_null(meta_string(F.col("metadata"), n)) for n in KEY_NAMES])
-            current = next((F.col(n) for n in KEY_NAMES if n in have), F.lit(None).cast("string"))
+            from_meta = F.coalesce(*[blank_to_null(meta_string(F.col("metadata"), n)) for n in key_names])
+            current = next((F.col(n) for n in key_names if n in have), F.lit(None).cast("string"))
             columns.append(F.coalesce(current, from_meta if "metadata" in have else F.lit(None)).alias("access_key_id"))
         elif field.name in have:
             columns.append(F.col(field.name))
         else:
             columns.append(F.lit(None).cast(field.dataType).alias(field.name))
-    extra = [F.col(c) for c in df.columns if c not in (*TRACE_SCHEMA.fieldNames(), *KEY_NAMES)]
+    extra = [F.col(c) for c in df.columns if c not in (*TRACE_SCHEMA.fieldNames(), *key_names)]
     return df.select(*columns, *extra)
 
 
@@ -133,7 +135,7 @@ def ttft_us(us: Column, ms: Column) -> Column:
     return F.when(us > 0, us).when(ms > 0, ms * 1000).otherwise(F.lit(0).cast("bigint"))
 
 
-def normalize(df: DataFrame) -> DataFrame:
+def normalize(df: DataFrame, key_names: Sequence[str] = KEY_NAMES) -> DataFrame:
     """Ingest defaults. Blank text gets its fallback, a zero total is derived, TTFT units are filled."""
 
     def fallback(name: str, value: str) -> Column:
@@ -161,6 +163,6 @@ def normalize(df: DataFrame) -> DataFrame:
     }
     if "access_key_id" in df.columns:
         changes["access_key_id"] = F.coalesce(
-            F.nullif(F.col("access_key_id"), F.lit("")), *[meta_string(F.col("metadata"), n) for n in KEY_NAMES], F.lit("")
+            F.nullif(F.col("access_key_id"), F.lit("")), *[meta_string(F.col("metadata"), n) for n in key_names], F.lit("")
         )
     return df.withColumns(changes)
