@@ -49,8 +49,9 @@ def packing_query(spark, sf):
 
 @query("op7_substrings")
 def substrings_query(spark, sf):
-    found = substrings.without_repeats(table(spark, sf, "documents"), texts=False)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = substrings.without_repeats(table(spark, sf, "documents"))
+    kept_text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", kept_text)
 
 
 @query("op8_nearest", sql.NEAREST)
