@@ -12,4 +12,5 @@ from tracelake.catalog import (  # noqa: F401
     privacy,
     store,
     streams,
+    versions,
 )
