@@ -32,7 +32,36 @@ def _bits(values):
     """Bits that each unsigned 32-bit value needs."""
     import numpy as np
 
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+def _pack(values, width: int):
+    """Rows of ``BLOCK`` values as bytes, ``width`` low bits of each one after the other: 64 values fill ``width`` 64-bit words."""
+    import numpy as np
+
+    lanes = np.ascontiguousarray(values.reshape(-1, 64).T.astype(np.uint64)) & np.uint64((1 << width) - 1)
+    words = np.zeros((width, lanes.shape[1]), dtype=np.uint64)
+    for i in range(64):
+        word, off = divmod(i * width, 64)
+        words[word] |= lanes[i] << np.uint64(off)
+        if off + width > 64:
+            words[word + 1] |= lanes[i] >> np.uint64(64 - off)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(values), -1)
+
+
+def _unpack(raw, width: int):
+    """What ``_pack`` has packed, as rows of ``BLOCK`` values."""
+    import numpy as np
+
+    words = np.ascontiguousarray(np.ascontiguousarray(raw).view("<u8").reshape(-1, width).T)
+    lanes, mask = np.empty((64, words.shape[1]), dtype=np.uint32), np.uint64((1 << width) - 1)
+    for i in range(64):
+        word, off = divmod(i * width, 64)
+        value = words[word] >> np.uint64(off)
+        if off + width > 64:
+            value = value | (words[word + 1] << np.uint64(64 - off))
+        lanes[i] = (value & mask).astype(np.uint32)
+    return lanes.T.reshape(len(raw), BLOCK)
 
 
 def write_segment(doc_ids: list, lengths: list[int], ids, percentile: float = PERCENTILE) -> bytes:
@@ -45,7 +74,8 @@ def write_segment(doc_ids: list, lengths: list[int], ids, percentile: float = PE
     low = grid.min(axis=1, initial=0xFFFFFFFF) if n_blocks else np.zeros(0, "<u4")
     rest = grid - low[:, None]
     need = _bits(rest)
-    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * BLOCK)) - 1] if n_blocks else np.zeros(0, np.int64)
+    wide = int(np.ceil(percentile * BLOCK)) - 1
+    width = np.partition(need, wide, axis=1)[:, wide].astype(np.int64) if n_blocks else np.zeros(0, np.int64)
     over = need > width[:, None]
     at_block, at = np.nonzero(over)
     high = (rest[at_block, at].astype(np.uint64) >> width[at_block].astype(np.uint64)).astype("<u4")
@@ -55,9 +85,7 @@ def write_segment(doc_ids: list, lengths: list[int], ids, percentile: float = PE
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
-            bits = np.unpackbits(rest[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            rows = np.packbits(bits.reshape(len(own), BLOCK * int(w)), axis=1, bitorder="little")
-            packed[(starts[own][:, None] + np.arange(int(w) * BLOCK // 8)).ravel()] = rows.ravel()
+            packed[(starts[own][:, None] + np.arange(int(w) * BLOCK // 8)).ravel()] = _pack(rest[own], int(w)).ravel()
     missing = np.array([d is None for d in doc_ids], dtype=np.uint8)
     return b"".join(
         [
@@ -111,10 +139,7 @@ class Segment:
             if w:
                 own = np.flatnonzero(width == w)
                 rows = self.packed[(starts[own][:, None] + np.arange(int(w) * BLOCK // 8)).ravel()].reshape(len(own), -1)
-                bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-                wide = np.zeros((len(own), BLOCK, 32), dtype=np.uint8)
-                wide[:, :, : int(w)] = bits
-                grid[own] = np.packbits(wide, axis=2, bitorder="little").view("<u4").reshape(len(own), BLOCK)
+                grid[own] = _unpack(rows, int(w))
         a, b = int(self.first_over[first]), int(self.first_over[end])
         rows = np.repeat(np.arange(end - first), self.over[first:end])
         grid[rows, self.at[a:b]] |= (self.high[a:b].astype(np.uint64) << width[rows].astype(np.uint64)).astype(np.uint32)
