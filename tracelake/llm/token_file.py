@@ -32,7 +32,9 @@ def _bits(values):
     """Bits that each unsigned 32-bit value needs."""
     import numpy as np
 
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    # The exponent of the value as a floating-point number, which holds 32 bits exactly; of zero it is far below.
+    exponent = (values.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int16) - 1022
+    return np.maximum(exponent, 0).astype(np.uint8)
 
 
 def _pack(values, width: int):
