@@ -15,13 +15,19 @@ from tracelake.registry import ORACLES, query
 from tracelake.schema import conform, normalize
 from tracelake.session import new_folder, pin_utc
 from tracelake.sources import derived, export
-from tracelake.streaming import jobs
+from tracelake.streaming import jobs, ordered
 
 
-def stream_of(spark, sf, name):
-    """A table as a stream: the folder of its part files, or the one file of its name."""
+# What one micro-batch of an ordered stream reads.
+BATCH = "16g"
+
+
+def stream_of(spark, sf, name, batch=None):
+    """A table as a stream: the folder of its part files, or the one file of its name; ``batch`` bounds the bytes of a micro-batch."""
     schema = derived.table(spark, sf, name).schema
     reader = pin_utc(spark).readStream.schema(schema)
+    if batch:
+        reader = reader.option("maxBytesPerTrigger", batch)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return reader.parquet(f"{sf}/{name}.parquet")
@@ -82,8 +88,8 @@ def enrich_stream(spark, sf):
     ),
 )
 def ws_turns_stream(spark, sf):
-    events = stream_of(spark, sf, "events")
-    out = jobs.all_turns(derived.ws_messages_from(events), new_folder(spark, "turns"))
+    events = stream_of(spark, sf, "events", BATCH)
+    out = ordered.all_turns(derived.ws_messages_from(events), new_folder(spark, "turns"))
     return out.select(
         "connection_id", "turn_index", "start_type", "terminal_type", "started_us", "ended_us", "request_messages", "response_messages", "close_code"
     )
@@ -99,9 +105,9 @@ def ws_turns_stream(spark, sf):
     ),
 )
 def rate_limit_stream(spark, sf):
-    requests = derived.raw_traces_from(stream_of(spark, sf, "events"))
-    decided = jobs.rate_limit_stream(requests, ["org_id", "workspace_id"], 1, 3600)
-    return jobs.stream_to_files(decided, new_folder(spark, "rate")).select("id", "admitted")
+    requests = derived.raw_traces_from(stream_of(spark, sf, "events", BATCH))
+    decided = ordered.all_admissions(requests, ["org_id", "workspace_id"], 1, new_folder(spark, "rate"), 3600)
+    return decided.select("id", "admitted")
 
 
 @query(

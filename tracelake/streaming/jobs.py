@@ -18,7 +18,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.operators.analytics import RAW, raw_counts
-from tracelake.operators.limits import RATE_SECONDS, replay_limit
 from tracelake.operators.turns import ITEM, OPENERS, RESPONSE, START, TERMINALS
 from tracelake.plans.build_trace import enrich
 from tracelake.sources.store import append_batch, ensure_tenants
@@ -199,7 +198,7 @@ def _turns(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Itera
         out = [_left_open(saved)] if saved[1] is not None else []
         state.remove()
     else:
-        # One connection's rows of one micro-batch; its size is set by the trigger.
+        # One connection's rows of one micro-batch.
         out, saved = turns_of(pd.concat(list(pdfs)).sort_values(["us", "msg_id"]), saved)
         state.update(saved)
         state.setTimeoutTimestamp(max(saved[-1] // 1000 + _IDLE_MS, state.getCurrentWatermarkMs() + 1))
@@ -212,7 +211,11 @@ _IDLE_MS = 24 * 3600 * 1000
 
 
 def turn_stream(messages: DataFrame) -> DataFrame:
-    """Finished turns of a message stream; the open turn of each connection is its state."""
+    """Finished turns of a message stream as soon as their end arrives; the open turn of each connection is its state.
+
+    Takes messages in the order of their micro-batches, whose size the source's trigger options bound. Where files may come out of order, use
+    ``ordered.turns_in_order``, which waits for the watermark.
+    """
     timed = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
     rows = timed.withColumn("us", F.unix_micros("ts"))
     return rows.groupBy("connection_id").applyInPandasWithState(
@@ -220,53 +223,9 @@ def turn_stream(messages: DataFrame) -> DataFrame:
     )
 
 
-def all_turns(messages: DataFrame, folder: str) -> DataFrame:
-    """Turns of a bounded run over everything there is: those that ended, and those its state still holds open."""
-    ended = stream_to_files(turn_stream(messages), folder)
-    state = messages.sparkSession.read.format("statestore").load(os.path.join(folder, "checkpoint"))
-    h = "value.groupState"
-    left = state.filter(F.col(f"{h}.kind").isNotNull()).select(
-        F.col("key.connection_id").alias("connection_id"), F.col(f"{h}.turns").alias("turn_index"), F.col(f"{h}.kind").alias("start_type"), F.lit("connection_closed").alias("terminal_type"),
-        F.lit(True).alias("incomplete"), F.col(f"{h}.started").alias("started_us"), F.col(f"{h}.last").alias("ended_us"), F.col(f"{h}.asked").alias("request_messages"), F.col(f"{h}.answered").alias("response_messages"),
-        F.col(f"{h}.asked_bytes").alias("request_bytes"), F.col(f"{h}.answered_bytes").alias("response_bytes"), F.col(f"{h}.wait").alias("first_response_us"), F.col(f"{h}.code").alias("close_code"),
-    )
-    return ended.unionByName(left)
-
-
 # ---- limits -------------------------------------------------------------------------------------
 
 
-def rate_limit_stream(requests: DataFrame, keys: Sequence[str], limit: int, seconds: int = RATE_SECONDS) -> DataFrame:
-    """Admission decisions of a request stream; the state of a scope is its last admitted times."""
-    span = seconds * 1_000_000
-    names = list(keys)
-    out = T.StructType(
-        [*[T.StructField(k, T.StringType()) for k in names], T.StructField("id", T.StringType()), T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType())]
-    )
-    kept = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
-
-    def decide(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["us", "id"])
-        times = np.array(before + rows["us"].tolist(), dtype=np.int64)
-        warm = np.arange(len(times)) < len(before)
-        admitted, retry = replay_limit(times, warm, limit, span)
-        last = [int(t) for t in times[admitted][-limit:]]
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last[-1] // 1000 + 2 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        fresh = ~warm
-        yield pd.DataFrame(
-            {**{k: v for k, v in zip(names, key)}, "id": rows["id"].to_numpy(), "admitted": admitted[fresh], "retry_after": retry[fresh]}
-        )
-
-    timed = requests.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", LATENESS)
-    slim = timed.select(*names, "id", "timestamp", F.unix_micros("timestamp").alias("us"))
-    return slim.groupBy(*names).applyInPandasWithState(decide, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def quota_stream(traces: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
     """Tokens and cost per scope and UTC day, refreshed with every batch; returns the newest state."""
     timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", "1 day")
