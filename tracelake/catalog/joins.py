@@ -125,6 +125,45 @@ def pii_policy_match(spark, sf):
     return t.select("id", *[c.alias(n) for n, c in found.items()])
 
 
+# One rule a customer: which selectors it names, and their values, follow from its key.
+_RULES = """rules AS (SELECT c_custkey AS pos, 'rule-' || c_custkey AS policy_id, 'mode-' || c_custkey % 3 AS mode, CASE WHEN c_custkey % 2 = 0 THEN 'org-' || c_custkey % 5 END AS org_id,
+  CASE WHEN c_custkey % 3 = 0 THEN 'ws-' || c_custkey % 7 END AS workspace_id, CASE WHEN c_custkey % 5 = 0 THEN 'gk-' || c_custkey % 40 END AS key_id,
+  CASE WHEN c_custkey % 7 = 0 THEN ['azure', 'openai', 'anthropic', 'llm'][CAST(c_custkey % 4 AS INT) + 1] END AS provider,
+  CASE c_custkey % 4 WHEN 1 THEN '/llm' WHEN 2 THEN '/openai/v1' WHEN 3 THEN '/anthropic/v1/messages' END AS prefix FROM customer),
+  asked AS (SELECT DISTINCT org_id, workspace_id, access_key_id, provider, request_path FROM traces),
+  best AS (SELECT a.*, r.policy_id, r.mode FROM asked a JOIN rules r ON (r.org_id IS NULL OR r.org_id = a.org_id) AND (r.workspace_id IS NULL OR r.workspace_id = a.workspace_id)
+      AND (r.key_id IS NULL OR r.key_id = a.access_key_id) AND (r.provider IS NULL OR r.provider = a.provider) AND (r.prefix IS NULL OR a.request_path = r.prefix OR starts_with(a.request_path, r.prefix || '/'))
+    QUALIFY row_number() OVER (PARTITION BY a.org_id, a.workspace_id, a.access_key_id, a.provider, a.request_path
+      ORDER BY (r.org_id IS NULL)::INT + (r.workspace_id IS NULL)::INT + (r.key_id IS NULL)::INT + (r.provider IS NULL)::INT + (r.prefix IS NULL)::INT, length(coalesce(r.prefix, '')) DESC, r.pos) = 1)"""
+
+
+def rule_table(customers):
+    k = F.col("c_custkey")
+
+    def named(every, name, values):
+        return F.when(k % every == 0, F.concat(F.lit(name), (k % values).cast("string")))
+
+    providers = F.element_at(F.array(*map(F.lit, ("azure", "openai", "anthropic", "llm"))), (k % 4).cast("int") + 1)
+    prefixes = F.element_at(F.array(*map(F.lit, (" ", "/llm/", "openai/v1", "/anthropic/v1/messages"))), (k % 4).cast("int") + 1)
+    return customers.select(
+        k.alias("pos"), F.concat(F.lit("rule-"), k.cast("string")).alias("policy_id"), F.concat(F.lit("mode-"), (k % 3).cast("string")).alias("mode"),
+        named(2, "org-", 5).alias("org_id"), named(3, " ws-", 7).alias("workspace_id"), named(5, "gk-", 40).alias("key_id"), F.when(k % 7 == 0, providers).alias("provider"), prefixes.alias("route_prefix"),
+    )
+
+
+@query(
+    "j8_policy_join",
+    on_traces(
+        f"""WITH {_RULES} SELECT t.id, coalesce(b.mode, 'redact_storage') AS pii_mode, coalesce(b.policy_id, 'global/v1') AS pii_policy_id
+        FROM traces t LEFT JOIN best b USING (org_id, workspace_id, access_key_id, provider, request_path)"""
+    ),
+)
+def policy_join_query(spark, sf):
+    """As many rules as there are customers."""
+    found = joins.policy_join(derived.traces(spark, sf), rule_table(derived.table(spark, sf, "customer")), FALLBACK)
+    return found.select("id", "pii_mode", "pii_policy_id")
+
+
 @query(
     "j10_correlation_join",
     """SELECT 'tr_' || e.event_id AS id, p.page_id AS log_line FROM events e JOIN pages p ON p.page_id % 400 = e.user_id

@@ -19,7 +19,7 @@ from tracelake.streaming import jobs, ordered
 
 
 # What one micro-batch of an ordered stream reads.
-BATCH = "16g"
+BATCH = 16 << 30
 
 
 def stream_of(spark, sf, name, batch=None):

@@ -109,21 +109,20 @@ def price_join(traces: DataFrame, prices: DataFrame) -> DataFrame:
     """Table form: match each distinct (provider, model) once, then join the rates back.
 
     ``prices``: provider, pos, exact, pattern, input_per_1k, output_per_1k. Exact rows win over
-    prefixes, then the lowest position. A hot model is one row in the match; AQE broadcasts the list of
+    prefixes, then the lowest position. A model is shown whole and cut to each length that a prefix of the list has, and meets the
+    prices by equality; none is compared with all prices of its provider. A hot model is one row in the match; AQE broadcasts the list of
     pairs if it is small and otherwise splits a hot pair.
     """
-    pairs = traces.select("provider", "model").distinct()
-    name = comparable_model(F.col("m.provider"), F.col("m.model"))
-    fits = F.when(F.col("p.exact"), name == F.col("p.pattern")).otherwise(name.startswith(F.col("p.pattern")))
+    # Driver side: one number for each distinct length of a pattern.
+    lengths = [r["n"] for r in prices.filter(~F.col("exact")).select(F.length("pattern").alias("n")).filter("n IS NOT NULL").distinct().collect()]
+    whole = F.struct(F.lit(True).alias("exact"), F.col("_name").alias("pattern"))
+    cuts = [F.when(F.length("_name") >= n, F.struct(F.lit(False).alias("exact"), F.substring("_name", 1, n).alias("pattern"))) for n in sorted(lengths)]
+    pairs = traces.select("provider", "model").distinct().withColumn("_name", comparable_model(F.col("provider"), F.col("model")))
+    shown = pairs.select("provider", "model", F.inline(F.array_compact(F.array(whole, *cuts))))
     matched = (
-        pairs.alias("m")
-        .join(prices.alias("p"), (F.col("m.provider") == F.col("p.provider")) & fits)
-        .groupBy(F.col("m.provider").alias("provider"), F.col("m.model").alias("model"))
-        .agg(
-            F.min_by(
-                F.struct("p.pattern", "p.input_per_1k", "p.output_per_1k"), F.struct(~F.col("p.exact"), F.col("p.pos"))
-            ).alias("rate")
-        )
+        shown.join(prices, ["provider", "exact", "pattern"])
+        .groupBy("provider", "model")
+        .agg(F.min_by(F.struct("pattern", "input_per_1k", "output_per_1k"), F.struct(~F.col("exact"), F.col("pos"))).alias("rate"))
     )
     return (
         traces.join(matched, ["provider", "model"], "left")

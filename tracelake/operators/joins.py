@@ -90,7 +90,7 @@ def policy_columns(rules: Sequence[PolicyRule], fallback: PolicyRule, org: Colum
     for rule in rules:
         if not rule.selectors():
             raise ValueError(f"policy {rule.policy_id} selects nothing")
-    ranked = sorted(rules, key=lambda r: (-r.selectors(), -len(clean_prefix(r.route_prefix) if r.route_prefix else "")))
+    ranked = sorted(rules, key=lambda r: (-r.selectors(), -len(clean_prefix(r.route_prefix) if r.route_prefix.strip() else "")))
     mode, policy = F.lit(fallback.mode), F.lit(fallback.policy_id)
     for rule in reversed(ranked):
         fits = F.lit(True)
@@ -104,6 +104,65 @@ def policy_columns(rules: Sequence[PolicyRule], fallback: PolicyRule, org: Colum
     return {"pii_mode": mode, "pii_policy_id": policy}
 
 
+SELECTORS = ("org_id", "workspace_id", "key_id", "provider")
+
+
+def _ancestors(path: Column) -> Column:
+    """The prefixes of a path that end at a slash or at its end; none of a missing path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def _each(prefixes: Column, chosen: list[Column]) -> Column:
+    return F.transform(prefixes, lambda p: F.to_json(F.struct(*chosen, p.alias("prefix"))))
+
+
+def policy_join(requests: DataFrame, rules: DataFrame, fallback: PolicyRule, key_column: str = "access_key_id", path_column: str = "request_path") -> DataFrame:
+    """Table form of :func:`policy_columns`, for rule lists of any length: adds pii_mode and pii_policy_id.
+
+    ``rules``: pos, policy_id, mode, org_id, workspace_id, key_id, provider, route_prefix (blank or NULL: not named); ``requests`` has org_id,
+    workspace_id, provider and the two columns named here. Rules fall into at most 32 classes by the selectors they name. A distinct request is
+    shown once for each class that occurs (once for each ancestor of its path where the class names a prefix) and meets the rules by
+    equality; no request is compared with a rule of other values. Of several fitting rules the more specific one wins, then the smallest pos.
+    A prefix of "/" counts as named and fits every path.
+    """
+    named = [blank_to_null(F.col(c)).alias(c) for c in SELECTORS]
+    prefix = F.when(blank_to_null(F.col("route_prefix")).isNotNull(), normalize_prefix(F.col("route_prefix")))
+    clean = rules.select("pos", "policy_id", "mode", *named, prefix.alias("_given")).withColumn("prefix", F.nullif("_given", F.lit("/")))
+    fields = [*SELECTORS, "prefix"]
+    given = [F.col(c).isNotNull().cast("int") for c in (*SELECTORS, "_given")]
+    rank = F.struct((-sum(given[1:], given[0])).alias("named"), (-F.coalesce(F.length("_given"), F.lit(0))).alias("length"), "pos")
+    # The names of the selectors a rule has are part of its key: absent ones leave no field.
+    keyed = clean.select(F.to_json(F.struct(*fields)).alias("_rule"), rank.alias("_rank"), "policy_id", "mode", F.array([F.col(c).isNotNull() for c in fields]).alias("_class"))
+    classes = [(tuple(r["_class"]), r["most"]) for r in keyed.groupBy("_class").agg(F.max("_rank.named").alias("most")).collect()]
+    if any(most == 0 for _, most in classes):
+        raise ValueError("a policy selects nothing")
+    best = keyed.groupBy("_rule").agg(F.min_by(F.struct("mode", "policy_id", "_rank"), "_rank").alias("_best"))
+
+    columns = {"org_id": "org_id", "workspace_id": "workspace_id", "key_id": key_column, "provider": "provider", "prefix": path_column}
+    asked = requests.select(*[F.col(c).alias(n) for n, c in columns.items()]).distinct()
+    shown = []
+    for wanted, _ in classes:
+        chosen = [F.col(n) for n, w in zip(fields, wanted) if w and n != "prefix"]
+        complete = F.lit(True)
+        for c in chosen:
+            complete = complete & c.isNotNull()
+        if wanted[-1]:
+            probes = _each(_ancestors(F.col("prefix")), chosen)
+        else:
+            probes = F.array(F.to_json(F.struct(*chosen)) if chosen else F.lit("{}"))
+        shown.append(F.coalesce(F.when(complete, probes), F.array().cast("array<string>")))
+    if not shown:
+        return requests.withColumns({"pii_mode": F.lit(fallback.mode), "pii_policy_id": F.lit(fallback.policy_id)})
+    found = asked.withColumn("_rule", F.explode(F.concat(*shown))).join(best, "_rule").groupBy(*fields).agg(F.min_by("_best", "_best._rank").alias("_best"))
+    on = None
+    for name, column in columns.items():
+        same = F.col(f"r.{column}").eqNullSafe(F.col(f"f.{name}"))
+        on = same if on is None else on & same
+    mode, policy = F.coalesce("f._best.mode", F.lit(fallback.mode)), F.coalesce("f._best.policy_id", F.lit(fallback.policy_id))
+    return requests.alias("r").join(found.alias("f"), on, "left").select("r.*", mode.alias("pii_mode"), policy.alias("pii_policy_id"))
+
+
 def correlate(traces: DataFrame, logs: DataFrame) -> DataFrame:
     """Log lines beside the trace with the same correlation id."""
     marked = traces.withColumn("correlation_id", blank_to_null(meta_string(F.col("metadata"), "correlation_id")))
