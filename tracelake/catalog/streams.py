@@ -117,7 +117,7 @@ def rate_limit_stream(spark, sf):
     ),
 )
 def quota_stream(spark, sf):
-    out = jobs.quota_stream(_build(stream_of(spark, sf, "events")), ["org_id", "workspace_id"], new_folder(spark, "quota-stream"))
+    out = jobs.quota_stream(_build(stream_of(spark, sf, "events", BATCH)), ["org_id", "workspace_id"], new_folder(spark, "quota-stream"), jobs.NEVER_LATE)
     return out.withColumn("total_cost_usd", F.round("total_cost_usd", 8))
 
 
@@ -135,7 +135,7 @@ def metrics_stream(spark, sf):
 
 
 def _counts(spark, sf, label):
-    return jobs.counts_stream(_build(stream_of(spark, sf, "events")), new_folder(spark, label))
+    return jobs.counts_stream(_build(stream_of(spark, sf, "events", BATCH)), new_folder(spark, label), lateness=jobs.NEVER_LATE)
 
 
 @query("t8_request_counter_stream", ORACLES["a14_request_counter"])
@@ -158,6 +158,14 @@ def ratio_alert_stream(spark, sf):
     return analytics.ratio_alert_of(_counts(spark, sf, "ratio-stream")).withColumn("error_ratio", F.round("error_ratio", 8))
 
 
+@query("t8_increase_alert_stream", ORACLES["a18_increase_alert"])
+def increase_alert_stream(spark, sf):
+    log = derived.write_log_from(stream_of(spark, sf, "events", BATCH))
+    classed = log.withColumn("error_class", analytics.write_error_class(F.col("message")))
+    counts = jobs.failures_stream(classed, "ts", ["error_class"], new_folder(spark, "increase-stream"), lateness=jobs.NEVER_LATE)
+    return analytics.increase_of(counts, ["error_class"])
+
+
 @query(
     "t9_export_daily",
     on_traces(

@@ -317,6 +317,13 @@ def increase_alert(log: DataFrame, time_col: str, keys: Sequence[str], every: st
     )
 
 
+def increase_of(counts: DataFrame, keys: Sequence[str], slides: int = 5, slide_seconds: int = 60) -> DataFrame:
+    """``counts``: failures by ``slide_start`` and ``keys``; a window is ``slides`` of them long and starts with each."""
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slides - 1)), lambda n: F.col("slide_start") - F.make_dt_interval(secs=n * slide_seconds)))
+    shown = counts.select(start.alias("window_start"), *keys, "failures")
+    return shown.groupBy("window_start", *keys).agg(F.sum("failures").alias("increase"))
+
+
 def write_errors(log: DataFrame) -> DataFrame:
     return log.groupBy(write_error_class(F.col("message")).alias("error_class")).agg(F.count(F.lit(1)).alias("failures"))
 

@@ -361,7 +361,11 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan_once
 def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure messages of the trace writer, one per error event."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    return write_log_from(table(spark, sf_dir, "events"))
+
+
+def write_log_from(events: DataFrame) -> DataFrame:
+    e = events.filter(F.col("event_type") == "error")
     k = F.regexp_extract("props", r'"k": ([0-9]+)', 1).cast("int")
     messages = [
         "dial tcp: Connection refused",

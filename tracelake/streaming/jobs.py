@@ -226,9 +226,13 @@ def turn_stream(messages: DataFrame) -> DataFrame:
 # ---- limits -------------------------------------------------------------------------------------
 
 
-def quota_stream(traces: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+# Lateness of a bounded run over stored files, which may come in any order: nothing since 1970 is late.
+NEVER_LATE = "36500 days"
+
+
+def quota_stream(traces: DataFrame, keys: Sequence[str], folder: str, lateness: str = "1 day") -> DataFrame:
     """Tokens and cost per scope and UTC day, refreshed with every batch; returns the newest state."""
-    timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", "1 day")
+    timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
     used = timed.groupBy(F.window("timestamp", "1 day").alias("w"), *keys).agg(
         F.sum("total_tokens").alias("total_tokens"), F.sum("estimated_cost_usd").alias("total_cost_usd")
     )
@@ -236,18 +240,72 @@ def quota_stream(traces: DataFrame, keys: Sequence[str], folder: str) -> DataFra
     return newest_updates(flat, ["day", *keys], folder)
 
 
-def newest_updates(changes: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
-    """Runs a streaming aggregate over everything there is and returns the last state of each key."""
-    path = os.path.join(folder, "updates")
+# ---- tables of the newest updates ---------------------------------------------------------------
+
+# So many batches of updates are merged into one table of the newest row of each key.
+MERGE_EVERY = 16
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        # The epoch's own folder is replaced, so a repeated batch does not count twice.
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
 
-    run_available(changes.writeStream.outputMode("update").foreachBatch(write), os.path.join(folder, "checkpoint"))
-    updates = changes.sparkSession.read.schema(T.StructType([*changes.schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
-    values = [c for c in changes.columns if c not in keys]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("n")).select(*keys, "n.*")
+class UpdateTable:
+    """The newest row of each key of a stream of updates, below one folder.
+
+    ``epoch=N`` holds the updates of one batch, ``merged=N`` the newest rows up to that batch. A reader takes the last complete merged table and the
+    at most ``merge_every`` epochs after it, so reading costs what the keys cost, however many batches there were. Epochs and merged tables are
+    removed once the second next merged table is complete, so readers of the one before are not disturbed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], merge_every: int = MERGE_EVERY):
+        self.spark, self.path, self.keys, self.merge_every = spark, path, list(keys), merge_every
+        self.schema = T.StructType([*schema.fields, T.StructField("_epoch", T.LongType())])
+
+    def _fs(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Epochs whose folder of this kind is complete."""
+        fs, folder = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+        return [n for n in numbers if fs.exists(self._fs(f"{self.path}/{kind}={n}/_SUCCESS")[1])]
+
+    def folders(self) -> list[str]:
+        """What a reader takes."""
+        merged = self._numbers("merged")[-1:]
+        after = [n for n in self._numbers("epoch") if not merged or n > merged[0]]
+        return [f"{self.path}/merged={n}" for n in merged] + [f"{self.path}/epoch={n}" for n in after]
+
+    def _rows(self) -> DataFrame:
+        folders = self.folders()
+        rows = self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+        values = [c for c in self.schema.fieldNames() if c not in self.keys]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "_epoch").alias("_n")).select(*self.keys, "_n.*")
+
+    def read(self) -> DataFrame:
+        return self._rows().select(*[c for c in self.schema.fieldNames() if c != "_epoch"])
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        """A batch of updates; one that runs again replaces its own folder, or is known to be merged."""
+        merged = self._numbers("merged")
+        if merged and merged[-1] >= epoch:
+            return
+        batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        if len(self.folders()) - len(merged[-1:]) < self.merge_every:
+            return
+        self._rows().write.mode("overwrite").parquet(f"{self.path}/merged={epoch}")
+        # Nobody reads what the merged table before the last one has replaced.
+        old = merged[-1] if merged else -1
+        for kind, numbers in (("epoch", [n for n in self._numbers("epoch") if n <= old]), ("merged", merged[:-1])):
+            for n in numbers:
+                fs, folder = self._fs(f"{self.path}/{kind}={n}")
+                fs.delete(folder, True)
+
+
+def newest_updates(changes: DataFrame, keys: Sequence[str], folder: str, merge_every: int = MERGE_EVERY) -> DataFrame:
+    """Runs a streaming aggregate over everything there is and returns the last state of each key."""
+    table = UpdateTable(changes.sparkSession, os.path.join(folder, "updates"), changes.schema, keys, merge_every)
+    run_available(changes.writeStream.outputMode("update").foreachBatch(table.write), os.path.join(folder, "checkpoint"))
+    return table.read()
 
 
 # ---- metrics ------------------------------------------------------------------------------------
@@ -268,12 +326,19 @@ def metrics_stream(traces: DataFrame, keys: Sequence[str] = ("provider",), every
     )
 
 
-def counts_stream(traces: DataFrame, folder: str, every: str = "5 minutes") -> DataFrame:
+def counts_stream(traces: DataFrame, folder: str, every: str = "5 minutes", lateness: str = "1 day") -> DataFrame:
     """The counts behind request counter, latency buckets, quantile and ratio alert, from one stream.
 
     Takes the place of ``raw_counts`` by ``window_start``: the last windows are there too, as they stand.
     """
-    timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", "1 day")
+    timed = traces.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
     counted = raw_counts(timed, F.window("timestamp", every).alias("w"))
     flat = counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *[c for c in counted.columns if c != "w"])
     return newest_updates(flat, ["window_start", *RAW], folder)
+
+
+def failures_stream(log: DataFrame, time_col: str, keys: Sequence[str], folder: str, every: str = "1 minute", lateness: str = "1 day") -> DataFrame:
+    """Failures by ``keys`` and slide, the counts behind the increase alert; one row of state each, not one for each window it lies in."""
+    timed = log.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, lateness)
+    counted = timed.groupBy(F.window(time_col, every).alias("w"), *keys).agg(F.count(F.lit(1)).alias("failures"))
+    return newest_updates(counted.select(F.col("w.start").cast("timestamp_ntz").alias("slide_start"), *keys, "failures"), ["slide_start", *keys], folder)
