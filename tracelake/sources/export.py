@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 import os
+import uuid
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.filters import export_range
-from tracelake.sources.store import write_traces  # noqa: F401  (re-export for table jobs)
+from tracelake.operators.sliced import running_sums
+from tracelake.session import persist_table
 
 # Size of one part, file name layout.
 PART_BYTES = 128 * 1024 * 1024
@@ -47,42 +48,80 @@ def part_name(window_start: Column, number: Column, first: Column, last: Column,
     return F.format_string(PART_NAME, day_dir(window_start, zone), number.cast("int"), hhmm(first, zone), hhmm(last, zone))
 
 
-def export_window(traces: DataFrame, start: dt.datetime, end: dt.datetime, path: str, part_bytes: int = PART_BYTES) -> None:
-    """Write the window's traces, bodies included, as ordered gzip JSON lines.
+def cut_parts(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """``timestamp, id, line`` -> the same with ``bytes`` (line end included) and ``_cut``, which sorts by time and names a part.
 
-    The number of parts follows from the size of the window. Range partitioning on (timestamp, id)
-    gives parts of equal size whatever the tenants; file order is time order.
+    Cuts follow from the bytes before a row in the order of (timestamp, id), running sums over sorted ranges. Steps of seven eighths of the bound leave
+    room for the row that reaches over a cut; a row of more than an eighth stands in a part of its own. So no part exceeds
+    ``part_bytes``, plain or compressed, but for a single row that does.
     """
-    window = export_range(traces, start, end)
-    text = F.to_json(F.struct(*window.columns))
-    # Compressed lines are smaller than plain ones, so plain size is a safe upper bound.
-    size = window.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
-    parts = max(1, math.ceil(size / part_bytes))
-    (
-        window.repartitionByRange(parts, "timestamp", "id")
-        .sortWithinPartitions("timestamp", "id")
-        .write.mode("overwrite")
-        .options(compression="gzip", **JSON_TIMES)
-        .json(path)
+    # What gzip may add to text it cannot shrink stays free.
+    room = part_bytes - part_bytes // 1000 - 64
+    if room < 8:
+        raise ValueError("part_bytes is too small")
+    long = room // 8
+    sized = rows.withColumns({"bytes": F.octet_length("line").cast("bigint") + 1, "_window": F.lit(0)})
+    lies = running_sums(
+        sized, ["_window"], "timestamp", ["timestamp", "id"], {"_before": F.col("bytes"), "_longs": (F.col("bytes") > long).cast("bigint")}, include_current=False
     )
+    step = F.floor(F.col("_before") / F.lit(room - long)).cast("bigint")
+    return lies.withColumn("_cut", F.struct(step.alias("step"), F.col("_longs").alias("longs"), (F.col("bytes") > long).alias("alone"))).drop("_window", "_before", "_longs")
+
 
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
-def manifest(spark: SparkSession, path: str, schema, start: dt.datetime, zone: str) -> DataFrame:
-    """One row per written part: name, records, compressed bytes, sha256 and covered times.
 
-    A part is one file of bounded size, so hashing a file is bounded work for one task.
+def export_window(traces: DataFrame, start: dt.datetime, end: dt.datetime, path: str, part_bytes: int = PART_BYTES, zone: str = "UTC") -> DataFrame:
+    """Write the window's traces, bodies included, as ordered gzip JSON lines; returns one row per part.
+
+    Parts are stretches of the time order with at most ``part_bytes`` (see :func:`cut_parts`), one file each, under the names of the daily folder.
+    Files appear in ``path`` when all are written.
     """
-    base = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    records = (
-        spark.read.schema(schema)
-        .options(**JSON_TIMES)
-        .json(path)
-        .groupBy(base.alias("file"))
-        .agg(F.count(F.lit(1)).alias("records"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    spark = traces.sparkSession
+    window = export_range(traces, start, end)
+    lines = window.select("timestamp", "id", F.to_json(F.struct(*window.columns), JSON_TIMES).alias("line"))
+    cut = cut_parts(lines, part_bytes)
+    found = cut.groupBy("_cut").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("bytes").alias("plain_bytes"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at")
     )
+    # One row per part from here on.
+    number = F.row_number().over(Window.orderBy("_cut"))
+    named = found.withColumn("part_number", number)
+    at = F.lit(start.isoformat(sep=" ")).cast("timestamp")
+    parts = persist_table(named.withColumn("part_name", part_name(at, F.col("part_number"), F.col("first_at"), F.col("last_at"), zone)), "export-parts")
+    # Beside the target, so that naming a file moves no bytes.
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    (
+        cut.join(parts.select("_cut", "part_number"), "_cut")
+        .repartition("part_number")
+        .sortWithinPartitions("part_number", "timestamp", "id")
+        .select("part_number", "line")
+        .write.partitionBy("part_number")
+        .option("compression", "gzip")
+        .text(staged)
+    )
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    # Names only: one file for each part.
+    for row in parts.select("part_number", "part_name").toLocalIterator():
+        (file,) = [s.getPath() for s in fs.listStatus(_fs(spark, f"{staged}/part_number={row['part_number']}")[1])]
+        if not fs.rename(file, _fs(spark, f"{path}/{row['part_name']}")[1]):
+            raise OSError(f"cannot name part {row['part_number']}")
+    fs.delete(_fs(spark, staged)[1], True)
+    return parts.drop("_cut")
+
+
+def manifest(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
+    """The parts with their file, compressed bytes and sha256.
+
+    Hashing one file of bounded size is bounded work for one task.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "part-*.json.gz")
+        .option("pathGlobFilter", "*.ndjson.gz")
         .load(path)
         .select(
             F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
@@ -90,13 +129,7 @@ def manifest(spark: SparkSession, path: str, schema, start: dt.datetime, zone: s
             F.sha2("content", 256).alias("sha256"),
         )
     )
-    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int") + 1
-    at = F.lit(start.isoformat(sep=" ")).cast("timestamp")
-    return (
-        files.join(records, "file")
-        .withColumn("part_number", number)
-        .withColumn("part_name", part_name(at, F.col("part_number"), F.col("first_at"), F.col("last_at"), zone))
-    )
+    return files.join(parts.withColumn("file", F.col("part_name")), "file")
 
 
 def manifest_totals(parts: DataFrame) -> DataFrame:
@@ -116,7 +149,12 @@ def export_day(traces: DataFrame, day: dt.date, zone: str, root: str, part_bytes
     spark = traces.sparkSession
     start, end = local_day(day, zone)
     folder = os.path.join(root, f"{day:%y%m%d}")
-    export_window(traces, start, end, os.path.join(folder, "parts"), part_bytes)
-    out = manifest(spark, os.path.join(folder, "parts"), traces.schema, start, zone)
-    out.coalesce(1).write.mode("overwrite").options(**JSON_TIMES).json(os.path.join(folder, "manifest"))
-    return spark.read.schema(out.schema).options(**JSON_TIMES).json(os.path.join(folder, "manifest"))
+    parts_path, listed = os.path.join(folder, "parts"), os.path.join(folder, "manifest")
+    # A day is complete when its manifest is there.
+    fs, old = _fs(spark, listed)
+    fs.delete(old, True)
+    parts = export_window(traces, start, end, parts_path, part_bytes, zone)
+    # Files are hashed where they are read; only the lines of the manifest come together.
+    out = manifest(spark, parts_path, parts)
+    out.repartition(1).sortWithinPartitions("part_number").write.options(**JSON_TIMES).json(listed)
+    return spark.read.schema(out.schema).options(**JSON_TIMES).json(listed)
