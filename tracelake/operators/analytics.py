@@ -155,11 +155,15 @@ def summary(df: DataFrame) -> DataFrame:
 
     Rows are reduced to one per (model, key) first; everything else is computed from that.
     """
-    base = df.groupBy("model", blank_to_null(F.col("api_key_hash")).alias("key")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(c) for c in TOKENS],
-        F.sum("estimated_cost_usd").alias("cost"),
+    return summary_of(
+        df.groupBy("model", blank_to_null(F.col("api_key_hash")).alias("key")).agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in TOKENS], F.sum("estimated_cost_usd").alias("cost")
+        )
     )
+
+
+def summary_of(base: DataFrame) -> DataFrame:
+    """:func:`summary` from rows reduced to one per (model, key)."""
     per_model = base.groupBy("model").agg(
         F.sum("n").alias("n"),
         *[F.sum(c).alias(c) for c in TOKENS],
@@ -183,6 +187,31 @@ def provider_rollup(df: DataFrame) -> DataFrame:
     )
 
 
+def usage_rollup(df: DataFrame) -> DataFrame:
+    """One row per (provider, model, provider key) with all that the report's lists add up."""
+    return df.groupBy("provider", "model", "api_key_hash").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(c) for c in TOKENS],
+        F.sum("estimated_cost_usd").alias("estimated_cost_usd"),
+        *[f(c).alias(f"{c}_{name}") for c in ("latency_ms", "time_to_first_token_ms") for name, f in (("sum", F.sum), ("count", F.count))],
+        F.max("timestamp").alias("timestamp"),
+    )
+
+
+def lists_of(rollup: DataFrame) -> dict[str, DataFrame]:
+    """Summary, providers, models and keys from :func:`usage_rollup`; the trace table is not read again."""
+
+    def mean(c: str, name: str) -> Column:
+        return F.try_divide(F.sum(f"{c}_sum").cast("double"), F.sum(f"{c}_count")).alias(name)
+
+    count, tokens, cost = F.sum("n").alias("request_count"), _sum0("total_tokens").alias("total_tokens"), _sum0("estimated_cost_usd").alias("total_cost_usd")
+    key = blank_to_null(F.col("api_key_hash"))
+    pairs = rollup.groupBy("model", key.alias("key")).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in TOKENS], F.sum("estimated_cost_usd").alias("cost"))
+    models = rollup.groupBy("model").agg(count, mean("latency_ms", "avg_latency_ms"), mean("time_to_first_token_ms", "avg_ttft_ms"), tokens, cost)
+    keys = rollup.filter(key.isNotNull()).groupBy("api_key_hash").agg(count, tokens, cost, F.max("timestamp").alias("last_active_at"))
+    return {"summary": summary_of(pairs), "providers": provider_rollup(rollup), "models": models, "keys": keys}
+
+
 def merge_usage_and_cost(usage: DataFrame, cost: DataFrame) -> DataFrame:
     """Add up two series per provider; a provider may appear in only one of them."""
     name = F.coalesce(blank_to_null(F.col("group_key")), F.lit("(unknown)"))

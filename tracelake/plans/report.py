@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import analytics, paging
 from tracelake.operators.filters import TraceFilter, apply_filter
-from tracelake.session import new_folder
+from tracelake.session import new_folder, persist_table
 
 REPORT_VERSION = "report.v1"
 
 
 def report_sections(traces: DataFrame, f: TraceFilter = TraceFilter(), recent: int = 10) -> dict[str, DataFrame]:
+    """The report's sections. The table is read once for all sums, which are written as one small rollup, and once for the recent rows."""
     rows = apply_filter(traces, f)
+    lists = analytics.lists_of(persist_table(analytics.usage_rollup(rows), "report-rollup"))
     return {
-        "summary": analytics.summary(rows),
-        "providers": paging.by_usage(analytics.provider_rollup(rows)),
-        "models": paging.by_requests(analytics.model_stats(rows), "model"),
-        "keys": paging.by_requests(analytics.key_stats(rows), "api_key_hash"),
+        "summary": lists["summary"],
+        "providers": paging.by_usage(lists["providers"]),
+        "models": paging.by_requests(lists["models"], "model"),
+        "keys": paging.by_requests(lists["keys"], "api_key_hash"),
         "recent": paging.recent(rows, recent),
     }
 
