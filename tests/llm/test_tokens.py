@@ -32,6 +32,26 @@ def test_words_give_the_librarys_ids(texts):
     assert [b for b in ENCODER.encode(texts)] == [plain(t).tobytes() for t in texts]
 
 
+SPACES = ["  ", "\n", "\n\n    ", "\t", "\r\n", "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u200b", " "]
+UNITS = ["a", "b's", "'ll", "x1", "...", "end.", "é", "漢", "🙂", "<|endoftext|>", "w" * 201, " " * 300, "\n" * 250]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(SPACES + UNITS), max_size=14).map("".join), max_size=4))
+def test_white_space_is_a_unit(texts):
+    assert ENCODER.encode(texts) == [plain(t).tobytes() for t in texts]
+
+
+def test_texts_with_paragraphs_are_put_together_from_units(monkeypatch):
+    """Only the special token's string and the marks need the library for a whole text."""
+    enc, whole = WordEncoder(tokenizer_path()), []
+    inner = WordEncoder.whole
+    monkeypatch.setattr(WordEncoder, "whole", lambda self, t: whole.append(t) or inner(self, t))
+    text = "  First line.\n\n    Indented, twice  spaced\tand tabbed\r\nlines. \n" * 3
+    assert enc.encode([text, "a<|endoftext|>b"]) == [plain(text).tobytes(), plain("a<|endoftext|>b").tobytes()]
+    assert max(len(t) for t in whole if t != "a<|endoftext|>b") < 10
+
+
 def test_special_token_is_kept():
     assert ENCODER.encode(["a <|endoftext|> b"])[0] == plain("a <|endoftext|> b").tobytes()
 

@@ -1,13 +1,15 @@
 """Whole texts to token ids with the ``tokenizers`` library.
 
-The library spends most of its time on words it has met before. A word between two single blanks (or line ends)
-whose neighbours are no white space is always a unit of the byte-level pattern, so its ids do not depend on what
-stands around it: they are encoded once and kept. Texts for which that does not hold (runs of white space, blanks at
-the ends, the special token's string, extremely long words) go to the library whole. Both ways give the same ids.
+The library spends most of its time on words it has met before. A word between two blanks or line ends is a unit of the
+byte-level pattern: its ids depend on nothing but whether a blank stands in front of it. So do those of the white space
+between two words: but for its last character, which goes to the word if it is a blank, it is one unit, and at the end of a
+text all of it is. Units are encoded once and kept. Only texts with the special token's string or with the control characters
+that mark units here go to the library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from itertools import filterfalse
 
@@ -15,9 +17,39 @@ from tracelake.llm.common import worker_cache
 
 #: Words kept by one Python worker; beyond that the tables start anew. It bounds memory, not results.
 KEPT_WORDS = 1_200_000
+#: Longer words are encoded each time they occur.
 LONGEST_WORD = 200
 _LAST_LATIN = "ɏ"
 
+#: Marks of units that are more than a word behind a blank or a line end: a word without either, a run of white space.
+BARE, RUN = "\x1d", "\x1e"
+_MARKS = "\x1c\x1d\x1e\x1f"
+#: White space that is more than one blank or one line end between two words.
+_RUNS = re.compile(r"\s{2,}|[^\S \n]|\s\Z")
+_HIDE = str.maketrans(" \n", "\x1f\x1c")
+_SHOW = str.maketrans("\x1f\x1c", " \n")
+
+
+def _run(match: re.Match) -> str:
+    """White space as units behind blanks, so that the text can be split at its blanks."""
+    run = match[0]
+    if match.end() == len(match.string):
+        return f" {RUN}{run.translate(_HIDE)}"
+    head = f" {RUN}{run[:-1].translate(_HIDE)}" if len(run) > 1 else ""
+    last = run[-1]
+    if last in " \n":
+        return head + last
+    return f"{head} {RUN}{last} {BARE}"
+
+
+def units(text: str) -> list[str]:
+    """Units of a text without marks: words (behind a line end with ``\\n`` in front), ``BARE`` words and ``RUN``s."""
+    parts = _RUNS.sub(_run, text).replace("\n", " \n").split(" ")
+    if text[:1].isspace():
+        return parts[1:]
+    parts[0] = BARE + parts[0]
+    return parts
+
 
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit numbers, joined to bytes."""
@@ -34,7 +66,7 @@ class WordEncoder:
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self.line_bytes = np.array(line, dtype="<u4").tobytes()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole_only = [t.content for t in self.library.get_added_tokens_decoder().values()] + list(_MARKS)
         self.words: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -44,35 +76,59 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a missing text counts as empty."""
         texts = [t or "" for t in texts]
-        # A line end becomes a word that starts with it; the line end put before the first word is cut off again.
-        parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if self.line is None:
             return [self.whole(t) for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         if len(self.tails) > KEPT_WORDS // 10:
             self.tails.clear()
-        self._learn(parts)
-        known, out = self.words.__getitem__, []
-        for text, words in zip(texts, parts):
-            if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special):
-                out.append(self.whole(text))
-            else:
-                try:
-                    out.append(b"".join(map(known, words))[4:])
-                except TypeError:  # a word that is no unit of its own
-                    out.append(self.whole(text))
+        out: list[bytes] = [b""] * len(texts)
+        plain, marked = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(s in t for s in self.whole_only):
+                out[i] = self.whole(t)
+            elif "\n\n" in t or "  " in t or "\t" in t or "\r" in t:
+                marked.append(i)
+            else:  # A line end becomes a word that starts with it; the one put before the first word is cut off again.
+                plain.append((i, ("\n" + t).replace("\n", " \n").split(" ")[1:]))
+        known = self.words.__getitem__
+        self._learn([words for _, words in plain])
+        for i, words in plain:
+            try:
+                out[i] = b"".join(map(known, words))[4:]
+            except TypeError:  # a word that is no unit of its own, or a long one
+                marked.append(i)
+        split = [units(texts[i]) for i in marked]
+        self._learn(split)
+        for i, words in zip(marked, split):
+            try:
+                out[i] = b"".join(map(known, words))
+            except TypeError:
+                out[i] = b"".join(self._alone(w) if self.words[w] is None else self.words[w] for w in words)
         return out
 
+    def _alone(self, word: str) -> bytes:
+        """Ids of a unit that is not kept."""
+        if word[0] == RUN:
+            return self.whole(word[1:].translate(_SHOW))
+        if word[0] == BARE:
+            return self.whole(word[1:])
+        return self.whole(word if word[0] == "\n" else " " + word)
+
     def _learn(self, parts: list[list[str]]) -> None:
         known, fresh = self.words, set()
         for words in parts:
             fresh.update(filterfalse(known.__contains__, words))
         cut, wanted = [], set()
         for word in fresh:
-            body = word[1:] if word[:1] == "\n" else word
+            head = word[:1]
+            if head == RUN:
+                known[word] = self._alone(word) if len(word) <= LONGEST_WORD else None
+                continue
+            front = "\n" if head in ("\n", BARE) else ""
+            body = word[1:] if front else word
             if not body or len(body) > LONGEST_WORD or body.strip() != body:
                 known[word] = None
                 continue
@@ -83,12 +139,14 @@ class WordEncoder:
                 tail = body[len(core) :]
                 if tail not in self.tails:
                     self.tails[tail] = self.whole(tail)
-            core = word[:1] + core if word[:1] == "\n" else core
+            core = front + core
             wanted.add(core)
             cut.append((word, core, tail))
         self._encode_cores([c for c in wanted if c not in known])
         for word, core, tail in cut:
-            if tail:
+            if word[:1] == BARE:
+                known[word] = known[core][4:] + (self.tails[tail] if tail else b"")
+            elif tail:
                 known[word] = known[core] + self.tails[tail]
 
     def _encode_cores(self, cores: list[str], step: int = 2000) -> None:
