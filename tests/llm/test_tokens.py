@@ -111,6 +111,33 @@ def test_packing(spark):
     assert check_packing(rows, docs, 16) == 0
 
 
+def test_packing_rounds(spark, monkeypatch):
+    """Leftovers of many splits are placed by the rule again; groups and poured groups of any size lose nothing."""
+    rng = np.random.default_rng(5)
+    texts = ["same words here", *TEXTS, *(" ".join(["ab", "cd ef", "x"][k % 3] for k in range(n)) for n in rng.integers(0, 60, 500).tolist())]
+    docs = list(enumerate(texts))
+    for group, pour in ((200_000, 20_000), (100, 7)):
+        monkeypatch.setattr(packing, "GROUP", group)
+        monkeypatch.setattr(packing, "POUR", pour)
+        rows = packing.pack(frame(spark, texts).repartition(6), tokenizer_path(), size=64).collect()
+        assert check_packing([r for r in rows], docs, 64) == 0
+        sums = {}
+        for r in rows:
+            sums.setdefault((r["sequence_id"], r["by_rule"]), []).append(r["length"])
+        assert len({s for s, _ in sums}) == len(sums)
+        assert all(sum(n) == 64 for (_, ruled), n in sums.items() if ruled)
+        assert any(r["by_rule"] and r["sequence_id"] >= 1 << 55 for r in rows)  # windows that a later round has filled
+
+
+def test_packing_without_ids_and_with_repeats(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "c"), (5, "c"), (None, None)], "doc_id long, text string")
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    total = 2 * (len(plain("a b")) + 1) + 2 * (len(plain("c")) + 1) + 1
+    assert sum(r["length"] for r in rows) == total
+    places = sorted((r["sequence_id"], r["offset"] + k) for r in rows for k in range(r["length"]))
+    assert len(set(places)) == total
+
+
 def test_sum_of_squares_rule():
     """Each placement makes the sum of squared counts as small as any other would."""
     rng = np.random.default_rng(3)
@@ -126,7 +153,7 @@ def test_sum_of_squares_rule():
                     after[h + s] += 1
                 cost[h] = sum(n * n for n in after[1:32])
         before = packer.levels.copy()
-        packer.add(("d", 0, b"", 0), s)
+        packer.add(("d", 0, b"", 0, 0), s)
         gone = [h for h in range(1, 32) if packer.levels[h] < before[h]]
         # A window that moves from h to h + s may also show as no change at all when s levels are the same count.
         h = gone[0] if gone else 0

@@ -1,4 +1,4 @@
-"""Sum-of-squares packing of documents into training windows."""
+"""Sum-of-squares packing of documents into training windows, in rounds of bounded groups."""
 
 from __future__ import annotations
 
@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.encoding import encoder, slices
+from tracelake.session import persist_table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Pieces that one task of a later round places, about (they are dealt by hash), and pieces that one task pours out with their ids.
+GROUP, POUR = 200_000, 20_000
+#: A pass that leaves more than this share of its pieces in open windows is the last one over them.
+SHRINKS = 0.9
 
 
 class Packer:
@@ -52,16 +57,10 @@ class Packer:
                 yield from window
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pieces of all documents in sequences of at most ``size`` tokens, columns as in ``SCHEMA``.
-
-    A document's ids (a missing text counts as empty) and ``end_id`` are cut into full sequences and one last piece, which the
-    sum-of-squares rule places. Windows still open when a task's rows end are poured out and cut anew into full sequences;
-    the last tokens go to sequences of powers of two, which need no padding. Each id is in exactly one piece.
+def _in_splits(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str, doc_id: str) -> DataFrame:
+    """First round: pieces as each split's rows arrive. Those of open windows have no ``sequence_id`` but their ``ids``.
 
-    A task packs its own split of the input, so nothing is shuffled, and a task that runs again makes the same sequences:
-    the number of the task is the upper part of ``sequence_id``. Rows without ``doc_id`` and repeated rows are packed like
-    any other; an empty table gives no row.
+    ``part`` and ``n`` are the number of the split and of the piece in it.
     """
 
     def packed(batches):
@@ -72,22 +71,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, tex
         from pyspark import TaskContext
 
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        packer = Packer(size, TaskContext.get().partitionId() << 33)
+        part, number = TaskContext.get().partitionId(), 0
+        packer = Packer(size, part << 33)
         rows: list[tuple] = []
+        names = [*(c.split()[0] for c in SCHEMA.split(", ")), "part", "n", "ids"]
 
         def emit(window):
             offset = 0
-            for doc, start, ids, total in window:
-                n = len(ids) // 4
-                rows.append((doc, start, n, crc32(ids), total, packer.next_id, offset))
-                offset += n
+            for doc, start, ids, total, n in window:
+                rows.append((doc, start, len(ids) // 4, crc32(ids), total, packer.next_id, offset, part, n, None))
+                offset += len(ids) // 4
             packer.next_id += 1
 
         def flush():
-            kinds = [pa.int64()] * 7
-            columns = zip(*rows) if rows else [[]] * 7
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            columns = zip(*rows) if rows else [[]] * len(names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "ids" else pa.int64()) for c, name in zip(columns, names)], names)
             rows.clear()
             return batch
 
@@ -98,27 +96,117 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, tex
                     tokens += end
                     total = len(tokens) // 4
                     for start in range(0, total, size):
-                        part = tokens[4 * start : 4 * (start + size)]
-                        window = packer.add((doc, start, part, total), len(part) // 4)
+                        own = tokens[4 * start : 4 * (start + size)]
+                        window = packer.add((doc, start, own, total, number), len(own) // 4)
+                        number += 1
                         if window:
                             emit(window)
                 if len(rows) > 10_000:
                     yield flush()
-        left = list(packer.rest())
-        tokens = sum(len(p[2]) for p in left) // 4
-        window, room = [], 0
-        for doc, start, part, total in left:
-            while part:
-                if not room:  # the next sequence: a full one, or the largest power of two that the rest fills
-                    room = size if tokens >= size else 1 << (tokens.bit_length() - 1)
-                now = part[: 4 * room]
-                window.append((doc, start, now, total))
-                n = len(now) // 4
-                part, start, room, tokens = part[4 * n :], start + n, room - n, tokens - n
-                if not room:
-                    emit(window)
-                    window = []
+        for doc, start, ids, total, n in packer.rest():
+            rows.append((doc, start, len(ids) // 4, crc32(ids), total, None, None, part, n, ids))
+            if len(rows) > 10_000:
+                yield flush()
         yield flush()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(packed, SCHEMA)
+    return slim.mapInArrow(packed, f"{SCHEMA}, part long, n long, ids binary")
+
+
+def _again(left: DataFrame, groups: int, number: int, size: int) -> DataFrame:
+    """A later round: the rule goes on in each group, first by hash, then over what that leaves, the longest pieces first."""
+
+    def fill(table):
+        import numpy as np
+        import pyarrow as pa
+
+        lengths = table.column("length").to_numpy()
+        order = np.lexsort([table.column(c).to_numpy() for c in ("n", "part", "deal")]).tolist()
+        first = (number << 55) + ((table.column("group")[0].as_py() << 28) if len(lengths) else 0)
+        sequence, offset = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+        while order:
+            packer = Packer(size, first)
+            for i in order:
+                window = packer.add(i, int(lengths[i]))
+                if window:
+                    sequence[window] = first
+                    offset[window] = np.cumsum(lengths[window]) - lengths[window]
+                    first += 1
+            before, order = len(order), list(packer.rest())
+            order.sort(key=lambda i: -lengths[i])
+            if len(order) > SHRINKS * before:
+                break
+        out = table.drop_columns(["group", "deal"])
+        out = out.append_column("sequence_id", pa.array(sequence, pa.int64(), mask=sequence < 0))
+        return out.append_column("offset", pa.array(offset, pa.int64()))
+
+    deal = F.xxhash64("part", "n", F.lit(number))
+    dealt = left.withColumn("deal", deal).withColumn("group", F.pmod("deal", F.lit(groups)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema) + ", sequence_id bigint, offset bigint"
+    return dealt.groupBy("group").applyInArrow(fill, schema)
+
+
+def _poured(left: DataFrame, groups: int, size: int) -> DataFrame:
+    """Pieces with their ``ids`` cut anew into full sequences; a group's last tokens go to powers of two."""
+
+    def pour(table):
+        from zlib import crc32
+
+        import pyarrow as pa
+
+        pieces = table.sort_by([("part", "ascending"), ("n", "ascending")]).to_pylist()
+        tokens = sum(p["length"] for p in pieces)
+        sequence = (60 << 55) + ((pieces[0]["group"] << 28) if pieces else 0)
+        rows, room, offset = [], 0, 0
+        for p in pieces:
+            ids, start = p["ids"], p["start"]
+            while ids:
+                if not room:  # the next sequence: a full one, or the largest power of two that the rest fills
+                    room, offset = size if tokens >= size else 1 << (tokens.bit_length() - 1), 0
+                    sequence += 1
+                now = ids[: 4 * room]
+                n = len(now) // 4
+                rows.append((p["doc_id"], start, n, crc32(now), p["doc_tokens"], sequence, offset))
+                ids, start, room, offset, tokens = ids[4 * n :], start + n, room - n, offset + n, tokens - n
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
+
+    dealt = left.withColumn("group", F.pmod(F.xxhash64("part", "n"), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(pour, SCHEMA)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Pieces of all documents in sequences of at most ``size`` tokens, columns as in ``SCHEMA`` and ``by_rule``.
+
+    A document's ids (a missing text counts as empty) and ``end_id`` are cut into full sequences and one last piece, which the
+    sum-of-squares rule places, split by split as the rows arrive. Pieces of windows that are still open when a split ends go on
+    to a second round, without their ids, in groups of the leftovers of many splits, and so on until one group is left or
+    few windows get full. What the last round leaves, about one open window for each level and group, is poured out: cut anew
+    into full sequences, the last tokens into powers of two, which need no padding. ``by_rule`` says that the rule has filled the
+    piece's sequence (or that the piece fills it alone). Each id is in exactly one piece.
+
+    Each round reads a written table or the input's own splits, so a task that runs again makes the same sequences. Rows without
+    ``doc_id`` and repeated rows are packed like any other, columns beyond the two are not looked at; an empty table gives no row.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    first = persist_table(_in_splits(docs, tokenizer, end_id, size, text, doc_id), "packed-0")
+    placed = F.col("sequence_id").isNotNull()
+    done = [first.filter(placed).select(*names, F.lit(True).alias("by_rule"))]
+    left = first.filter(~placed).drop("sequence_id", "offset", "ids")
+    held, number = left.count(), 1
+    while held:
+        groups = -(-held // GROUP)
+        packed = persist_table(_again(left, groups, number, size), f"packed-{number}")
+        done.append(packed.filter(placed).select(*names, F.lit(True).alias("by_rule")))
+        left = packed.filter(~placed).drop("sequence_id", "offset")
+        before, held, number = held, left.count(), number + 1
+        if groups == 1 or held > SHRINKS * before:
+            break
+    if held:
+        ids = first.filter(~placed).select("part", "n", "ids")
+        poured = _poured(left.join(ids, ["part", "n"]), -(-held // POUR), size)
+        done.append(poured.withColumn("by_rule", F.lit(False)))
+    out = done[0]
+    for rows in done[1:]:
+        out = out.unionByName(rows)
+    return out
