@@ -93,22 +93,30 @@ class WordEncoder:
                 marked.append(i)
             else:  # A line end becomes a word that starts with it; the one put before the first word is cut off again.
                 plain.append((i, ("\n" + t).replace("\n", " \n").split(" ")[1:]))
-        known = self.words.__getitem__
-        self._learn([words for _, words in plain])
-        for i, words in plain:
+        for (i, _), found in zip(plain, self._found([words for _, words in plain])):
             try:
-                out[i] = b"".join(map(known, words))[4:]
+                out[i] = b"".join(found)[4:]
             except TypeError:  # a word that is no unit of its own, or a long one
                 marked.append(i)
         split = [units(texts[i]) for i in marked]
-        self._learn(split)
-        for i, words in zip(marked, split):
+        for i, words, found in zip(marked, split, self._found(split)):
             try:
-                out[i] = b"".join(map(known, words))
+                out[i] = b"".join(found)
             except TypeError:
-                out[i] = b"".join(self._alone(w) if self.words[w] is None else self.words[w] for w in words)
+                out[i] = b"".join(self._alone(w) if ids is None else ids for w, ids in zip(words, found))
         return out
 
+    def _found(self, parts: list[list[str]]) -> list[list[bytes | None]]:
+        """Ids of each unit, ``None`` for those that are not kept. Units met before are looked up once."""
+        get, known = self.words.get, self.words
+        found = [list(map(get, words)) for words in parts]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        self._learn({words[i] for words, gap in zip(parts, gaps) for i in gap if words[i] not in known})
+        for words, row, gap in zip(parts, found, gaps):
+            for i in gap:
+                row[i] = known[words[i]]
+        return found
+
     def _alone(self, word: str) -> bytes:
         """Ids of a unit that is not kept."""
         if word[0] == RUN:
@@ -117,12 +125,13 @@ class WordEncoder:
             return self.whole(word[1:])
         return self.whole(word if word[0] == "\n" else " " + word)
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        known, fresh = self.words, set()
-        for words in parts:
-            fresh.update(filterfalse(known.__contains__, words))
-        cut, wanted = [], set()
-        for word in fresh:
+    def _learn(self, fresh: set[str]) -> None:
+        known = self.words
+        cut, wanted = [], set(filter(str.isalpha, fresh))  # letters behind a blank are what the library encodes
+        for word in [w for w in wanted if len(w) > LONGEST_WORD]:
+            wanted.remove(word)
+            known[word] = None
+        for word in filterfalse(str.isalpha, fresh):
             head = word[:1]
             if head == RUN:
                 known[word] = self._alone(word) if len(word) <= LONGEST_WORD else None
@@ -141,17 +150,20 @@ class WordEncoder:
                     self.tails[tail] = self.whole(tail)
             core = front + core
             wanted.add(core)
-            cut.append((word, core, tail))
+            if tail or head == BARE:
+                cut.append((word, core, tail))
         self._encode_cores([c for c in wanted if c not in known])
         for word, core, tail in cut:
             if word[:1] == BARE:
                 known[word] = known[core][4:] + (self.tails[tail] if tail else b"")
-            elif tail:
+            else:
                 known[word] = known[core] + self.tails[tail]
 
-    def _encode_cores(self, cores: list[str], step: int = 2000) -> None:
+    def _encode_cores(self, cores: list[str], step: int = 100) -> None:
         """Many cores in one call, each behind a line end, whose id marks where the one before ends.
 
+        Calls of some hundred words cost less for each than longer ones, whose offsets no cache holds.
+
         A core that starts a line has no blank in front; every other one has.
         """
         np, known = self.np, self.words
