@@ -111,7 +111,7 @@ class WordEncoder:
         get, known = self.words.get, self.words
         found = [list(map(get, words)) for words in parts]
         gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
-        self._learn({words[i] for words, gap in zip(parts, gaps) for i in gap if words[i] not in known})
+        self._learn({words[i] for words, gap in zip(parts, gaps) for i in gap})
         for words, row, gap in zip(parts, found, gaps):
             for i in gap:
                 row[i] = known[words[i]]
@@ -127,9 +127,9 @@ class WordEncoder:
 
     def _learn(self, fresh: set[str]) -> None:
         known = self.words
-        cut, wanted = [], set(filter(str.isalpha, fresh))  # letters behind a blank are what the library encodes
-        for word in [w for w in wanted if len(w) > LONGEST_WORD]:
-            wanted.remove(word)
+        cut, wanted, letters = [], set(), set(filter(str.isalpha, fresh))  # letters behind a blank are what the library encodes
+        for word in [w for w in letters if len(w) > LONGEST_WORD]:
+            letters.remove(word)
             known[word] = None
         for word in filterfalse(str.isalpha, fresh):
             head = word[:1]
@@ -152,7 +152,7 @@ class WordEncoder:
             wanted.add(core)
             if tail or head == BARE:
                 cut.append((word, core, tail))
-        self._encode_cores([c for c in wanted if c not in known])
+        self._encode_cores([*letters, *(c for c in wanted if c not in known and c not in letters)])
         for word, core, tail in cut:
             if word[:1] == BARE:
                 known[word] = known[core][4:] + (self.tails[tail] if tail else b"")
