@@ -303,7 +303,8 @@ def _long_chains(spark, sf, linked: bool):
     user = F.regexp_extract("trace_group_id", "[0-9]+", 0).cast("long")
     before = F.lag("id").over(Window.partitionBy("trace_group_id").orderBy("created_at", "id"))
     meta = F.to_json(F.struct(before.alias("lineage_parent_checkpoint_id"))) if linked else F.lit("{}")
-    return t.withColumns({"metadata": meta, "trace_group_id": F.concat(F.lit("long-"), (user % 5).cast("string")), "org_id": F.lit("o"), "workspace_id": F.lit("w")})
+    group = F.concat(F.lit("long-"), (user % 5).cast("string")).alias("trace_group_id")
+    return t.select("id", "timestamp", "created_at", meta.alias("metadata"), group, F.lit("o").alias("org_id"), F.lit("w").alias("workspace_id"))
 
 
 @query("j6_parent_link_long", on_traces(f"SELECT id, parent_id FROM ({_LONG}) WHERE parent_id IS NOT NULL"))

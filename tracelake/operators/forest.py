@@ -20,14 +20,18 @@ def _empty(rows: DataFrame) -> bool:
 
 
 def parent_nodes(nodes: DataFrame) -> DataFrame:
-    """``node, up``: the node that owns the parent's checkpoint id in the same chain, for nodes that have one.
+    """``chain, node, up, backward``: the node that owns the parent's checkpoint id in the same chain, for nodes that have one.
 
-    Of several nodes with one checkpoint id the newest owns it; a node is never its own parent.
+    Of several nodes with one checkpoint id the newest owns it; a node is never its own parent. ``backward`` links lead to a parent that comes later
+    than its child by time, id and the newest row.
     """
-    owners = nodes.filter(F.col("checkpoint_id") != "").groupBy("chain", F.col("checkpoint_id").alias("parent_checkpoint_id"))
-    owners = owners.agg(F.max(F.struct("created_at", "id", "node")).alias("o")).select("chain", "parent_checkpoint_id", F.col("o.node").alias("up"))
-    children = nodes.filter(F.col("parent_checkpoint_id") != "").select("chain", "parent_checkpoint_id", "node")
-    return children.join(owners, ["chain", "parent_checkpoint_id"]).filter(F.col("up") != F.col("node")).select("node", "up")
+    newest_first = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1))
+    timed = nodes.withColumn("age", F.struct("order_time", "id", newest_first.alias("recent"), "node"))
+    owners = timed.filter(F.col("checkpoint_id") != "").groupBy("chain", F.col("checkpoint_id").alias("parent_checkpoint_id"))
+    owners = owners.agg(F.max(F.struct("created_at", "id", "node", "age")).alias("o")).select("chain", "parent_checkpoint_id", F.col("o.node").alias("up"), F.col("o.age").alias("up_age"))
+    children = timed.filter(F.col("parent_checkpoint_id") != "").select("chain", "parent_checkpoint_id", "node", "age")
+    links = children.join(owners, ["chain", "parent_checkpoint_id"]).filter(F.col("up") != F.col("node"))
+    return links.select("chain", "node", "up", (~(F.col("up_age") < F.col("age"))).alias("backward"))
 
 
 def _of_up(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
@@ -36,19 +40,16 @@ def _of_up(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
     return rows.join(seen, "up", "left")
 
 
-def _rootless(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _rootless(links: DataFrame) -> DataFrame:
     """``node, on_cycle`` of the nodes from which no root is reached: those on cycles and those that hang below one.
 
-    Only chains in which a parent is not older than its child can have cycles. There, pointers double until they
+    Only chains with a backward link can have cycles. There, pointers double until they
     span the longest of them: what has not come out by then ends on a cycle, and the nodes it ends at are the cycles' nodes.
     """
-    when = F.struct("order_time", "id", "node")
-    aged = links.join(nodes.select("node", "chain", when.alias("age")), "node")
-    aged = _of_up(aged, nodes.select("node", when.alias("age")), "age")
-    doubtful = persist_table(aged.filter(~(F.col("up_age") < F.col("age"))).select("chain").distinct(), "doubtful")
+    doubtful = persist_table(links.filter("backward").select("chain").distinct(), "doubtful")
     if _empty(doubtful):
         return links.filter("false").select("node", F.lit(False).alias("on_cycle"))
-    jumps = persist_table(aged.join(doubtful, "chain", "left_semi").select("chain", "node", "up"), "jumps")
+    jumps = persist_table(links.join(doubtful, "chain", "left_semi").select("chain", "node", "up"), "jumps")
     longest = jumps.groupBy("chain").count().agg(F.max("count")).first()[0]
     jumps, span = jumps.drop("chain"), 1
     while span <= longest:
@@ -113,7 +114,13 @@ def resolved_numbers(nodes: DataFrame, links: DataFrame, rootless: DataFrame) ->
     A node below a numbered parent follows it. Of the others, one with numbered descendants takes the smallest number that
     leaves room for the steps down to them. The rest count on from the nearest numbered ancestor. On a cycle only the first rule holds.
     """
+    # Chains without any number have none to fill.
+    some = nodes.filter("seq > 0").select("chain").distinct()
+    counted = persist_table(nodes.join(some, "chain", "left_semi").select("node"), "counted-nodes")
     given = nodes.select("node", F.greatest(F.coalesce("seq", F.lit(0)), F.lit(0)).cast("bigint").alias("seq"))
+    if _empty(counted):
+        return given
+    links = links.join(counted, "node", "left_semi")
     after = _of_up(given.join(links, "node", "left"), given, "seq")
     first = persist_table(after.select("node", F.when(F.col("seq") > 0, F.col("seq")).when(F.col("up_seq") > 0, F.col("up_seq") + 1).otherwise(F.lit(0)).cast("bigint").alias("seq")), "numbers")
     tied = links.select("node").unionByName(links.select(F.col("up").alias("node"))).distinct()
@@ -177,16 +184,37 @@ def order_forest(nodes: DataFrame) -> DataFrame:
     follows at the end in the same order. Ids may repeat or be missing.
     """
     links = persist_table(parent_nodes(nodes), "links")
-    linked = not _empty(links)
-    rootless = _rootless(nodes, links) if linked else links.filter("false").select("node", F.lit(False).alias("on_cycle"))
-    plain = nodes.select("node", F.greatest(F.coalesce("seq", F.lit(0)), F.lit(0)).cast("bigint").alias("seq"))
-    numbers = resolved_numbers(nodes, links, rootless) if linked else plain
-    sorting = nodes.select("chain", "node", "order_time", "id", "created_at").join(numbers, "node").withColumn("late", F.col("seq") == 0)
+    if _empty(links):
+        return _by_rank(nodes)
+    # In other chains every parent is placed before its child by time already, and there is no number to fill: the order is that of time.
+    numbers = links.select("chain").distinct().join(nodes.filter("seq > 0").select("chain").distinct(), "chain", "left_semi")
+    tangled = persist_table(links.filter("backward").select("chain").unionByName(numbers).distinct(), "tangled-chains")
+    if _empty(tangled):
+        return _by_rank(nodes)
+    # Most tables have chains of both kinds; written, as each round reads them again.
+    walked = _walked(persist_table(nodes.join(tangled, "chain", "left_semi"), "tangled-nodes"), persist_table(links.join(tangled, "chain", "left_semi"), "tangled-links"))
+    plain = nodes.join(tangled, "chain", "left_anti")
+    return walked if _empty(plain) else walked.unionByName(_by_rank(plain))
+
+
+def _ranked(nodes: DataFrame) -> DataFrame:
+    """Adds to nodes with filled numbers the ``rank`` in the chain that they have without links, and the chain's size."""
     order = [F.col("late"), F.col("seq"), F.col("order_time"), F.col("id"), F.col("created_at").desc(), F.col("node")]
-    ranks = numbered(sorting, ["chain"], order, "rank", "chain_size")
-    plain = ranks.select("node", F.col("rank").alias("step"), F.col("seq").alias("resolved_seq"), "chain_size")
-    if not linked:
-        return plain
+    return numbered(nodes.withColumn("late", F.col("seq") == 0), ["chain"], order, "rank", "chain_size")
+
+
+def _by_rank(nodes: DataFrame) -> DataFrame:
+    """Order of chains in which links change nothing: known numbers, time, id and the newest row decide."""
+    given = F.greatest(F.coalesce("seq", F.lit(0)), F.lit(0)).cast("bigint")
+    ranks = _ranked(nodes.select("chain", "node", "order_time", "id", "created_at", given.alias("seq")))
+    return ranks.select("node", F.col("rank").alias("step"), F.col("seq").alias("resolved_seq"), "chain_size")
+
+
+def _walked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Order of chains in which links count."""
+    rootless, links = _rootless(links), links.select("node", "up")
+    numbers = resolved_numbers(nodes, links, rootless)
+    ranks = _ranked(nodes.select("chain", "node", "order_time", "id", "created_at").join(numbers, "node"))
     ranks = persist_table(ranks.select("chain", "node", "seq", "rank", "chain_size"), "ranks")
     backward = _of_up(links.join(ranks.select("chain", "node", "rank"), "node"), ranks, "rank").filter("up_rank > rank")
     waiting = persist_table(backward.select("chain").distinct(), "waiting-chains")
