@@ -65,6 +65,15 @@ def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Apply :func:`digested` to the traces before their chains are built, so bodies are never moved.
     """
+    paired = with_differences(ordered, keys, True)
+    return paired.select(*keys, "step", *[c for c in paired.columns if c not in ordered.columns])
+
+
+def with_differences(ordered: DataFrame, keys: Sequence[str], only: bool = False) -> DataFrame:
+    """``ordered`` with the differences to the step before (``only``: without the steps that have none before them).
+
+    One window does it: nothing is joined, and differences nobody asks for are not computed.
+    """
     keys = list(keys)
     fields = [squeeze(F.col("id")).alias("id")]
     fields += [squeeze(F.coalesce(c, F.lit(""))).alias(c) for c in TRIMMED]
@@ -72,14 +81,20 @@ def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields += [F.coalesce(c, F.lit(0)).alias(c) for c in DELTAS]
     fields += [_digest(ordered, c).alias(c) for c in TEXTS]
     fields += [canonical_values(F.coalesce("metadata", F.lit(""))).alias("meta")]
-    slim = ordered.select(*keys, "step", F.struct(*fields).alias("now"))
+    # Column by column, so that only those asked for are computed and moved.
+    now = {n: f"_now_{i}" for i, n in enumerate(["id", *TRIMMED, "response_status", *DELTAS, *TEXTS, "meta"])}
+    slim = ordered.withColumns(dict(zip(now.values(), fields, strict=True)))
     # Chains are cut into stretches; the last step of one is also shown to the next, so no window holds more than a stretch.
     own = F.floor(F.col("step") / STRETCH)
     shown = F.when((F.col("step") + 1) % STRETCH == 0, F.array(own, own + 1)).otherwise(F.array(own))
     slim = slim.withColumn("_own", own).withColumn("_stretch", F.explode(shown))
-    before = F.lag("now").over(Window.partitionBy(*keys, "_stretch").orderBy("step"))
-    paired = slim.withColumn("was", before).filter(F.col("was").isNotNull() & (F.col("_own") == F.col("_stretch")))
-    was, now = F.col("was"), F.col("now")
+    steps = Window.partitionBy(*keys, "_stretch").orderBy("step")
+    was = {n: f"_was{c}" for n, c in now.items()}
+    before = {"_was": F.lag(F.lit(True)).over(steps), **{was[n]: F.lag(c).over(steps) for n, c in now.items()}}
+    paired = slim.withColumns(before).filter(F.col("_own") == F.col("_stretch"))
+    was, now = ({n: F.col(c) for n, c in side.items()} for side in (was, now))
+    if only:
+        paired = paired.filter("_was")
     out = [was["id"].alias("from_checkpoint_id"), now["id"].alias("to_checkpoint_id")]
     out += [(was[c] != now[c]).alias(f"{c}_changed") for c in TRIMMED]
     out += [(~was["response_status"].eqNullSafe(now["response_status"])).alias("response_status_changed")]
@@ -91,4 +106,7 @@ def checkpoint_diffs(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
             now[c]["size"].alias(f"{c}_bytes_to"),
         ]
     out += [c.alias(n) for n, c in key_changes(was["meta"], now["meta"]).items()]
-    return paired.select(*keys, "step", *out)
+    names = ["from_checkpoint_id", "to_checkpoint_id", *[f"{c}_changed" for c in (*TRIMMED, "response_status")], *[f"{c}_delta" for c in DELTAS]]
+    names += [f"{c}_{n}" for c in TEXTS for n in ("changed", "bytes_from", "bytes_to")]
+    names += [f"metadata_keys_{n}" for n in ("added", "removed", "changed")]
+    return paired.select(*ordered.columns, *[F.when(F.col("_was"), c).alias(n) for n, c in zip(names, out, strict=True)])

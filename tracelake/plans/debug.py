@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.diffs import checkpoint_diffs, digested
+from tracelake.operators.diffs import digested, with_differences
 from tracelake.operators.lineage import CHAIN_KEYS, chain_identifier, ordered_chains
 from tracelake.sources.store import hydrate
 
@@ -23,8 +23,8 @@ def debug_chain(traces: DataFrame, bodies: DataFrame | None = None, limit: int |
     """
     ordered = ordered_chains(digested(traces), limit)
     keys = list(CHAIN_KEYS)
-    diffs = checkpoint_diffs(ordered, keys)
-    chain = ordered.join(diffs, [*keys, "step"], "left")
+    chain = with_differences(ordered, keys)
+    chain = chain.select(*keys, "step", *[c for c in chain.columns if c not in (*keys, "step")])
     if bodies is not None:
         empty = F.lit(None).cast("string")
         chain = hydrate(chain.withColumns({"request_body": empty, "response_body": empty}), bodies)
@@ -44,8 +44,9 @@ def export_bundles(chain: DataFrame, path: str) -> DataFrame:
     fields = [c for c in ("step", "id", "order_time", "provider", "model", "request_path", "response_status", "total_tokens", "latency_ms", "metadata", "request_body", "response_body") if c in chain.columns]
     line = F.to_json(F.struct(F.lit(DOCUMENT_VERSION).alias("schema_version"), *keys, "lineage_identifier", "truncated", *fields))
     folder = os.path.join(path, "chains")
-    lines = chain.select(F.sha2(F.concat_ws("|", *keys), 256).alias("name"), "step", line.alias("document"))
-    lines.repartitionByRange("name", "step").sortWithinPartitions("name", "step").write.mode("overwrite").option("compression", "gzip").json(folder)
+    slim = chain.select(F.sha2(F.concat_ws("|", *keys), 256).alias("name"), "step", *dict.fromkeys([*keys, "lineage_identifier", "truncated", *fields[1:]]))
+    # Lines are made behind the sort: its sample reads the rows once more.
+    slim.repartitionByRange("name", "step").sortWithinPartitions("name", "step").select("name", "step", line.alias("document")).write.mode("overwrite").option("compression", "gzip").json(folder)
     written = spark.read.schema("name string, step int, document string").json(folder)
     each = written.select("name", F.struct("step", F.sha2("document", 256).alias("sha")).alias("line"), F.octet_length("document").alias("size"))
     in_order = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["sha"]), ""), 256)
