@@ -4,7 +4,7 @@
    Documents with equal sets are one class from here on, represented by the smallest id.
 2. Classes that share a band's key are candidates. Inside a bucket signatures are compared in batches; after each batch the pairs
    whose similarity is at least the threshold only with a small posterior chance are dropped (``layout``). What survives links
-   classes to families. A bucket is cut into blocks that meet pairwise, and a task returns the links of a spanning forest only.
+   classes to families. A bucket is cut into blocks; a block returns the links of a spanning forest only, and blocks then meet pairwise to link what is not connected yet.
 3. The full sets of a family's classes meet in blocks again. Pairs that survive the same test and are not yet connected are verified
    on their sets. Again a task returns a spanning forest, and the forests' components are the result.
 
@@ -165,10 +165,6 @@ def compare(ids, signatures, left, right, bounds, groups: Groups, verify=None) -
                 groups.join(i, j)
 
 
-def _forest(ids, groups: Groups) -> list[tuple[int, int]]:
-    return [(ids[i], ids[groups.find(i)]) for i in range(len(ids)) if groups.find(i) != i]
-
-
 def _sides(side) -> tuple[list[int], list[int]]:
     """Places of the rows of either block; twice the same list if there is one block only."""
     import numpy as np
@@ -177,20 +173,46 @@ def _sides(side) -> tuple[list[int], list[int]]:
     return own, np.flatnonzero(side != side.min()).tolist() or own
 
 
-def _meet(table, ids, signatures, side, bounds, verify=None) -> list[tuple[int, int]]:
+def _meet(table, ids, signatures, side, label, bounds, verify=None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the rows, without those between rows that have one ``label`` already."""
     groups, (own, other) = Groups(len(ids)), _sides(side)
+    first: dict[int, int] = {}
+    for place, name in enumerate(label.tolist()):
+        groups.join(first.setdefault(name, place), place)
+    known = [groups.find(i) for i in range(len(ids))]
     if other is not own or table.column("i")[0] == table.column("j")[0]:
         compare(ids, signatures, own, other, bounds, groups, verify)
-    return _forest(ids.tolist(), groups)
+    named = ids.tolist()
+    # Of each known group its first row stands for the rest.
+    return [(named[i], named[groups.find(i)]) for i in range(len(named)) if known[i] == i and groups.find(i) != i]
 
 
-def dealt(rows: DataFrame, group: list[str], member: str = "rep", block: int = BLOCK) -> DataFrame:
-    """Rows of a group (``n`` of them) in blocks that meet pairwise: adds ``i, j, side``. Small groups stay whole."""
+def dealt(rows: DataFrame, member: str = "rep", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups (``n`` of them) in blocks, ``i, j, side`` added: each block by itself, and all pairs of two blocks. Small groups are one block."""
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     rows = rows.withColumn("_own", F.pmod(F.xxhash64(member), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.withColumn("_other", other)
-    return rows.select(*[c for c in rows.columns if c not in ("_own", "_other", "n")], F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.col("_own").alias("side"))
+    plain = [c for c in rows.columns if c not in ("_own", "n")]
+    alone = rows.select(*plain, F.col("_own").alias("i"), F.col("_own").alias("j"), F.col("_own").alias("side"))
+    several = rows.filter(F.col("n") > block).withColumn("_other", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != F.col("_own"))))
+    return alone, several.select(*plain, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.col("_own").alias("side"))
+
+
+def linked(rows: DataFrame, group: list[str], sizes: DataFrame, fn, name: str, more: DataFrame | None = None) -> DataFrame:
+    """Links ``a, b`` by which the rows of each group hang together: blocks first, with the links in ``more``, then pairs of blocks.
+
+    Pairs of blocks meet with the components that blocks have found (``sizes`` holds each group's ``n``), and return only what links two of them. A group of copies is linked by its blocks:
+    its links grow with its rows, not with its pairs of blocks.
+    """
+    alone, several = dealt(rows)
+    own = F.col("rep").alias("label")
+    links = by_group(alone.select("*", own), [*group, "i", "j"], fn, "a long, b long")
+    links = links if more is None else links.unionByName(more)
+    if dealt(sizes.select("n", F.lit(0).alias("rep")))[1].isEmpty():
+        return links
+    links = persist_table(links, f"{name}-block-links")
+    found = components(links, f"{name}-blocks").withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
+    met = several.join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    return links.unionByName(by_group(met, [*group, "i", "j"], fn, "a long, b long"))
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -247,14 +269,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
         ids = np.array(table.column("rep"), dtype=np.int64)
         order = np.argsort(ids)
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        return _meet(table, ids[order], signatures[order], np.array(table.column("side"))[order], bounds)
+        return _meet(table, ids[order], signatures[order], np.array(table.column("side"))[order], np.array(table.column("label"))[order], bounds)
 
     # Two members are a pair whatever the band: most pairs share several.
     pairs = shared.filter("n = 2").select("a", "b").distinct()
     pairs = pairs.join(signed.withColumnRenamed("rep", "a").withColumnRenamed("signature", "x"), "a").join(signed.withColumnRenamed("rep", "b").withColumnRenamed("signature", "y"), "b")
     pairs = pairs.select("a", "b", "x", "y").mapInArrow(plausible_pairs, "a long, b long")
     members = keyed.join(shared.filter("n > 2").select("band", "key", "n"), ["band", "key"]).join(signed, "rep")
-    links = by_group(dealt(members, ["band", "key"]), ["band", "key", "i", "j"], plausible, "a long, b long").unionByName(pairs)
+    links = linked(members, ["band", "key"], shared, plausible, "bucket", pairs)
     families = components(links, "families")
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = families.join(sizes, "component").withColumnRenamed("node", "rep").join(heads.select("rep", "signature", "doc_id", "digest"), "rep")
@@ -281,13 +303,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     wanted = texts.join(placed, "doc_id").select("text", "rep", "component", "n", "signature", "digest")
+    # Read by the blocks and again by their pairs.
     sets = wanted.mapInArrow(full_sets, "rep long, component long, n long, signature binary, shingles binary")
+    sets = sets if sizes.filter(F.col("n") > BLOCK).isEmpty() else persist_table(sets, "full-sets")
 
     def verified(table):
         import numpy as np
 
         ids, first = np.unique(np.array(table.column("rep"), dtype=np.int64), return_index=True)
-        side = np.array(table.column("side"))[first]
+        side, label = (np.array(table.column(c))[first] for c in ("side", "label"))
         raw = table.column("shingles").to_pylist()
         sets = [np.frombuffer(raw[i], dtype=np.uint64) for i in first.tolist()]
         bytes_ = table.column("signature").to_pylist()
@@ -296,7 +320,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
         places = np.split(places, np.cumsum([len(s) for s in sets])[:-1])
         marked, whose = np.zeros(max(int(p.max()) for p in places) + 1, dtype=bool), -1
 
-        def linked(i, j):
+        def similar(i, j):
             nonlocal whose
             if whose != i:
                 if whose >= 0:
@@ -306,9 +330,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
             common = int(marked[places[j]].sum())
             return 100 * common >= threshold * (len(places[i]) + len(places[j]) - common)
 
-        return _meet(table, ids, signatures, side, bounds, linked)
+        return _meet(table, ids, signatures, side, label, bounds, similar)
 
-    true_links = by_group(dealt(sets, ["component"]), ["component", "i", "j"], verified, "a long, b long")
+    true_links = linked(sets, ["component"], sizes, verified, "family")
     # Back to documents: classes by their smallest document, and every document of a class to it.
     named = heads.select("rep", F.col("doc_id").alias("_head"))
     by_doc = true_links.join(named.withColumnRenamed("rep", "a").withColumnRenamed("_head", "x"), "a").join(named.withColumnRenamed("rep", "b").withColumnRenamed("_head", "y"), "b")
