@@ -4,7 +4,8 @@
    Documents with equal sets are one class from here on, represented by the smallest id.
 2. Classes that share a band's key are candidates. Inside a bucket signatures are compared in batches; after each batch the pairs
    whose similarity is at least the threshold only with a small posterior chance are dropped (``layout``). What survives links
-   classes to families. A bucket is cut into blocks; a block returns the links of a spanning forest only, and blocks then meet pairwise to link what is not connected yet.
+   classes to families. A bucket is cut into blocks; a block returns the links of a spanning forest only, and blocks that hold more than one component then
+   meet pairwise to link what is not connected yet.
 3. The full sets of a family's classes meet in blocks again. Pairs that survive the same test and are not yet connected are verified
    on their sets. Again a task returns a spanning forest, and the forests' components are the result.
 
@@ -188,20 +189,41 @@ def _meet(table, ids, signatures, side, label, bounds, verify=None) -> list[tupl
 
 
 def dealt(rows: DataFrame, member: str = "rep", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups (``n`` of them) in blocks, ``i, j, side`` added: each block by itself, and all pairs of two blocks. Small groups are one block."""
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64(member), blocks).cast("int"))
-    plain = [c for c in rows.columns if c not in ("_own", "n")]
-    alone = rows.select(*plain, F.col("_own").alias("i"), F.col("_own").alias("j"), F.col("_own").alias("side"))
-    several = rows.filter(F.col("n") > block).withColumn("_other", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != F.col("_own"))))
-    return alone, several.select(*plain, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.col("_own").alias("side"))
+    """Rows of groups (``n`` of them) in blocks, ``i, j, side`` added: each block by itself. And the rows of groups of several blocks, ``room`` added."""
+    own = F.pmod(F.xxhash64(member), F.ceil(F.col("n") / F.lit(block))).cast("long")
+    plain = [c for c in rows.columns if c != "n"]
+    alone = rows.select(*plain, own.alias("i"), own.alias("j"), own.alias("side"))
+    return alone, rows.filter(F.col("n") > block).select(*plain, F.lit(block).alias("room"))
+
+
+def paired(several: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
+    """Rows of groups of several blocks for all pairs of blocks that may still link something: ``label, i, j, side`` added.
+
+    Blocks are dealt anew. A label (``found`` has ``rep, label``; other rows are their own) of more than a block's rows has blocks to itself, which never meet each other; the rest share
+    blocks, which meet by themselves too. So the rows of a group that hangs together but for a few come once for each block of these few.
+    """
+    several = several.join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    kinds = several.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("_same"), F.max("room").alias("room"))
+    mixed = kinds.filter("_same <= room").groupBy(*group).agg(F.ceil(F.sum("_same") / F.max("room")).alias("_shared"))
+    kinds = kinds.join(mixed, group, "left").withColumn("_whole", F.col("_same") > F.col("room"))
+    # Shared blocks have small numbers, a label's own ones hashes.
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_same") / F.col("room")) - 1), lambda k: F.xxhash64("label", k))
+    shared = F.array(F.pmod(F.xxhash64("label"), F.col("_shared")).cast("long"))
+    kinds = persist_table(kinds.select(*group, "label", "_whole", F.when(F.col("_whole"), own).otherwise(shared).alias("_blocks")), "block-labels")
+    blocks = kinds.select(*group, F.explode("_blocks").alias("id"), F.when(F.col("_whole"), F.col("label")).alias("of")).distinct()
+    blocks = blocks.groupBy(*group).agg(F.collect_list(F.struct("id", "of")).alias("_there"))
+    rows = several.join(kinds, [*group, "label"]).join(blocks, group)
+    rows = rows.withColumn("side", F.element_at("_blocks", (F.pmod(F.xxhash64("rep"), F.size("_blocks")) + 1).cast("int")))
+    others = F.filter("_there", lambda b: F.when(F.col("_whole"), ~b["of"].eqNullSafe(F.col("label"))).otherwise(F.lit(True)))
+    rows = rows.withColumn("_other", F.explode(F.transform(others, lambda b: b["id"])))
+    return rows.select(*(c for c in several.columns if c != "room"), F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side")
 
 
 def linked(rows: DataFrame, group: list[str], sizes: DataFrame, fn, name: str, more: DataFrame | None = None) -> DataFrame:
     """Links ``a, b`` by which the rows of each group hang together: blocks first, with the links in ``more``, then pairs of blocks.
 
     Pairs of blocks meet with the components that blocks have found (``sizes`` holds each group's ``n``), and return only what links two of them. A group of copies is linked by its blocks:
-    its links grow with its rows, not with its pairs of blocks.
+    its links grow with its rows, not with its pairs of blocks. Of what blocks have found each row's link to its component goes on.
     """
     alone, several = dealt(rows)
     own = F.col("rep").alias("label")
@@ -209,22 +231,41 @@ def linked(rows: DataFrame, group: list[str], sizes: DataFrame, fn, name: str, m
     links = links if more is None else links.unionByName(more)
     if dealt(sizes.select("n", F.lit(0).alias("rep")))[1].isEmpty():
         return links
-    links = persist_table(links, f"{name}-block-links")
-    found = components(links, f"{name}-blocks").withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-    met = several.join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    return links.unionByName(by_group(met, [*group, "i", "j"], fn, "a long, b long"))
+    found = components(links, f"{name}-blocks")
+    met = paired(several, group, found.select(F.col("node").alias("rep"), F.col("component").alias("label")))
+    kept = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return kept.unionByName(by_group(met, [*group, "i", "j"], fn, "a long, b long"))
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
-    """``node, component`` for links ``a, b``: each node takes the smallest name around, then its name's name, until nothing changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = persist_table(both, f"{label}-links")
-    names = persist_table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+    """``node, component`` for links ``a, b``, a component named by its smallest node.
+
+    Each node hangs on the smallest one around, and takes the name at the end of that chain. Links between the names go on to the next round,
+    those inside a name are done: a link is read once, and after two rounds at most half of the nodes are left.
+    """
+    links = persist_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-links")
+    names = None
+    while True:
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = chased(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+        if names is None:
+            names = step
+        else:
+            further = names.join(step.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+            names = persist_table(further.select("node", F.coalesce("further", "component").alias("component")), label)
+        left = links.join(step.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        left = left.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        links = persist_table(left, f"{label}-links")
+        if links.isEmpty():
+            return names
+
+
+def chased(names: DataFrame, label: str) -> DataFrame:
+    """``node, component`` with each name replaced by its own name, and so on to the end of the chain; chains shorten to a third at a time."""
     while True:
-        around = both.join(names.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        best = names.join(around, names["node"] == around["a"]).select("node", F.col("component").alias("before"), F.least("component", "near").alias("name"))
-        jump = names.select(F.col("node").alias("name"), F.col("component").alias("further"))
-        now = best.join(jump, "name").select("node", "before", F.least("name", "further").alias("component"))
+        jump = names.select(F.col("node").alias("component"), F.col("component").alias("before"))
+        again = names.select(F.col("node").alias("before"), F.col("component").alias("further"))
+        now = names.join(jump, "component").select("node", "before").join(again, "before").select("node", "before", F.col("further").alias("component"))
         now = persist_table(now, label)
         names = now.select("node", "component")
         if now.filter("component < before").isEmpty():
