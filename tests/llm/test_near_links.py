@@ -94,3 +94,28 @@ def test_components_read_a_link_once(spark, monkeypatch):
     assert {r["node"]: r["component"] for r in got.collect()} == {x: groups.find(x) for link in links for x in link}
     # Every link in either direction was read by each round: 7,000 rows and more.
     assert sum(n for label, n in written if label.endswith("-links")) <= 1.2 * len(links)
+
+
+def test_pairs_of_blocks_link_names():
+    """What hangs together already is linked by its name, whichever of its rows meet."""
+    import pyarrow as pa
+
+    table = pa.table({"i": [0] * 4, "j": [1] * 4})
+    signatures = np.ones((4, 4), dtype=np.uint8)
+    links = near_dedup._meet(table, np.array([15, 16, 25, 26]), signatures, np.array([0, 0, 1, 1]), np.array([1, 1, 2, 2]), [(4, 4)])
+    assert links == [(2, 1)]
+
+
+@pytest.mark.parametrize("n", [40, 80])
+def test_tables_written_for_a_family_of_many_blocks(spark, monkeypatch, n):
+    """Small steps cost what their tasks cost, however few rows they have: what is found already is not searched for again."""
+    monkeypatch.setattr(near_dedup.dealt, "__defaults__", ("rep", 7))
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"e{i}"])) for i in range(n)], "doc_id long, text string")
+    written, persist = [], near_dedup.persist_table
+    monkeypatch.setattr(near_dedup, "persist_table", lambda df, label: written.append(label) or persist(df, label))
+    got = near_dedup.near_duplicates(docs, 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(i, 0, i == 0) for i in range(n)]
+    # No second search for components where blocks have found all; a family's blocks overlap, so that they are linked before pairs of them meet.
+    assert not [label for label in written if label.endswith(("met", "met-links"))]
+    assert len(written) <= 24

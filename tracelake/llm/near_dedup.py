@@ -175,7 +175,7 @@ def _sides(side) -> tuple[list[int], list[int]]:
 
 
 def _meet(table, ids, signatures, side, label, bounds, verify=None) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the rows, without those between rows that have one ``label`` already."""
+    """Links of a spanning forest of the labels, each the name of rows that hang together already."""
     groups, (own, other) = Groups(len(ids)), _sides(side)
     first: dict[int, int] = {}
     for place, name in enumerate(label.tolist()):
@@ -183,21 +183,27 @@ def _meet(table, ids, signatures, side, label, bounds, verify=None) -> list[tupl
     known = [groups.find(i) for i in range(len(ids))]
     if other is not own or table.column("i")[0] == table.column("j")[0]:
         compare(ids, signatures, own, other, bounds, groups, verify)
-    named = ids.tolist()
+    named = label.tolist()
     # Of each known group its first row stands for the rest.
     return [(named[i], named[groups.find(i)]) for i in range(len(named)) if known[i] == i and groups.find(i) != i]
 
 
-def dealt(rows: DataFrame, member: str = "rep", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups (``n`` of them) in blocks, ``i, j, side`` added: each block by itself. And the rows of groups of several blocks, ``room`` added."""
-    own = F.pmod(F.xxhash64(member), F.ceil(F.col("n") / F.lit(block))).cast("long")
+def dealt(rows: DataFrame, group: list[str], times: int, member: str = "rep", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups (``n`` of them) in blocks, ``i, j, side`` added: each block by itself. And the rows of groups of several blocks, ``room`` added.
+
+    Each group is dealt in its own way, so that blocks of groups with the same rows overlap; groups of several blocks are dealt ``times`` times.
+    """
+    number = F.ceil(F.col("n") / F.lit(block))
+    first = F.pmod(F.xxhash64(member, *group), number).cast("long")
+    again = [-1 - t - (times - 1) * F.pmod(F.xxhash64(member, *group, F.lit(t)), number).cast("long") for t in range(times - 1)]
+    own = F.when(F.col("n") > block, F.array(first, *again)).otherwise(F.array(first))
     plain = [c for c in rows.columns if c != "n"]
-    alone = rows.select(*plain, own.alias("i"), own.alias("j"), own.alias("side"))
+    alone = rows.select(*plain, F.explode(own).alias("i")).withColumns({"j": F.col("i"), "side": F.col("i")})
     return alone, rows.filter(F.col("n") > block).select(*plain, F.lit(block).alias("room"))
 
 
-def paired(several: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
-    """Rows of groups of several blocks for all pairs of blocks that may still link something: ``label, i, j, side`` added.
+def paired(several: DataFrame, group: list[str], found: DataFrame) -> DataFrame | None:
+    """Rows of groups of several blocks for all pairs of blocks that may still link something: ``label, i, j, side`` added; none if each group has one label.
 
     Blocks are dealt anew. A label (``found`` has ``rep, label``; other rows are their own) of more than a block's rows has blocks to itself, which never meet each other; the rest share
     blocks, which meet by themselves too. So the rows of a group that hangs together but for a few come once for each block of these few.
@@ -210,6 +216,8 @@ def paired(several: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
     own = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_same") / F.col("room")) - 1), lambda k: F.xxhash64("label", k))
     shared = F.array(F.pmod(F.xxhash64("label"), F.col("_shared")).cast("long"))
     kinds = persist_table(kinds.select(*group, "label", "_whole", F.when(F.col("_whole"), own).otherwise(shared).alias("_blocks")), "block-labels")
+    if kinds.groupBy(*group).count().filter("count > 1").isEmpty():
+        return None
     blocks = kinds.select(*group, F.explode("_blocks").alias("id"), F.when(F.col("_whole"), F.col("label")).alias("of")).distinct()
     blocks = blocks.groupBy(*group).agg(F.collect_list(F.struct("id", "of")).alias("_there"))
     rows = several.join(kinds, [*group, "label"]).join(blocks, group)
@@ -219,22 +227,26 @@ def paired(several: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
     return rows.select(*(c for c in several.columns if c != "room"), F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side")
 
 
-def linked(rows: DataFrame, group: list[str], sizes: DataFrame, fn, name: str, more: DataFrame | None = None) -> DataFrame:
-    """Links ``a, b`` by which the rows of each group hang together: blocks first, with the links in ``more``, then pairs of blocks.
+def linked(rows: DataFrame, group: list[str], sizes: DataFrame, fn, name: str, more: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """Links ``a, b`` by which the rows of each group hang together, ``b`` the smallest row of a component: blocks first, with the links in ``more``, then pairs of blocks.
 
-    Pairs of blocks meet with the components that blocks have found (``sizes`` holds each group's ``n``), and return only what links two of them. A group of copies is linked by its blocks:
-    its links grow with its rows, not with its pairs of blocks. Of what blocks have found each row's link to its component goes on.
+    Pairs of blocks meet with the components that blocks have found (``sizes`` holds each group's ``n``), and return only what links two of them, by their names. A group of copies is linked by its
+    blocks: its links grow with its rows, not with its pairs of blocks. Rows dealt more ``times`` link blocks that overlap, and leave fewer components to meet.
     """
-    alone, several = dealt(rows)
+    alone, several = dealt(rows, group, times)
     own = F.col("rep").alias("label")
     links = by_group(alone.select("*", own), [*group, "i", "j"], fn, "a long, b long")
-    links = links if more is None else links.unionByName(more)
-    if dealt(sizes.select("n", F.lit(0).alias("rep")))[1].isEmpty():
-        return links
-    found = components(links, f"{name}-blocks")
-    met = paired(several, group, found.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-    kept = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return kept.unionByName(by_group(met, [*group, "i", "j"], fn, "a long, b long"))
+    found = components(links if more is None else links.unionByName(more), name).toDF("a", "b")
+    if dealt(sizes.select("n", F.lit(0).alias("rep")), [], 1)[1].isEmpty():
+        return found
+    met = paired(several, group, found.toDF("rep", "label"))
+    if met is None:
+        return found
+    met = components(by_group(met, [*group, "i", "j"], fn, "a long, b long"), f"{name}-met")
+    if met.isEmpty():
+        return found
+    # What blocks have left alone is not among the found ones.
+    return persist_table(found.join(met, F.col("b") == F.col("node"), "full_outer").select(F.coalesce("a", "node").alias("a"), F.coalesce("component", "b").alias("b")), name)
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -244,10 +256,14 @@ def components(links: DataFrame, label: str) -> DataFrame:
     those inside a name are done: a link is read once, and after two rounds at most half of the nodes are left.
     """
     links = persist_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-links")
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     names = None
     while True:
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = chased(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+        # Kept before its names are joined with each other: a small table is then broadcast instead of shuffled for each of these joins.
+        least = persist_table(ends.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+        step = chased(least, label)
         if names is None:
             names = step
         else:
@@ -283,9 +299,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     rows, bands, bounds = layout(threshold / 100)
     sketches = persist_table(sketch(docs, size, text, doc_id, rows, bands), "sketches")
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = persist_table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    # One row for each class; its id may occur with other texts, so classes are named by place, not by document.
-    heads = full.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select("digest", "doc_id", "signature", "bands").dropDuplicates(["digest"])
+    # One row for each class, whose signature and bands are those of any of its documents; its id may occur with other texts, so classes are named by place, not by document.
+    heads = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     heads = persist_table(heads.select(F.xxhash64("digest").alias("rep"), "digest", "doc_id", "signature", "bands"), "class-heads")
 
     keyed = heads.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -293,17 +308,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
     shared = persist_table(shared, "buckets")
     signed = heads.select("rep", "signature")
 
-    def plausible_pairs(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for t, least in bounds if batch.num_rows else []:
-                keep[keep] = (x[keep, :t] == y[keep, :t]).sum(axis=1) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     def plausible(table):
         import numpy as np
 
@@ -312,13 +316,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         return _meet(table, ids[order], signatures[order], np.array(table.column("side"))[order], np.array(table.column("label"))[order], bounds)
 
-    # Two members are a pair whatever the band: most pairs share several.
-    pairs = shared.filter("n = 2").select("a", "b").distinct()
-    pairs = pairs.join(signed.withColumnRenamed("rep", "a").withColumnRenamed("signature", "x"), "a").join(signed.withColumnRenamed("rep", "b").withColumnRenamed("signature", "y"), "b")
-    pairs = pairs.select("a", "b", "x", "y").mapInArrow(plausible_pairs, "a long, b long")
-    members = keyed.join(shared.filter("n > 2").select("band", "key", "n"), ["band", "key"]).join(signed, "rep")
-    links = linked(members, ["band", "key"], shared, plausible, "bucket", pairs)
-    families = components(links, "families")
+    # Two members are a pair whatever the band: most pairs share several. Their ids name the bucket.
+    pairs = shared.filter("n = 2").select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.col("a").alias("band"), F.col("b").alias("key"), F.lit(2).cast("long").alias("n"))
+    members = keyed.join(shared.filter("n > 2").select("band", "key", "n"), ["band", "key"]).withColumn("band", F.col("band").cast("long"))
+    members = members.unionByName(pairs).join(signed, "rep")
+    members = members if shared.filter(F.col("n") > BLOCK).isEmpty() else persist_table(members, "bucket-members")
+    families = linked(members, ["band", "key"], shared, plausible, "families").toDF("node", "component")
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = families.join(sizes, "component").withColumnRenamed("node", "rep").join(heads.select("rep", "signature", "doc_id", "digest"), "rep")
     placed = persist_table(placed, "family-members")
@@ -373,21 +376,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, text: s
 
         return _meet(table, ids, signatures, side, label, bounds, similar)
 
-    true_links = linked(sets, ["component"], sizes, verified, "family")
-    # Back to documents: classes by their smallest document, and every document of a class to it.
-    named = heads.select("rep", F.col("doc_id").alias("_head"))
-    by_doc = true_links.join(named.withColumnRenamed("rep", "a").withColumnRenamed("_head", "x"), "a").join(named.withColumnRenamed("rep", "b").withColumnRenamed("_head", "y"), "b")
-    between = by_doc.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    twice = full.join(classes, "digest").filter("doc_id <> rep").select("doc_id", "rep").distinct()
-    twice = persist_table(twice, "copies")
-    # Copies hang on their class; only ids that occur with several texts tie classes together.
-    several = twice.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("m"))
-    heads_again = twice.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
-    ties = twice.join(several.filter("m > 1").select("doc_id"), "doc_id", "left_semi").unionByName(heads_again).distinct()
-    found = components(between.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "components")
-    reps = twice.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    joined = sketches.select("doc_id", "n_shingles").join(reps, "doc_id", "left").withColumn("_node", F.coalesce("rep", "doc_id")).join(found.withColumnRenamed("node", "_node"), "_node", "left")
-    component = F.coalesce("component", "_node")
+    found = linked(sets, ["component"], sizes, verified, "components", times=2).toDF("rep", "component")
+    # A component's id is the smallest of its classes' documents.
+    named = persist_table(heads.select("rep", "digest", "doc_id").join(found, "rep", "left").select("digest", "doc_id", F.coalesce("component", "rep").alias("component")), "class-names")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "component").select("digest", "doc_id", "component_id")
+    # Ids that occur with several texts tie classes together.
+    several = persist_table(full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id"), "several-texts")
+    if not several.isEmpty():
+        ties = full.join(several, "doc_id", "left_semi").select("digest", F.col("doc_id").alias("a")).join(named.select("digest", F.col("doc_id").alias("b")), "digest").select("a", "b")
+        tied = components(named.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(ties), "ties").toDF("doc_id", "tied")
+        named = named.join(tied, "doc_id").select("digest", F.col("tied").alias("component_id"))
+    joined = sketches.select("doc_id", "n_shingles", "digest").join(named.select("digest", "component_id"), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
